@@ -72,12 +72,11 @@ def create(requests: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame
         F.coalesce("_status", F.lit("CONFIRMED")).alias("status"),
         F.coalesce("_flight", F.col("flight_id")).alias("flight_id"),
         F.coalesce("_name", F.col("passenger_name")).alias("passenger_name"),
-        F.when(F.col("_id").isNull(), F.col("request_id")).alias("_maker"),
     )
     mine = keyed.select("request_id", "idempotency_key", "flight_snapshot_json")
     answers = mine.join(resolved, "idempotency_key").select(
         "request_id", "booking_id", "status", "flight_id", "passenger_name", "flight_snapshot_json",
-        F.coalesce(F.col("_maker") == F.col("request_id"), F.lit(False)).alias("created"),
+        (F.col("booking_id") == new_booking_id(F.col("request_id"))).alias("created"),
     ).unionByName(unkeyed.select(
         "request_id", new_booking_id(F.col("request_id")).alias("booking_id"), F.lit("CONFIRMED").alias("status"),
         "flight_id", "passenger_name", "flight_snapshot_json", F.lit(True).alias("created"),

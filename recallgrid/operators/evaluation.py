@@ -7,7 +7,9 @@ from math import floor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recallgrid.operators.percentiles import stage_summary
 from recallgrid.operators.ranking import top_k
+from recallgrid.session import write_out
 
 
 def reciprocal_rank(rank: Column, relevant: Column) -> Column:
@@ -204,16 +206,20 @@ def model_summary(
 ) -> DataFrame:
     """Per model: n_scored, hit_rate, mean_mrr and mean/p50/p95 rerank time over the annotated queries.
 
-    ``queries`` lists the annotated queries; one without candidates counts as a miss taking 0 ms. There is one time per
-    query and model, so the exact percentile runs over that small table.
+    ``queries`` lists the annotated queries; one without candidates counts as a miss taking 0 ms.
     """
     relevant = mark_expected(reranked, expected.select(qid, F.col(expected.columns[1]).alias(id_col)), id_col, qid)
-    per_query = relevant.groupBy(qid, "model").agg(
-        reciprocal_rank(F.col("rank"), F.col("relevant")).alias("mrr"), F.max("elapsed_ms").alias("ms"))
-    return per_query.join(queries.select(qid), qid, "left_semi").groupBy("model").agg(
+    per_query = write_out(
+        relevant.groupBy(qid, "model").agg(
+            reciprocal_rank(F.col("rank"), F.col("relevant")).alias("mrr"), F.max("elapsed_ms").alias("ms"),
+        ).join(queries.select(qid), qid, "left_semi"), "rerank")
+    times = stage_summary(per_query, ["model"], "ms").select(
+        "model", F.col("mean").alias("mean_rerank_ms"), F.col("p50").alias("p50_rerank_ms"),
+        F.col("p95").alias("p95_rerank_ms"))
+    quality = per_query.groupBy("model").agg(
         F.count("*").alias("n_scored"), F.avg((F.col("mrr") > 0).cast("double")).alias("hit_rate"),
-        F.avg("mrr").alias("mean_mrr"), F.avg("ms").alias("mean_rerank_ms"),
-        F.percentile("ms", 0.5).alias("p50_rerank_ms"), F.percentile("ms", 0.95).alias("p95_rerank_ms"))
+        F.avg("mrr").alias("mean_mrr"))
+    return quality.join(times, "model")
 
 
 def stage_total(latency: Column) -> Column:
