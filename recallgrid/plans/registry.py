@@ -111,7 +111,7 @@ FLIGHT_ID_SQL = uuid5_sql(
 
 def flights(spark: SparkSession, folder: str) -> DataFrame:
     """Accepted flights with their input position ``event_id``."""
-    from recallgrid.operators.validate import accepted, classify
+    from recallgrid.operators.validate import accepted
     from recallgrid.sources.records import null_tokens
 
-    return accepted(classify(null_tokens(raw_flights(spark, folder))), keep=["event_id"])
+    return accepted(null_tokens(raw_flights(spark, folder)), keep=["event_id"])
