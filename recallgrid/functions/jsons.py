@@ -4,22 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+_END = "end of text 5d0c"
+
 
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BIGINT, ... of a variant; null stays null."""
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
+def parse(text: Column) -> Column:
+    """Variant of a text that is one JSON value and nothing else, null otherwise.
+
+    The built-in parser stops after the first value and ignores what follows, so the text is parsed as the first of two
+    array elements and the closing mark must come right behind it. Objects with a repeated key count as invalid.
+    """
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    whole = (F.try_variant_get(pair, "$[1]", "string") == _END) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def parse_object(text: Column) -> Column:
     """Variant of a JSON object; anything else becomes an empty object."""
-    v = F.try_parse_json(F.coalesce(F.nullif(text, F.lit("")), F.lit("{}")))
+    v = parse(text)
     return F.when(kind(v) == "OBJECT", v).otherwise(F.parse_json(F.lit("{}")))
 
 
 def recover(text: Column) -> Column:
     """Arguments out of messy text: whole text, else the widest ``{...}`` in it, else an empty object."""
     braces = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(braces), F.parse_json(F.lit("{}")))
+    return F.coalesce(parse(text), parse(braces), F.parse_json(F.lit("{}")))
 
 
 def is_empty(v: Column) -> Column:

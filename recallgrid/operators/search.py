@@ -9,7 +9,7 @@ but laid out with the records on a grid of bounded cells (``_grid_search``).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +28,28 @@ _MAX_REQUESTS = 4096
 SCORE_DIGITS = 6
 
 
-class _Requests:
-    """Request vectors as a unit matrix, grouped by their filter so that each filter is evaluated once a batch."""
+class _Requests(NamedTuple):
+    """Request vectors as a unit matrix, grouped by filter so that each filter is evaluated once a batch."""
 
-    def __init__(self, ids: list, vecs: list, ks: list, floors: list, wants: list[tuple]):
-        m = np.array([np.asarray(v, dtype="float64") for v in vecs])
-        length = np.linalg.norm(m, axis=1)
-        self.usable = length > 0
-        self.unit = m / np.where(self.usable, length, 1.0)[:, None]
-        self.ids, self.k = ids, np.array(ks)
-        self.floor = np.array([-np.inf if f is None else f for f in floors], dtype="float64")
-        groups: dict[tuple, list[int]] = {}
-        for i, want in enumerate(wants):
-            if self.usable[i]:
-                groups.setdefault(want, []).append(i)
-        self.groups = [(want, np.array(rows)) for want, rows in groups.items()]
+    ids: list
+    unit: np.ndarray
+    k: np.ndarray
+    floor: np.ndarray
+    groups: list[tuple[tuple, np.ndarray]]
+
+
+def _requests(rows: list, qid: str, terms: Sequence[Term]) -> _Requests:
+    m = np.array([np.asarray(r["_vec"], dtype="float64") for r in rows])
+    length = np.linalg.norm(m, axis=1)
+    usable = length > 0
+    groups: dict[tuple, list[int]] = {}
+    for i, r in enumerate(rows):
+        if usable[i]:
+            groups.setdefault(tuple(t.wanted(r[t.field]) for t in terms), []).append(i)
+    return _Requests(
+        [r[qid] for r in rows], m / np.where(usable, length, 1.0)[:, None], np.array([r["_k"] for r in rows]),
+        np.array([-np.inf if r["_floor"] is None else r["_floor"] for r in rows], dtype="float64"),
+        [(want, np.array(members)) for want, members in groups.items()])
 
 
 def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +117,6 @@ def _to_batch(req: _Requests, part: tuple, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(score), *taken.columns], schema=schema)
 
 
-def _wants(terms: Sequence[Term], row: Any) -> tuple:
-    return tuple(t.wanted(row[t.field]) for t in terms)
-
-
 def vector_search(
     records: DataFrame,
     requests: DataFrame,
@@ -153,14 +156,12 @@ def vector_search(
     else:
         bounds = common_bounds([r.asDict() for r in few], terms)
         source = records.select(*needed) if bounds is None else records.filter(bounds).select(*needed)
-        shared = records.sparkSession.sparkContext.broadcast(
-            _Requests([r[qid] for r in few], [r["_vec"] for r in few], [r["_k"] for r in few],
-                      [r["_floor"] for r in few], [_wants(terms, r) for r in few])
-        )
+        # A plain tuple: broadcast values are unpickled without this package at hand.
+        shared = records.sparkSession.sparkContext.broadcast(tuple(_requests(few, qid, terms)))
         arrow = to_arrow_schema(schema)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            req = shared.value
+            req = _Requests(*shared.value)
             for part in _score_batches(batches, req, terms, vec_col, carried):
                 yield _to_batch(req, part, arrow)
 
@@ -216,9 +217,7 @@ def _grid_search(
     def cell(recs: pa.Table, reqs: pa.Table) -> pa.Table:
         if not recs.num_rows or not reqs.num_rows:
             return arrow.empty_table()
-        q = reqs.to_pylist()
-        req = _Requests([r[qid] for r in q], [r["_vec"] for r in q], [r["_k"] for r in q],
-                        [r["_floor"] for r in q], [_wants(terms, r) for r in q])
+        req = _requests(reqs.to_pylist(), qid, terms)
         parts = _score_batches(iter(recs.to_batches(max_chunksize=10_000)), req, terms, vec, carried)
         return pa.Table.from_batches([_to_batch(req, p, arrow) for p in parts], schema=arrow)
 
