@@ -18,6 +18,8 @@ def exact_percentiles(
     range; running totals over slices (at most ``slots`` rows a group) tell which slice holds each wanted rank, and only
     the values of those slices are ordered. Nulls do not count.
     """
+    if not keys:
+        return exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, slots).drop("_all")
     counted = write_out(
         df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
             F.count("*").alias("_n")), "counts")
