@@ -67,6 +67,8 @@ def trim_exact(
     first = messages.join(heads, conv).filter(F.col(turn) == F.col("_head"))
     group = first.unionByName(marked.filter(F.col(turn) > F.col("_head")))
 
+    names = messages.columns
+
     def cut(pdf):
         rows = pdf.sort_values(turn)
         pairs = list(zip(rows["role"], rows["text"]))
@@ -80,7 +82,7 @@ def trim_exact(
                 else:
                     low = mid + 1
             start = low
-        return rows.iloc[[0, *range(start, len(rows))]][messages.columns]
+        return rows.iloc[[0, *range(start, len(rows))]][names]
 
     return group.groupBy(conv).applyInPandas(cut, messages.schema)
 

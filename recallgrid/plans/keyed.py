@@ -36,8 +36,8 @@ answers AS (SELECT r.request_id, coalesce(s.booking_id, {_ID_SQL('coalesce(w.win
   LEFT JOIN stored s ON s.idempotency_key = r.idempotency_key)"""
 
 
-def asked(spark, d):
-    e = table(spark, d, "events")
+def requests_of(e):
+    """Create requests out of events, a table or a stream."""
     k, user = F.get_json_object("props", "$.k").cast("int"), F.col("user_id").cast("string")
     e = e.withColumn("k", k).withColumn("flight_id", user).withColumn("_n", (F.col("k") % 5).cast("string"))
     name = F.when(F.col("k") % 3 == 0, F.concat(F.lit("  Pat "), "_n")).when(
@@ -51,6 +51,10 @@ def asked(spark, d):
         F.format_string('{"carrier":"DL","flight":%d}', "k").alias("flight_snapshot_json"))
 
 
+def asked(spark, d):
+    return requests_of(table(spark, d, "events"))
+
+
 def stored(spark, d):
     """Bookings there are before the requests come: one per key, some cancelled."""
     rows = asked(spark, d).filter(F.col("event_type") == "signup")

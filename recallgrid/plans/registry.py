@@ -33,9 +33,13 @@ def _pick(values, index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def raw_flights(spark: SparkSession, folder: str) -> DataFrame:
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream. Written as a pattern, the path may be one file or a folder of many."""
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
+
+
+def raw_flights(e: DataFrame) -> DataFrame:
     """The events table in the shape of the flights CSV: all text, with the defects such files have."""
-    e = table(spark, folder, "events")
     user, kind = F.col("user_id"), F.col("event_type")
     k = F.get_json_object("props", "$.k").cast("int")
     hour, minute = F.hour("ts"), F.minute("ts")
@@ -109,9 +113,9 @@ FLIGHT_ID_SQL = uuid5_sql(
     "concat_ws('|', year, month, day, carrier, flight, origin, dest, sched_dep_time)")
 
 
-def flights(spark: SparkSession, folder: str) -> DataFrame:
+def flights(e: DataFrame) -> DataFrame:
     """Accepted flights with their input position ``event_id``."""
     from recallgrid.operators.validate import accepted
     from recallgrid.sources.records import null_tokens
 
-    return accepted(null_tokens(raw_flights(spark, folder)), keep=["event_id"])
+    return accepted(null_tokens(raw_flights(e)), keep=["event_id"])

@@ -237,7 +237,7 @@ WHERE origin = 'JFK' AND carrier = 'B6' AND year = 2024 AND month >= 1 AND month
 def payload_filter(spark, d):
     wanted = {"origin": "jfk", "carrier": "b6", "dest": "", "year": 2024, "month_min": 1, "month_max": 6,
               "time_of_day": "morning", "flight": None}
-    return flights(spark, d).filter(filter_column(wanted, FLIGHT_TERMS)).select(
+    return flights(table(spark, d, "events")).filter(filter_column(wanted, FLIGHT_TERMS)).select(
         "event_id", "carrier", "origin", "dest", "month", "sched_dep_time")
 
 

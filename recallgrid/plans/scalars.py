@@ -141,7 +141,7 @@ def _record_docs(spark, d):
     s = lambda *parts: F.concat(*[F.col(p[1:]).cast("string") if p[0] == "$" else F.lit(p) for p in parts])
     doc = F.when(kind == 0, s("$carrier", " flight ", "$flight", " ", "$origin", " -> ", "$dest", " dist ", "$distance")).when(
         kind == 1, s("$carrier", " flight ", "$distance", " ", "$origin", " town to ", "$dest", " town")).otherwise("ask")
-    return flights(spark, d).select("event_id", doc.alias("doc"), F.lit("ask").alias("query"))
+    return flights(table(spark, d, "events")).select("event_id", doc.alias("doc"), F.lit("ask").alias("query"))
 
 
 @query("fallback_rate", f"""
@@ -183,7 +183,7 @@ def cosine_pairs(spark, d):
 WITH {FLIGHTS_SQL} SELECT event_id, carrier, flight, dest, distance, CAST(13 AS INT) AS n_fields FROM flights""")
 def snapshot_fields(spark, d):
     """Snapshot as stored JSON, read back field by field (the id is not among the columns, so 13 of 14 keys)."""
-    f = flights(spark, d)
+    f = flights(table(spark, d, "events"))
     j = f.select("event_id", snapshot_json(f, list(SNAPSHOT_FIELDS)).alias("j"))
     v = j.select("event_id", F.parse_json("j").alias("v"), F.size(F.json_object_keys("j")).alias("n_fields"))
     get = lambda name, t: F.variant_get("v", f"$.{name}", t).alias(name)

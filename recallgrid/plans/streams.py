@@ -6,21 +6,13 @@ from pyspark.sql import functions as F
 
 from recallgrid.operators.hooks import hash_embedding
 from recallgrid.operators.ingest import flight_document, with_id
-from recallgrid.plans.keyed import BOOKING_SQL, asked
-from recallgrid.plans.registry import FLIGHT_ID_SQL, FLIGHTS_SQL, flights, query, table
+from recallgrid.plans.keyed import BOOKING_SQL, requests_of
+from recallgrid.plans.registry import FLIGHT_ID_SQL, FLIGHTS_SQL, flights, query, stream
 from recallgrid.session import shared_path
 from recallgrid.sources import tables
 from recallgrid.streaming import jobs
 
 
-def as_stream(df, name: str, files: int = 3):
-    """Write a table as a few files and read it as a stream, one file a batch."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @query("stream_ingest", f"""
 WITH {FLIGHTS_SQL}, ids AS (SELECT *, {FLIGHT_ID_SQL} AS flight_id FROM flights)
 SELECT DISTINCT flight_id, year, month, carrier, origin, dest, CAST(64 AS INT) AS dim FROM ids""")
@@ -28,10 +20,9 @@ def stream_ingest(spark, d):
     def prepare(rows):
         return flight_document(rows).withColumn("embedding", hash_embedding()(F.col("doc"))).drop("event_id")
 
-    rows = with_id(flights(spark, d))
+    rows = with_id(flights(stream(spark, d, "events")))
     path, schema = shared_path(spark, "index"), prepare(rows).schema
-    stream = as_stream(rows, "flights")
-    writer = jobs.ingest_stream(stream, path, schema, prepare, 64, ["event_id"])
+    writer = jobs.ingest_stream(rows, path, schema, prepare, 64, ["event_id"])
     jobs.drain(writer, shared_path(spark, "progress"))
     return tables.read_index(spark, path, schema).select(
         "flight_id", "year", "month", "carrier", "origin", "dest", F.size("embedding").alias("dim"))
@@ -43,10 +34,10 @@ SELECT coalesce(idempotency_key, 'none') AS idempotency_key, CASE WHEN idempoten
 FROM asked GROUP BY idempotency_key""")
 def stream_bookings(spark, d):
     """Bookings per key after the stream: one, or all of them without a key."""
-    rows = asked(spark, d).select(
+    rows = requests_of(stream(spark, d, "events")).select(
         "request_id", "flight_id", "passenger_name", "idempotency_key", "requested_at", "flight_snapshot_json")
     path = shared_path(spark, "log")
-    jobs.drain(jobs.booking_stream(as_stream(rows, "requests"), path), shared_path(spark, "progress"))
+    jobs.drain(jobs.booking_stream(rows, path), shared_path(spark, "progress"))
     return tables.read_bookings(spark, path).groupBy(
         F.coalesce("idempotency_key", F.lit("none")).alias("idempotency_key")).agg(F.count("*").alias("n"))
 
@@ -60,12 +51,9 @@ SELECT * FROM s WHERE date_trunc('millisecond', session_end + INTERVAL 3600 SECO
   < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)""")
 def stream_sessions(spark, d):
     """Sessions closed at the last watermark; append mode rightly holds back those still open."""
-    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    path = shared_path(spark, "source")
-    e.coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema(e.schema).parquet(path)
+    e = stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     sink = shared_path(spark, "sessions")
-    closed = jobs.idle_session_stream(stream, "user_id", "ts", "2 hours")
+    closed = jobs.idle_session_stream(e, "user_id", "ts", "2 hours")
     jobs.drain(closed.writeStream.format("parquet").option("path", sink).outputMode("append"), shared_path(spark, "progress"))
     return spark.read.schema(closed.schema).parquet(sink).withColumns({
         c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
@@ -75,15 +63,11 @@ def stream_sessions(spark, d):
 WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS fresh
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g)
-SELECT event_id, user_id, epoch_us(min(ts) OVER (PARTITION BY user_id, no)) AS started,
-  row_number() OVER (PARTITION BY user_id, no ORDER BY ts, event_id) - 1 AS position FROM n""")
+SELECT event_id, user_id, epoch_us(min(ts) OVER (PARTITION BY user_id, no)) AS started FROM n""")
 def stream_history(spark, d):
-    """Every message numbered within its session by keyed state."""
-    e = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    path = shared_path(spark, "source")
-    e.coalesce(1).sortWithinPartitions("ts", "event_id").write.parquet(path)
-    stream = spark.readStream.schema(e.schema).parquet(path)
-    sink = shared_path(spark, "history")
-    numbered = jobs.session_history_stream(stream, "user_id", "ts", "1 hour")
-    jobs.drain(numbered.writeStream.format("parquet").option("path", sink).outputMode("append"), shared_path(spark, "progress"))
-    return spark.read.schema(numbered.schema).parquet(sink).select("event_id", "user_id", "started", "position")
+    """Every message marked with the start of its session."""
+    e = stream(spark, d, "events").select("event_id", "user_id", "ts")
+    history = shared_path(spark, "history")
+    writer = jobs.session_history_stream(e, "user_id", "ts", history, shared_path(spark, "state"))
+    jobs.drain(writer, shared_path(spark, "progress"))
+    return spark.read.parquet(history).select("event_id", "user_id", "started")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from recallgrid.operators import bookings
+from recallgrid.operators.dialogs import micros
 from recallgrid.operators.ingest import unseen
 from recallgrid.schema import SESSION_TTL_SECONDS
+from recallgrid.session import write_out
 from recallgrid.sources import tables
 
 
@@ -74,41 +73,38 @@ def idle_session_stream(events: DataFrame, user: str, ts: str, delay: str, ttl_s
         (F.col("w.end") - F.make_interval(secs=F.lit(ttl_seconds))).alias("session_end"), "n_events")
 
 
-_STATE = T.StructType([T.StructField(c, T.LongType()) for c in ("started", "n", "last")])
-
-
 def session_history_stream(
-    messages: DataFrame, session: str, ts: str, delay: str, ttl_seconds: int = SESSION_TTL_SECONDS,
-) -> DataFrame:
-    """Number every message of a session: ``started`` names its current life, ``position`` counts within it.
+    messages: DataFrame, session: str, ts: str, history: str, state: str, ttl_seconds: int = SESSION_TTL_SECONDS,
+):
+    """Append messages to the history table, each marked with ``started``, the first instant of its session's life.
 
-    A life ends when more than ``ttl_seconds`` pass between messages; its state, three numbers, is dropped once the
-    watermark is past that. The history itself is the output table, read by session and ``started``, so it may grow
-    without bound. ``ts`` must be a TIMESTAMP.
+    A life ends when more than ``ttl_seconds`` pass without a message. Between batches only ``(session, started, last)`` of
+    sessions that may go on is kept, one small table a batch. Messages are combined per session and time slot before
+    anything is ordered (see ``idle_sessions``), and rows find their mark by session and slot, so that a session with most
+    of the messages is spread out. A batch that runs again overwrites its own output.
     """
-    ttl = ttl_seconds * 1_000_000
-    out = T.StructType([*messages.schema, T.StructField("started", T.LongType()), T.StructField("position", T.LongType())])
-    names = messages.columns
-
-    def number(key: tuple[Any], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        started, n, last = state.get if state.exists else (None, 0, None)
-        for part in parts:
-            part = part.sort_values(ts, kind="stable")
-            starts, positions = [], []
-            for at in part[ts]:
-                us = at.value // 1000
-                if last is None or us - last > ttl:
-                    started, n, last = us, 0, us
-                last = max(last, us)
-                starts.append(started)
-                positions.append(n)
-                n += 1
-            yield part[names].assign(started=starts, position=positions)
-        state.update((started, n, last))
-        state.setTimeoutTimestamp(max((last + ttl) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
-    return messages.withWatermark(ts, delay).groupBy(session).applyInPandasWithState(
-        number, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    width = ttl_seconds * 1_000_000
+    saved = T.StructType([messages.schema[session], T.StructField("started", T.LongType()), T.StructField("last", T.LongType())])
+
+    def label(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(saved).parquet(f"{state}/{number - 1}") if number else spark.createDataFrame([], saved)
+        timed = batch.withColumn("_us", micros(F.col(ts))).withColumn("_slot", F.floor(F.col("_us") / width))
+        slots = timed.groupBy(session, "_slot").agg(F.min("_us").alias("_from"), F.max("_us").alias("_to")).withColumn(
+            "started", F.lit(None).cast("long"))
+        carried = before.select(
+            session, F.lit(-(2**62)).alias("_slot"), F.lit(None).cast("long").alias("_from"), F.col("last").alias("_to"), "started")
+        w = Window.partitionBy(session).orderBy("_slot")
+        so_far = F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        begins = F.coalesce("started", F.when(so_far.isNull() | (F.col("_from") - so_far > width), F.col("_from")))
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        lives = slots.unionByName(carried).withColumn("_b", begins).withColumn(
+            "started", F.last("_b", ignorenulls=True).over(upto))
+        lives = write_out(lives.select(session, "_slot", "_to", "started"), "lives")
+        marks = lives.filter(F.col("_slot") > -(2**62)).select(session, "_slot", "started")
+        timed.join(marks, [session, "_slot"]).drop("_slot", "_us").write.mode("overwrite").parquet(f"{history}/batch={number}")
+        after = lives.groupBy(session).agg(F.max_by("started", "_slot").alias("started"), F.max("_to").alias("last"))
+        newest = lives.agg(F.max("_to")).scalar()
+        after.filter(F.col("last") >= newest - 2 * width).write.mode("overwrite").parquet(f"{state}/{number}")
+
+    return messages.writeStream.foreachBatch(label)
