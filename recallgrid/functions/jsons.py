@@ -9,7 +9,11 @@ _END = "end of text 5d0c"
 
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BIGINT, ... of a variant; null stays null."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+
+
+def is_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
 
 
 def parse(text: Column) -> Column:
@@ -26,7 +30,7 @@ def parse(text: Column) -> Column:
 def parse_object(text: Column) -> Column:
     """Variant of a JSON object; anything else becomes an empty object."""
     v = parse(text)
-    return F.when(kind(v) == "OBJECT", v).otherwise(F.parse_json(F.lit("{}")))
+    return F.when(is_object(v), v).otherwise(F.parse_json(F.lit("{}")))
 
 
 def recover(text: Column) -> Column:
@@ -43,7 +47,7 @@ def is_empty(v: Column) -> Column:
 def string_field(v: Column, name: str) -> Column:
     """A field only if it is JSON text."""
     field = F.try_variant_get(v, f"$.{name}", "variant")
-    return F.when(kind(field) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
 
 
 def has_field(v: Column, name: str) -> Column:
@@ -57,4 +61,4 @@ def int_field(v: Column, name: str) -> Column:
     raw = F.try_variant_get(v, f"$.{name}", "string")
     field = F.try_variant_get(v, f"$.{name}", "variant")
     whole = F.regexp_extract(raw, r"^\s*([+-]?\d+)(\.0+)?\s*$", 1)
-    return F.when(kind(field) != "BOOLEAN", F.nullif(whole, F.lit("")).try_cast("int"))
+    return F.when(F.schema_of_variant(field) != "BOOLEAN", F.nullif(whole, F.lit("")).try_cast("int"))

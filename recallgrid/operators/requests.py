@@ -66,7 +66,7 @@ def parse_requests(requests: DataFrame, tool: str = "tool", raw: str = "args_tex
     problem = (
         F.when((F.coalesce(F.col(raw), F.lit("")) != "") & jsons.is_empty(args), "MALFORMED_ARGS")
         .when(~F.coalesce(name.isin(*RESULT_TYPES), F.lit(False)), "UNKNOWN_TOOL")
-        .when(jsons.kind(args) != "OBJECT", "TOOL_ERROR")
+        .when(~jsons.is_object(args), "TOOL_ERROR")
         .when(~checks, "INVALID_ARGS")
     )
     return parsed.withColumn("problem", problem)

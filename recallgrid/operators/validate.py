@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recallgrid.schema import OPTIONAL_INTS, OPTIONAL_TEXTS, PAYLOAD, REQUIRED_CODES, REQUIRED_INTS
 
-_WHOLE = r"^\s*[+-]?\d+(\.0+)?\s*$"
+# The pattern goes before the cast: a failing try_cast raises inside the JVM, at a cost of tens of microseconds.
+_WHOLE = r"CASE WHEN `{0}` RLIKE r'^\s*[+-]?\d+(\.0+)?\s*$' THEN try_cast(trim(substring_index(`{0}`, '.', 1)) AS INT) END"
+_CODE = "upper(coalesce(CAST(`{0}` AS STRING), 'NAN'))"
+_TEXT = "CAST(`{0}` AS STRING)"
 
 
 @dataclass(frozen=True)
@@ -29,21 +32,15 @@ FLIGHT_RULES = (
 )
 
 
-def whole_number(c: Column) -> Column:
-    """Integer value of a text such as ``12`` or ``12.0``, null for any other text.
-
-    The pattern goes first: a failing ``try_cast`` raises inside the JVM, at a cost of tens of microseconds.
-    """
-    return F.when(c.rlike(_WHOLE), F.trim(F.substring_index(c, ".", 1)).try_cast("int"))
+def _typed(rule: Rule, columns: Sequence[str]) -> str:
+    """SQL for the typed value: whole numbers such as ``12`` or ``12.0`` as integers, null for any other text."""
+    if rule.name not in columns:
+        return f"CAST(NULL AS {'INT' if rule.kind == 'integer' else 'STRING'})"
+    return {"integer": _WHOLE, "code": _CODE, "text": _TEXT}[rule.kind].format(rule.name)
 
 
-def _typed(rule: Rule, columns: Sequence[str]) -> Column:
-    if rule.name not in columns:
-        return F.lit(None).cast("int" if rule.kind == "integer" else "string")
-    text = F.col(rule.name).cast("string")
-    if rule.kind == "integer":
-        return whole_number(text)
-    return F.upper(F.coalesce(text, F.lit("NAN"))) if rule.kind == "code" else text
+def _typed_columns(rules: Sequence[Rule], columns: Sequence[str]) -> list[Column]:
+    return [F.expr(_typed(r, columns)).alias(r.name) for r in rules]
 
 
 def _reject_nulls(null_policy: str) -> bool:
@@ -52,23 +49,35 @@ def _reject_nulls(null_policy: str) -> bool:
     return null_policy == "reject"
 
 
-def accepted(
-    df: DataFrame, rules: Sequence[Rule] = FLIGHT_RULES, null_policy: str = "reject", keep: Sequence[str] = (),
-) -> DataFrame:
-    """Valid rows as typed columns (extra columns dropped unless named in ``keep``).
+def is_valid(columns: Sequence[str], rules: Sequence[Rule] = FLIGHT_RULES, null_policy: str = "reject") -> Column:
+    """Does a row meet the rules?
 
     ``null_policy='reject'`` turns away a null in an optional column, which is what the service does in fact;
     ``'keep'`` accepts it, which is what it says. An optional column missing from the table is fine in both.
     """
     strict = _reject_nulls(null_policy)
-    ok = F.lit(True)
+    ok = ["true"]
     for rule in rules:
-        if rule.name not in df.columns:
-            ok = ok & F.lit(not rule.required)
+        if rule.name not in columns:
+            ok.append("false" if rule.required else "true")
         elif rule.kind != "code":
-            value = _typed(rule, df.columns).isNotNull()
-            ok = ok & (value if rule.required or strict else value | F.col(rule.name).isNull())
-    return df.filter(ok).select(*keep, *[_typed(r, df.columns).alias(r.name) for r in rules])
+            value = f"({_typed(rule, columns)}) IS NOT NULL"
+            ok.append(value if rule.required or strict else f"({value} OR `{rule.name}` IS NULL)")
+    return F.expr(" AND ".join(ok))
+
+
+def typed(df: DataFrame, rules: Sequence[Rule] = FLIGHT_RULES, null_policy: str = "reject", keep: Sequence[str] = ()) -> DataFrame:
+    """All rows as typed columns, with ``valid`` telling the good ones (bad values are null)."""
+    valid = is_valid(df.columns, rules, null_policy).alias("valid")
+    return df.select(*keep, *_typed_columns(rules, df.columns), valid)
+
+
+def accepted(
+    df: DataFrame, rules: Sequence[Rule] = FLIGHT_RULES, null_policy: str = "reject", keep: Sequence[str] = (),
+) -> DataFrame:
+    """Valid rows as typed columns (extra columns dropped unless named in ``keep``)."""
+    return df.filter(is_valid(df.columns, rules, null_policy)).select(
+        *keep, *_typed_columns(rules, df.columns))
 
 
 def rejected(df: DataFrame, rules: Sequence[Rule] = FLIGHT_RULES, null_policy: str = "reject") -> DataFrame:
@@ -77,14 +86,12 @@ def rejected(df: DataFrame, rules: Sequence[Rule] = FLIGHT_RULES, null_policy: s
     found = []
     for rule in rules:
         if rule.name not in df.columns:
-            found += [F.lit(f"{rule.name}: missing")] if rule.required else []
+            found += [f"'{rule.name}: missing'"] if rule.required else []
         elif rule.kind != "code":
-            col = F.col(rule.name)
-            why = F.when(col.isNull(), f"{rule.name}: null" if rule.required or strict else None)
-            if rule.kind == "integer":
-                why = why.when(whole_number(col.cast("string")).isNull(), f"{rule.name}: not an integer")
-            found.append(why)
-    problems = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+            null = f"WHEN `{rule.name}` IS NULL THEN " + (f"'{rule.name}: null'" if rule.required or strict else "NULL")
+            bad = f"WHEN ({_typed(rule, df.columns)}) IS NULL THEN '{rule.name}: not an integer'"
+            found.append(f"CASE {null} {bad if rule.kind == 'integer' else ''} END")
+    problems = F.expr(f"array_compact(CAST(array({', '.join(found)}) AS ARRAY<STRING>))")
     return df.withColumn("problems", problems).filter(F.size("problems") > 0)
 
 

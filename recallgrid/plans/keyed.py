@@ -8,7 +8,7 @@ from recallgrid.functions.ids import booking_key
 from recallgrid.operators import bookings as bk, requests as rq
 from recallgrid.plans.registry import query, table, uuid5_sql
 from recallgrid.schema import NAMESPACE_DNS, NAMESPACE_URL
-from recallgrid.session import shared_path
+from recallgrid.session import shared_path, spread_out
 from recallgrid.sources import tables
 
 _KEY_SQL = uuid5_sql(NAMESPACE_DNS, "concat(user_id, '|pat ', CAST(json_extract_string(props, '$.k') AS INT) % 5)")
@@ -52,7 +52,7 @@ def requests_of(e):
 
 
 def asked(spark, d):
-    return requests_of(table(spark, d, "events"))
+    return requests_of(spread_out(table(spark, d, "events"), "event_id"))
 
 
 def stored(spark, d):

@@ -18,24 +18,27 @@ from recallgrid.plans.registry import (
     FLIGHT_ID_SQL, FLIGHTS_SQL, RAW_FLIGHTS_SQL, flights, query, raw_flights, table, uuid5_sql,
 )
 from recallgrid.schema import NAMESPACE_URL, PAYLOAD
-from recallgrid.session import shared_path
+from recallgrid.session import shared_path, spread_out
 from recallgrid.sources import records, tables
 
 _SPLIT = datetime(2024, 1, 16)
 _NUMBERS = ("flight", "sched_dep_time", "distance", "air_time")
 
 
+def _events(spark, d):
+    return spread_out(table(spark, d, "events"), "event_id")
+
+
 def _flight_rows(spark, d):
-    """Valid flights with ids, and those of the first half of the month as what is stored already."""
-    e = table(spark, d, "events").select("event_id", "ts")
-    rows = ingest.with_id(flights(table(spark, d, "events")))
-    early = e.filter(F.col("ts") < F.lit(_SPLIT).cast("timestamp_ntz")).select("event_id")
-    return rows, rows.join(early, "event_id", "left_semi").select("flight_id").distinct()
+    """Valid flights with ids, and the ids of the first half of the month as what is stored already."""
+    e = _events(spark, d)
+    early = e.filter(F.col("ts") < F.lit(_SPLIT).cast("timestamp_ntz"))
+    return ingest.with_id(flights(e)), ingest.with_id(flights(early)).select("flight_id").distinct()
 
 
 @query("validate_accept", f"WITH {FLIGHTS_SQL} SELECT * FROM flights")
 def validate_accept(spark, d):
-    return flights(table(spark, d, "events"))
+    return flights(_events(spark, d))
 
 
 @query("validate_reject", f"""
@@ -46,7 +49,7 @@ why AS (SELECT event_id, concat_ws('; ',
     CASE WHEN tailnum IS NULL THEN 'tailnum: null' END) AS problems FROM nulled)
 SELECT * FROM why WHERE problems <> ''""")
 def validate_reject(spark, d):
-    bad = validate.rejected(records.null_tokens(raw_flights(table(spark, d, "events"))))
+    bad = validate.rejected(records.null_tokens(raw_flights(_events(spark, d))))
     return bad.select("event_id", F.array_join("problems", "; ").alias("problems"))
 
 
@@ -55,7 +58,7 @@ WITH {FLIGHTS_SQL}
 SELECT event_id, CAST(dep_time AS INT) AS dep_time, CAST(distance AS INT) AS distance, tailnum
 FROM nulled WHERE regexp_full_match(distance, '[0-9]+')""")
 def validate_keep_nulls(spark, d):
-    raw = records.null_tokens(raw_flights(table(spark, d, "events")))
+    raw = records.null_tokens(raw_flights(_events(spark, d)))
     return validate.accepted(raw, null_policy="keep", keep=["event_id"]).select("event_id", "dep_time", "distance", "tailnum")
 
 
@@ -63,7 +66,7 @@ def validate_keep_nulls(spark, d):
 WITH {FLIGHTS_SQL}, head AS (SELECT event_id FROM events ORDER BY event_id LIMIT 700)
 SELECT f.* FROM head JOIN flights f USING (event_id)""")
 def row_cap(spark, d):
-    head = ranking.head_rows(records.null_tokens(raw_flights(table(spark, d, "events"))), 700, "event_id")
+    head = ranking.head_rows(records.null_tokens(raw_flights(_events(spark, d))), 700, "event_id")
     return validate.accepted(head, keep=["event_id"])
 
 
@@ -72,7 +75,7 @@ WITH {FLIGHTS_SQL}
 SELECT event_id, carrier, dest, dep_time, distance, tailnum FROM nulled""")
 def csv_source(spark, d):
     path = shared_path(spark, "csv")
-    raw_flights(table(spark, d, "events")).write.option("header", True).csv(path)
+    raw_flights(_events(spark, d)).write.option("header", True).csv(path)
     return records.read_csv(spark, path).select(
         F.col("event_id").cast("long").alias("event_id"), "carrier", "dest", "dep_time", "distance", "tailnum")
 
@@ -93,7 +96,7 @@ def zip_source(spark, d):
                 z.writestr("rows.CSV", text.getvalue())
             yield pd.DataFrame({"content": [held.getvalue()]})
 
-    archives = raw_flights(table(spark, d, "events")).select(*names).mapInPandas(pack, "content binary")
+    archives = raw_flights(_events(spark, d)).select(*names).mapInPandas(pack, "content binary")
     folder = shared_path(spark, "zip")
     _write_files(archives, folder)
     return records.read_records(spark, f"{folder}/*.zip", names).select(*names)
@@ -132,7 +135,7 @@ def stable_id(spark, d):
 
 @query("flight_id", f"WITH {FLIGHTS_SQL} SELECT event_id, {FLIGHT_ID_SQL} AS flight_id FROM flights")
 def flight_id(spark, d):
-    return ingest.with_id(flights(table(spark, d, "events"))).select("event_id", "flight_id")
+    return ingest.with_id(flights(_events(spark, d))).select("event_id", "flight_id")
 
 
 _LINE_ORDER = ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
@@ -177,9 +180,9 @@ SELECT count(*) AS total, count(*) FILTER (WHERE flight_id IS NULL) AS invalid,
   count(*) FILTER (WHERE flight_id IS NOT NULL AND known) AS existing,
   count(DISTINCT flight_id) FILTER (WHERE NOT known) AS upserted FROM marked""")
 def ingest_report(spark, d):
-    rows, stored = _flight_rows(spark, d)
-    raw = table(spark, d, "events").select("event_id").join(rows.select("event_id", "flight_id"), "event_id", "left")
-    return ingest.ingest_report(raw, stored, "flight_id", F.col("flight_id").isNotNull())
+    _, stored = _flight_rows(spark, d)
+    raw = records.null_tokens(raw_flights(_events(spark, d)))
+    return ingest.ingest_report(ingest.with_id(validate.typed(raw)), stored, "flight_id", F.col("valid"))
 
 
 _AIR = "(VALUES {}) t(code, name)"
@@ -204,7 +207,7 @@ FROM flights f LEFT JOIN c ON c.code = f.carrier LEFT JOIN a o ON o.code = f.ori
 
 @query("flight_document", _doc_sql())
 def flight_document(spark, d):
-    return ingest.flight_document(flights(table(spark, d, "events"))).select("event_id", "doc")
+    return ingest.flight_document(flights(_events(spark, d))).select("event_id", "doc")
 
 
 @query("doc_render", """
@@ -234,7 +237,7 @@ SELECT year, month, count(*) AS n, CAST(count(DISTINCT flight_id) AS BIGINT) AS
 def index_append(spark, d):
     """Write the index, append to it twice (the second run finds all ids stored), and read it back."""
     rows, stored = _flight_rows(spark, d)
-    valid = flights(table(spark, d, "events"))
+    valid = flights(_events(spark, d))
     path = shared_path(spark, "index")
     fresh = ingest.index_rows(valid, stored, hash_embedding(), ["event_id"])
     tables.create_index(spark, path, fresh.schema)
@@ -250,4 +253,4 @@ def index_append(spark, d):
 
 @query("payload_projection", f"WITH {FLIGHTS_SQL} SELECT event_id, {', '.join(PAYLOAD)} FROM flights")
 def payload_projection(spark, d):
-    return validate.payload(flights(table(spark, d, "events")).withColumn("extra", F.lit(1)), ["event_id"])
+    return validate.payload(flights(_events(spark, d)).withColumn("extra", F.lit(1)), ["event_id"])

@@ -9,7 +9,7 @@ from recallgrid.operators import search
 from recallgrid.operators.filters import FLIGHT_TERMS, Term, filter_column, has_filter
 from recallgrid.operators.hooks import hash_embedding, overlap_scorer
 from recallgrid.plans.registry import FLIGHTS_SQL, flights, query, table
-from recallgrid.session import write_out
+from recallgrid.session import spread_out, write_out
 
 LABEL = (Term("integer", "want_label", "label"),)
 LANG = (Term("keyword", "want_lang", "lang_code"),)
@@ -107,7 +107,7 @@ def passages(spark, d):
 
 
 def documents(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread_out(table(spark, d, "documents"), "doc_id")
     return docs.select("doc_id", F.upper("lang").alias("lang_code"), hash_embedding()(F.col("text")).alias("embedding"))
 
 
