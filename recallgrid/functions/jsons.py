@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 _END = "end of text 5d0c"
+# What a JSON text looks like from outside. Anything else is not tried: a failed parse raises inside the JVM, which
+# costs more than parsing.
+_OUTSIDE = r'(?s)^\s*(?:\{.*\}|\[.*\]|".*"|-?\d[\d.eE+-]*|true|false|null)\s*$'
 
 
 def kind(v: Column) -> Column:
@@ -22,7 +25,7 @@ def parse(text: Column) -> Column:
     The built-in parser stops after the first value and ignores what follows, so the text is parsed as the first of two
     array elements and the closing mark must come right behind it. Objects with a repeated key count as invalid.
     """
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    pair = F.try_parse_json(F.when(text.rlike(_OUTSIDE), F.concat(F.lit("["), text, F.lit(f',"{_END}"]'))))
     whole = (F.try_variant_get(pair, "$[1]", "string") == _END) & F.try_variant_get(pair, "$[2]", "variant").isNull()
     return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
 

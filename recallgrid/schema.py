@@ -128,7 +128,8 @@ SNAPSHOT = T.StructType([
 
 def code_table(spark: SparkSession, codes: dict[str, str], code: str, name: str) -> DataFrame:
     """A fixed code/name dimension (at most the 80 rows above, so always safe to broadcast)."""
-    return spark.createDataFrame(list(codes.items()), f"{code} string, {name} string")
+    rows = ", ".join(f'("{c}", "{n}")' for c, n in codes.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({code}, {name})")
 
 
 def seed_queries(spark: SparkSession) -> DataFrame:
