@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from recallgrid.schema import CARRIERS
 
@@ -29,10 +29,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _pick(values, index):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-
-
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The same table as a stream. Written as a pattern, the path may be one file or a folder of many."""
     return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
@@ -40,28 +36,25 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def raw_flights(e: DataFrame) -> DataFrame:
     """The events table in the shape of the flights CSV: all text, with the defects such files have."""
-    user, kind = F.col("user_id"), F.col("event_type")
-    k = F.get_json_object("props", "$.k").cast("int")
-    hour, minute = F.hour("ts"), F.minute("ts")
-    text = lambda c: c.cast("string")
-    return e.select(
-        "event_id",
-        text(F.year("ts")).alias("year"),
-        text(F.month("ts")).alias("month"),
-        text(F.dayofmonth("ts")).alias("day"),
-        F.when(kind == "click", F.lower(_pick(CARRIERS, user % 16))).otherwise(_pick(CARRIERS, user % 16)).alias("carrier"),
-        F.when(kind == "view", F.concat(text(user), F.lit(".0"))).otherwise(text(user)).alias("flight"),
-        _pick(ORIGINS, user % 3).alias("origin"),
-        F.when(user % 11 == 0, "NA").otherwise(_pick(DESTS, user % 6)).alias("dest"),
-        text(hour * 100 + F.floor(minute / 30) * 30).alias("sched_dep_time"),
-        text((hour + 2) % 24 * 100 + minute).alias("sched_arr_time"),
-        F.when((kind == "error") & (F.col("value") > 20), "NA").otherwise(text(hour * 100 + minute)).alias("dep_time"),
-        text((hour + 2) % 24 * 100 + minute).alias("arr_time"),
-        F.when((kind == "signup") & (F.col("value") > 30), F.concat(text(k), F.lit(".5")))
-        .when(k == 7, "abc").otherwise(text(k * 10 + 100)).alias("distance"),
-        text(k).alias("air_time"),
-        F.when(k == 13, "").otherwise(F.concat(F.lit("N"), text(user))).alias("tailnum"),
-    )
+    pick = lambda values, i: "element_at(array(" + ", ".join(f"'{v}'" for v in values) + f"), CAST({i} + 1 AS INT))"
+    carrier = pick(CARRIERS, "user_id % 16")
+    parts = e.selectExpr(
+        "event_id", "user_id", "event_type", "value", "ts", "CAST(substring_index(substring(props, 7), '}', 1) AS INT) AS k",
+        "hour(ts) AS hh", "minute(ts) AS mi")
+    return parts.selectExpr(
+        "event_id", "CAST(year(ts) AS STRING) AS year", "CAST(month(ts) AS STRING) AS month", "CAST(day(ts) AS STRING) AS day",
+        f"CASE WHEN event_type = 'click' THEN lower({carrier}) ELSE {carrier} END AS carrier",
+        "CASE WHEN event_type = 'view' THEN concat(user_id, '.0') ELSE CAST(user_id AS STRING) END AS flight",
+        f"{pick(ORIGINS, 'user_id % 3')} AS origin",
+        f"CASE WHEN user_id % 11 = 0 THEN 'NA' ELSE {pick(DESTS, 'user_id % 6')} END AS dest",
+        "CAST(hh * 100 + (mi div 30) * 30 AS STRING) AS sched_dep_time",
+        "CAST((hh + 2) % 24 * 100 + mi AS STRING) AS sched_arr_time",
+        "CASE WHEN event_type = 'error' AND value > 20 THEN 'NA' ELSE CAST(hh * 100 + mi AS STRING) END AS dep_time",
+        "CAST((hh + 2) % 24 * 100 + mi AS STRING) AS arr_time",
+        "CASE WHEN event_type = 'signup' AND value > 30 THEN concat(k, '.5') WHEN k = 7 THEN 'abc' "
+        "ELSE CAST(k * 10 + 100 AS STRING) END AS distance",
+        "CAST(k AS STRING) AS air_time",
+        "CASE WHEN k = 13 THEN '' ELSE concat('N', user_id) END AS tailnum")
 
 
 def _sql_list(values) -> str:

@@ -15,7 +15,8 @@ from recallgrid.schema import NA_TOKENS, PAYLOAD
 def null_tokens(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Null for every text that stands for a missing value."""
     names = columns if columns is not None else [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)) for c in names})
+    tokens = ", ".join(f"'{t}'" for t in NA_TOKENS)
+    return df.withColumns({c: F.expr(f"CASE WHEN `{c}` NOT IN ({tokens}) THEN `{c}` END") for c in names})
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False, position: str | None = None) -> DataFrame:
