@@ -60,7 +60,7 @@ def hash_embedding(dim: int = 64) -> Callable[[Column], Column]:
     """Default embedder: signed word counts hashed into ``dim`` slots (up to 256) by MD5; no words, zero vector.
 
     Works on whole Arrow batches: words are split, lower-cased and encoded in bulk, and each distinct word of a batch is
-    hashed once. Unnesting words into Spark rows measured eight times slower, as it shuffles.
+    hashed once. Unnesting words into Spark rows would shuffle them.
     """
 
     @F.arrow_udf("array<double>")
