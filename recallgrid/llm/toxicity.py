@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import arrow_pass
+from recallgrid.llm.common import arrow_pass, write_out
 from recallgrid.llm.quality import sample_rows
 
 TERM = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -40,31 +40,39 @@ def build_trie(terms: dict[str, float]) -> dict:
     return root
 
 
-def fuzzy_terms(word: str, trie: dict, most: int) -> list[tuple[str, int]]:
-    """Terms within ``most`` edits of ``word``: the automaton's states (one row of edit distances) move along the trie's edges."""
-    found = []
-    stack = [(trie, tuple(range(len(word) + 1)))]
+def fuzzy_terms(word: str, trie: dict, most: int) -> dict[str, int]:
+    """Terms within ``most`` edits of ``word``, with their distance.
+
+    The word's Levenshtein automaton has states (letters read, edits made); it runs along the trie's edges, and a branch ends where
+    it has no state left.
+    """
+    found: dict[str, int] = {}
+    end = len(word)
+    stack = [(trie, 0, 0)]
     while stack:
-        node, row = stack.pop()
-        for c, child in node.items():
-            if c == "":
-                if row[-1] <= most:
-                    found.append((child, row[-1]))
-                continue
-            new = [row[0] + 1]
-            for i, w in enumerate(word):
-                new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c)))
-            if min(new) <= most:
-                stack.append((child, tuple(new)))
+        node, at, edits = stack.pop()
+        if "" in node and (total := edits + end - at) <= most:
+            found[node[""]] = min(total, found.get(node[""], total))
+        if at < end and (child := node.get(word[at])) is not None:
+            stack.append((child, at + 1, edits))
+        if edits < most:
+            if at < end:
+                stack.append((node, at + 1, edits + 1))
+            for c, child in node.items():
+                if c:
+                    stack.append((child, at, edits + 1))
+                    if at < end and c != word[at]:
+                        stack.append((child, at + 1, edits + 1))
     return found
 
 
 @dataclass
 class Lexicon:
-    """Terms with the smoothed share of toxic documents among those that hold the term, and the share over all rows."""
+    """Terms with the smoothed share of toxic uses, words that look like a term but are not, and the share of toxic rows."""
 
     terms: dict[str, float]
     prior: float
+    harmless: frozenset = frozenset()
     trie: dict = field(default_factory=dict)
     heads: frozenset = frozenset()
     tails: frozenset = frozenset()
@@ -74,26 +82,24 @@ class Lexicon:
     def __post_init__(self):
         self.trie = build_trie(self.terms)
         long_terms = [t for t in self.terms if len(t) >= MISSPELT_FROM]
-        # With one edit, a word still starts with a term's first half or ends with its second.
-        self.heads = frozenset(t[: len(t) // 2] for t in long_terms)
-        self.tails = frozenset(t[len(t) // 2:] for t in long_terms)
-        self.cuts = tuple(sorted({len(h) for h in self.heads} | {len(t) for t in self.tails}))
+        # With one edit, a word still starts with a term's first half or ends with its second, and is as long, give or take one.
+        self.heads = frozenset((t[: len(t) // 2], len(t) + d) for t in long_terms for d in (-1, 0, 1))
+        self.tails = frozenset((t[len(t) // 2:], len(t) + d) for t in long_terms for d in (-1, 0, 1))
+        self.cuts = tuple(sorted({len(h) for h, _ in self.heads | self.tails}))
 
     def match(self, word: str) -> float:
         """Weight of a word: its own as a term, or the best of the terms one edit away; 0 if none."""
         if word in self.terms:
             return self.terms[word]
-        if len(word) < MISSPELT_FROM - 1:
-            return 0.0
-        heads, tails = self.heads, self.tails
-        for n in self.cuts:
-            if word[:n] in heads or word[-n:] in tails:
-                break
-        else:
+        if word in self.harmless or not self._may_match(word):
             return 0.0
-        near = [self.terms[t] for t, d in fuzzy_terms(word, self.trie, 1) if len(t) >= MISSPELT_FROM]
+        near = [self.terms[t] for t in fuzzy_terms(word, self.trie, 1) if len(t) >= MISSPELT_FROM]
         return MISSPELT * max(near, default=0.0)
 
+    def _may_match(self, word: str) -> bool:
+        size, heads, tails = len(word), self.heads, self.tails
+        return any((word[:n], size) in heads or (word[-n:], size) in tails for n in self.cuts)
+
     def weigh(self, word: str) -> float:
         weight = self.known.get(word)
         if weight is None:
@@ -148,25 +154,28 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
           least_ratio: float = 22.0, most_terms: int = 5000) -> Lexicon:
     """Terms of at least 4 letters that mark toxic documents, from at most ``most`` toxic and three times as many other labelled documents.
 
-    Words are counted once a document. A term is kept if, classes weighing the same, toxic documents hold at least ``least_share``
-    of its uses, and its log-likelihood ratio against an equal spread is ``least_ratio`` or more, so that chance picks nothing. Counting runs on the executors; at most ``most_terms`` terms reach the driver.
+    A use is a word with the word before it; equal uses count once, so copies of a text do not vote again. A term is kept if, classes weighing
+    the same, toxic documents hold at least ``least_share`` of its uses, and its log-likelihood ratio against an equal spread is
+    ``least_ratio`` or more, so that chance picks nothing. Words of other documents one edit away from a term are kept as harmless.
+    Counting runs on the executors; at most ``most_terms`` terms and as many harmless words reach the driver.
     """
     chosen = sample_rows(labels, column, most, 3 * most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def words(texts, found):
         for text, label in zip(texts, found):
-            for w in set(TERM.findall((text or "").lower())):
+            said = TERM.findall((text or "").lower())
+            for before, w in set(zip(["", *said], said)):
                 if len(w) >= 4:
-                    yield w, label
+                    yield w, before, label
 
     totals = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     prior = (bad + 1) / (bad + good + 2)
     if not bad:
         return Lexicon({}, prior)
-    counts = arrow_pass(rows, ["text", "label"], "word string, label int", words).groupBy("word").agg(
-        F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g"))
+    uses = arrow_pass(rows, ["text", "label"], "word string, before string, label int", words).distinct()
+    counts = write_out(uses.groupBy("word").agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g")), "lexicon-uses")
     share = (F.col("b") / bad) / (F.col("b") / bad + (F.col("g") + 0.5) / (good + 1))
     both, expected = F.col("b") + F.col("g"), bad / (bad + good)
     ratio = 2 * (F.col("b") * F.log(F.col("b") / both / expected)
@@ -174,15 +183,22 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
     top = (counts.filter("b > 0").withColumn("share", share).withColumn("ratio", ratio)
            .filter((F.col("share") >= least_share) & (F.col("ratio") >= least_ratio))
            .orderBy(F.desc("ratio"), "word").limit(most_terms).collect())
-    return Lexicon({r.word: float(r.share) for r in top}, prior)
+    terms = {r.word: float(r.share) for r in top}
+
+    def alike(found) -> Iterator[tuple]:
+        own = _own(tuple(terms.items()), prior, frozenset())
+        return ((w,) for w in found if w not in terms and own.match(w) > 0)
+
+    harmless = arrow_pass(counts.filter(F.col("g") > F.col("b")), ["word"], "word string", alike).orderBy("word").limit(most_terms)
+    return Lexicon(terms, prior, frozenset(r.word for r in harmless.collect()))
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score of every document; null and empty texts get the floor. One pass, no shuffle."""
-    terms, prior = lexicon.terms, lexicon.prior
+    items, prior, harmless = tuple(lexicon.terms.items()), lexicon.prior, lexicon.harmless
 
     def rows(ids, texts) -> Iterator[tuple]:
-        own = _own(tuple(terms.items()), prior)
+        own = _own(items, prior, harmless)
         for i, text in zip(ids, texts):
             yield i, score_text(text, own)
 
@@ -192,8 +208,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 _cached: list = []
 
 
-def _own(items: tuple, prior: float) -> Lexicon:
+def _own(items: tuple, prior: float, harmless: frozenset) -> Lexicon:
     """The worker's lexicon, kept between batches with the words it has met."""
-    if not _cached or _cached[0] != (items, prior):
-        _cached[:] = [(items, prior), Lexicon(dict(items), prior)]
+    if not _cached or _cached[0] != (items, prior, harmless):
+        _cached[:] = [(items, prior, harmless), Lexicon(dict(items), prior, harmless)]
     return _cached[1]
