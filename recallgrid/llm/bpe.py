@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from recallgrid.llm.common import arrow_pass
 
 #: Distinct pieces that a worker remembers.
-CACHE = 400_000
+CACHE = 600_000
 #: Code points above which a word is encoded as a tree.
 LEAF = 512
 #: Code points above which a text is dealt out in sections.
@@ -28,6 +28,9 @@ LONG_TEXT = 1 << 16
 
 _BLANKS = re.compile(r" \s|\A\s|\s\Z")
 _CUT = re.compile(r"(?= \S)")
+#: Latin letters, marks that close them, and the same once more after a line break: letters, marks and breaks are tokens apart.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+", r"[.,!?;:*$%&|#<>()]*"
+_PLAIN = re.compile(f"( ?{_LETTERS})({_MARKS})(?:(\n)({_LETTERS})({_MARKS}))?")
 _RARE = re.compile("[\x1c-\x1f\x85]")
 
 
@@ -84,6 +87,7 @@ class Pieces:
         self.bytes_of = {
             i: t.encode() if i in special else bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
             for t, i in self.vocab.items()}
+        self.letters, self.lower = letters, self.tok.normalizer is not None
         self.specials = tuple(special.values())
         self.known: dict[str, tuple] = {}
 
@@ -92,7 +96,7 @@ class Pieces:
             return self.tok.encode(piece, add_special_tokens=False).ids
         out = []
         for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(piece):
-            # Byte letters already: words come mapped.
+            # These words come in byte letters already.
             if len(word) <= LEAF:
                 out += [t.id for t in self.tok.model.tokenize(word)]
             else:
@@ -100,19 +104,40 @@ class Pieces:
                                    lambda ids: "".join(self.names[i] for i in ids))
         return out
 
-    def look_up(self, pieces: list[str], value) -> list:
+    def _merge(self, word: str) -> list[int]:
+        """Ids of letters that are one word to the tokenizer: merges only."""
+        return [t.id for t in self.tok.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))]
+
+    def _add(self, piece: str, into: dict, value, join) -> None:
+        """Put the value of an unknown piece into ``into``, from the words it consists of where these are plain letters."""
+        m = _PLAIN.fullmatch(piece)
+        if m is None or len(piece) > LEAF or (self.lower and (piece[0] == " " or m[3])):
+            into[piece] = value(self.ids(piece))
+            return
+        parts = []
+        for part in m.groups():
+            if not part:
+                continue
+            low = part.lower() if self.lower else part
+            found = self.known.get(low) or into.get(low)
+            if found is None:
+                found = into[low] = value(self._merge(low))
+            parts.append(found)
+        into[piece] = parts[0] if len(parts) == 1 else join(parts)
+
+    def look_up(self, pieces: list[str], value, join) -> list:
+        """The value of each piece. Up to ``CACHE`` pieces stay known to the worker; frequent ones come first by themselves."""
         known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(dict.fromkeys(pieces))
-        short = [p for p in new if len(p) <= LEAF]
-        for p, e in zip(short, self.tok.encode_batch_fast(short, add_special_tokens=False)):
-            known[p] = value(e.ids)
+        try:
+            return list(map(known.__getitem__, pieces))
+        except KeyError:
+            new = set(pieces).difference(known)
+        into = known if len(known) + 2 * len(new) <= CACHE else {}
         for p in new:
-            if len(p) > LEAF:
-                known[p] = value(self.ids(p))
-        return list(map(known.__getitem__, pieces))
+            self._add(p, into, value, join)
+        if into is known:
+            return list(map(known.__getitem__, pieces))
+        return [known[p] if p in known else into[p] for p in pieces]
 
 
 @functools.lru_cache(4)
@@ -131,7 +156,7 @@ def cut_bytes(text: str) -> list[str]:
 def encode_bytes(texts: list[str], path: str) -> list[list[int]]:
     """Ids of each text, as the tokenizer gives them without special tokens added."""
     coder = pieces_for(path, "ids")
-    return [[i for ids in coder.look_up(cut_bytes(t), tuple) for i in ids] for t in texts]
+    return [[i for ids in coder.look_up(cut_bytes(t), tuple, lambda p: sum(p, ())) for i in ids] for t in texts]
 
 
 def decode_bytes(ids: list[int], path: str) -> str:
@@ -151,20 +176,24 @@ def _section_rows(docs, texts) -> Iterator[tuple]:
 
 
 def _decimal(coder):
+    """A piece's value: its ids in decimal, comma-joined, and the bytes that these ids decode to."""
     join, bytes_of = ",".join, coder.bytes_of
 
     def value(ids):
         return join(map(str, ids)), b"".join(map(bytes_of.__getitem__, ids))
 
-    return value
+    def together(parts):
+        return join(p[0] for p in parts), b"".join(p[1] for p in parts)
+
+    return value, together
 
 
 def _coder_rows(path):
     def rows(keys, texts):
         coder = pieces_for(path, "decimal")
-        value = _decimal(coder)
+        value, together = _decimal(coder)
         for key, text in zip(keys, texts):
-            found = coder.look_up(cut_bytes(text), value) if text else []
+            found = coder.look_up(cut_bytes(text), value, together) if text else []
             ids = ",".join([f[0] for f in found if f[0]])
             yield key, ids, b"".join([f[1] for f in found]).decode("utf-8", "replace")
 
@@ -233,4 +262,4 @@ def word_ids(texts: list[str], path: str) -> Iterator[bytes]:
         if _RARE.search(text):
             yield packed(coder.tok.encode(text, add_special_tokens=False).ids)
         else:
-            yield b"".join(coder.look_up(text.split(), packed))
+            yield b"".join(coder.look_up(text.split(), packed, b"".join))
