@@ -30,6 +30,9 @@ TASK_CHARS = 16_000_000
 #: Ids that may be broadcast to pick out documents; beyond, the documents are joined by a shuffle.
 MOST_IDS = 1 << 21
 
+#: Rounds of comparing each set with hubs before the look-ups.
+HUB_ROUNDS = 3
+
 OWN, NEXT, OWN_LESS, NEXT_LESS = 0, 1, 2, 3
 
 _U = np.uint64
@@ -185,10 +188,8 @@ def _flat(column) -> np.ndarray:
 
 
 def _shared_subsets(batches, number):
-    """Of one task's signatures: those that two or more sets share, with their costs; the sets' sizes; and hubs.
-
-    ``s`` rows: a set's shared signatures. ``i`` rows: its size, own segments, fingerprint. ``h`` rows: the set that stands first
-    among those sharing a subset, for two orders, with the number of subsets so shared.
+    """Of one task's signatures: those that two or more sets share, with their costs (``s`` rows), and each set's size, own
+    segments and fingerprint (``i`` rows).
     """
     parts, ids, sigs, info = [], [], [], []
     for batch in batches:
@@ -227,15 +228,6 @@ def _shared_subsets(batches, number):
     # Sets met by a subset looked up whole (with those that have it by a deletion added above bit 32), and by one less an n-gram.
     cost = np.where(exact, whole[group] - 1 + (less[group] << 32), whole[group])
     useful = np.where(exact, whole[group] + less[group] > 1, whole[group] > 0)
-    for seed in (0, 1):
-        rank = mix(ids.view(np.uint64) + _A) if seed else ids.view(np.uint64)
-        by = np.lexsort((rank, ~exact, group))
-        lead = np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1]]))
-        hub = ids[by][lead][group]
-        keep = exact & (kind == OWN) & (hub != ids)
-        pairs, counts = np.unique(np.stack([ids[keep], hub[keep]]), axis=1, return_counts=True)
-        if counts.size:
-            yield table("h", len(counts), doc=pa.array(pairs[0]), other=pa.array(pairs[1]), n=pa.array(counts.astype(np.int32)))
     ids, sigs, cost = ids[useful], sigs[useful], cost[useful]
     if len(ids):
         part = ((sigs >> _U(12)) % _U(number)).astype(np.int64)
@@ -329,6 +321,40 @@ def _look_ups(number):
     return run
 
 
+def _hub_pairs(seed):
+    """Pairs (doc, other, shared): each set with the set that stands first among those sharing a subset, if of another component.
+
+    First is the set whose subsets are shared most (seed 0: the middle of a group of near copies), or by a hash (other seeds).
+    """
+    def run(batches):
+        rows = [(d.as_py(), c.as_py(), w.as_py(), np.asarray(s.values)) for batch in batches
+                for d, c, w, s in zip(*(batch.column(k) for k in ("doc", "comp", "weight", "sigs")))]
+        if not rows:
+            return
+        doc, comp, weight = (np.array(c, np.int64) for c in list(zip(*rows))[:3])
+        sig = np.concatenate([r[3] for r in rows]).view(np.uint64)
+        at = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+        whole = (sig & _U(3)) <= NEXT
+        sig, at = sig[whole], at[whole]
+        first = (mix(doc.view(np.uint64) + _U(seed * int(_A) & _FULL)) >> _U(1)).view(np.int64) if seed else -weight
+        place = np.empty(len(rows), np.int64)
+        place[np.lexsort((doc, first))] = np.arange(len(rows))
+        order = np.lexsort((place[at], sig >> _U(2)))
+        sig, at = sig[order], at[order]
+        base = sig >> _U(2)
+        new = np.concatenate([[True], base[1:] != base[:-1]])
+        hub = at[np.flatnonzero(new)][np.cumsum(new) - 1]
+        keep = ((sig & _U(3)) == OWN) & (comp[hub] != comp[at])
+        docs, at = np.unique(doc, return_inverse=True)[1], at[keep]
+        pairs, counts = np.unique(docs[at] * len(rows) + docs[hub[keep]], return_counts=True)
+        ids = np.unique(doc)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[pairs // len(rows)]), pa.array(ids[pairs % len(rows)]), pa.array(counts.astype(np.int32))],
+            ["doc", "other", "shared"])
+
+    return run
+
+
 def _meet(batches):
     """Pairs (doc, other, shared) that meet in a task's parts: the doc looks up, the other is no larger and of another component."""
     index, asks = [], []
@@ -437,26 +463,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = sized.filter("doc = rep").drop("rep")
     same = sized.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
 
-    # First each set against the hubs with which it shares most subsets: large groups fall together without comparing all pairs.
-    hubs = shared.filter("what = 'h'").groupBy("doc", "other").agg(F.sum("n").alias("c"))
-    hubs = (hubs.join(reps.select("doc", "own"), "doc").filter("c * 6 >= own")
-            .join(sized.select(F.col("doc").alias("other"), "rep"), "other").filter("doc <> rep"))
-    best = F.slice(F.sort_array(F.collect_set(F.struct("c", "rep")), asc=False), 1, 3)
-    tried = write_out(hubs.groupBy("doc").agg(best.alias("t")).select(
-        F.col("doc").alias("a"), F.explode("t").alias("t")).select("a", F.col("t.rep").alias("b")).distinct(), "join-hubs")
-    links = verified(docs, tried)
-    component = components(links)
-    labelled = write_out(reps.join(component.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "doc", "n", "own", "many", F.coalesce("component", "doc").alias("comp")), "join-labelled")
+    met = F.aggregate("costs", F.lit(0).cast("long"), lambda total, c: total + c.bitwiseAND(F.lit(0xFFFFFFFF)))
+    held = shared.filter("what = 's'").select("part", "doc", "sigs", "costs")
+    weights = held.groupBy("doc").agg(F.sum(met).alias("weight"))
+    labelled = write_out(reps.join(weights, "doc").withColumn("comp", F.col("doc")), "join-labelled")
+
+    # First each set against hubs with which it shares most subsets: large groups fall together without comparing all pairs.
+    links = same.limit(0)
+    for seed in range(HUB_ROUNDS):
+        near = held.join(labelled.select("doc", "comp", "weight"), "doc").repartition(parts, "part").mapInArrow(
+            _hub_pairs(seed), "doc long, other long, shared int")
+        best = F.slice(F.sort_array(F.collect_list(F.struct("c", "other")), asc=False), 1, 3)
+        near = near.groupBy("doc", "other").agg(F.sum("shared").alias("c")).join(labelled.select("doc", "own"), "doc")
+        tried = write_out(near.filter("c * 6 >= own").groupBy("doc").agg(best.alias("t")).select(
+            F.col("doc").alias("a"), F.explode("t.other").alias("b")), "join-hubs")
+        if not tried.limit(1).count():
+            break
+        links = write_out(links.unionByName(verified(docs, tried)), "join-links")
+        component = write_out(components(links).withColumnRenamed("node", "doc"), "join-component")
+        labelled = write_out(labelled.drop("comp").join(component, "doc", "left").withColumn(
+            "comp", F.coalesce("component", "doc")).drop("component"), "join-labelled")
 
     # Then every set looks itself up by its cheapest subsets, among sets of other components.
-    subsets = write_out(shared.filter("what = 's'").select("part", "doc", "sigs", "costs").join(labelled, "doc"), "join-subsets")
+    subsets = write_out(held.join(labelled.drop("weight"), "doc"), "join-subsets")
     looks = write_out(subsets.select("doc", "n", "own", "many", "sigs", "costs").repartition(parts, "doc").mapInArrow(
         _look_ups(parts), "part int, doc long, sigs array<long>, modes array<int>"), "join-looks")
     asks = looks.filter("part IS NOT NULL").join(labelled, "doc").select(
         F.lit("a").alias("what"), "part", "doc", "comp", "n", "sigs", "modes")
-    held = subsets.select(F.lit("i").alias("what"), "part", "doc", "comp", "n", "sigs", F.lit(None).cast("array<int>").alias("modes"))
-    met = asks.unionByName(held).repartition(parts, "part").mapInArrow(_meet, "doc long, other long, shared int")
+    known = subsets.select(F.lit("i").alias("what"), "part", "doc", "comp", "n", "sigs", F.lit(None).cast("array<int>").alias("modes"))
+    met = asks.unionByName(known).repartition(parts, "part").mapInArrow(_meet, "doc long, other long, shared int")
     pairs = write_out(met.groupBy("doc", "other").agg(F.sum("shared").alias("shared")).select(
         F.col("doc").alias("a"), F.col("other").alias("b"), "shared"), "join-pairs")
     all_links = same.unionByName(links)
@@ -472,7 +507,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         all_links = all_links.unionByName(more)
         if left.limit(1).count():
             all_links = all_links.unionByName(verified(docs, left))
-    rest = write_out(looks.filter("part IS NULL").select("doc").distinct(), "join-unreached")
+    # Sets that share nothing may still have too few segments to be sure of it.
+    units = F.col("own") + F.when(F.col("n") <= int(band_tops()[band_tops() <= SMALL].max()), F.col("many")).otherwise(0)
+    bare = reps.filter(units <= F.floor(2 * F.col("n") * (DEN - NUM) / (DEN + NUM))).join(labelled, "doc", "left_anti").select("doc")
+    rest = write_out(looks.filter("part IS NULL").select("doc").unionByName(bare).distinct(), "join-unreached")
     if rest.limit(1).count():
         all_links = all_links.unionByName(_block_links(docs, rest))
     final = components(all_links)

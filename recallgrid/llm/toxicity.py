@@ -68,18 +68,22 @@ def fuzzy_terms(word: str, trie: dict, most: int) -> dict[str, int]:
 
 @dataclass
 class Lexicon:
-    """Terms with the smoothed share of toxic uses, words that look like a term but are not, and the share of toxic rows."""
+    """Terms with the share of their uses in toxic documents, the share of toxic rows, words that look like a term but are not, and
+    how many uses of those each term has."""
 
     terms: dict[str, float]
     prior: float
     harmless: frozenset = frozenset()
+    blurred: tuple = ()
     trie: dict = field(default_factory=dict)
     heads: frozenset = frozenset()
     tails: frozenset = frozenset()
     cuts: tuple = ()
     known: dict = field(default_factory=dict)
+    clean_alike: dict = field(default_factory=dict)
 
     def __post_init__(self):
+        self.clean_alike = dict(self.blurred)
         self.trie = build_trie(self.terms)
         long_terms = [t for t in self.terms if len(t) >= MISSPELT_FROM]
         # With one edit, a word still starts with a term's first half or ends with its second, and is as long, give or take one.
@@ -93,7 +97,7 @@ class Lexicon:
             return self.terms[word]
         if word in self.harmless or not self._may_match(word):
             return 0.0
-        near = [self.terms[t] for t in fuzzy_terms(word, self.trie, 1) if len(t) >= MISSPELT_FROM]
+        near = [self.terms[t] * 2 / (2 + self.clean_alike.get(t, 0)) for t in fuzzy_terms(word, self.trie, 1) if len(t) >= MISSPELT_FROM]
         return MISSPELT * max(near, default=0.0)
 
     def _may_match(self, word: str) -> bool:
@@ -154,9 +158,11 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
           least_ratio: float = 22.0, most_terms: int = 5000) -> Lexicon:
     """Terms of at least 4 letters that mark toxic documents, from at most ``most`` toxic and three times as many other labelled documents.
 
-    A use is a word with the word before it; equal uses count once, so copies of a text do not vote again. A term is kept if, classes weighing
+    A document uses a word once, with the first in order of the words before it; equal uses count once, so that neither repeats in a
+    text nor copies of it vote again. A term is kept if, classes weighing
     the same, toxic documents hold at least ``least_share`` of its uses, and its log-likelihood ratio against an equal spread is
-    ``least_ratio`` or more, so that chance picks nothing. Words of other documents one edit away from a term are kept as harmless.
+    ``least_ratio`` or more, so that chance picks nothing. Words of other documents one edit away from a term are kept as harmless, and the more a term has
+    of them, the less its misspellings count.
     Counting runs on the executors; at most ``most_terms`` terms and as many harmless words reach the driver.
     """
     chosen = sample_rows(labels, column, most, 3 * most)
@@ -165,9 +171,12 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
     def words(texts, found):
         for text, label in zip(texts, found):
             said = TERM.findall((text or "").lower())
-            for before, w in set(zip(["", *said], said)):
-                if len(w) >= 4:
-                    yield w, before, label
+            first: dict[str, str] = {}
+            for before, w in zip(["", *said], said):
+                if len(w) >= 4 and before <= first.get(w, before):
+                    first[w] = before
+            for w, before in first.items():
+                yield w, before, label
 
     totals = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
@@ -176,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
         return Lexicon({}, prior)
     uses = arrow_pass(rows, ["text", "label"], "word string, before string, label int", words).distinct()
     counts = write_out(uses.groupBy("word").agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g")), "lexicon-uses")
-    share = (F.col("b") / bad) / (F.col("b") / bad + (F.col("g") + 0.5) / (good + 1))
+    share = F.col("b") / (F.col("b") + F.col("g") + 0.5)
     both, expected = F.col("b") + F.col("g"), bad / (bad + good)
     ratio = 2 * (F.col("b") * F.log(F.col("b") / both / expected)
                  + F.when(F.col("g") > 0, F.col("g") * F.log(F.col("g") / both / max(1 - expected, 1e-9))).otherwise(0.0))
@@ -185,20 +194,25 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
            .orderBy(F.desc("ratio"), "word").limit(most_terms).collect())
     terms = {r.word: float(r.share) for r in top}
 
-    def alike(found) -> Iterator[tuple]:
-        own = _own(tuple(terms.items()), prior, frozenset())
-        return ((w,) for w in found if w not in terms and own.match(w) > 0)
+    def alike(found, uses) -> Iterator[tuple]:
+        own = _own(tuple(terms.items()), prior, frozenset(), ())
+        for w, g in zip(found, uses):
+            if w not in terms and own.match(w) > 0:
+                for t in fuzzy_terms(w, own.trie, 1):
+                    yield w, t, g
 
-    harmless = arrow_pass(counts.filter(F.col("g") > F.col("b")), ["word"], "word string", alike).orderBy("word").limit(most_terms)
-    return Lexicon(terms, prior, frozenset(r.word for r in harmless.collect()))
+    near = write_out(arrow_pass(counts.filter("g > 0"), ["word", "g"], "word string, term string, g long", alike), "lexicon-alike")
+    blurred = near.groupBy("term").agg(F.sum("g").alias("g")).collect()  # no more rows than terms
+    harmless = near.select("word").distinct().orderBy("word").limit(most_terms).collect()
+    return Lexicon(terms, prior, frozenset(r.word for r in harmless), tuple(sorted((r.term, r.g) for r in blurred)))
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score of every document; null and empty texts get the floor. One pass, no shuffle."""
-    items, prior, harmless = tuple(lexicon.terms.items()), lexicon.prior, lexicon.harmless
+    given = tuple(lexicon.terms.items()), lexicon.prior, lexicon.harmless, lexicon.blurred
 
     def rows(ids, texts) -> Iterator[tuple]:
-        own = _own(items, prior, harmless)
+        own = _own(*given)
         for i, text in zip(ids, texts):
             yield i, score_text(text, own)
 
@@ -208,8 +222,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 _cached: list = []
 
 
-def _own(items: tuple, prior: float, harmless: frozenset) -> Lexicon:
+def _own(items: tuple, *rest) -> Lexicon:
     """The worker's lexicon, kept between batches with the words it has met."""
-    if not _cached or _cached[0] != (items, prior, harmless):
-        _cached[:] = [(items, prior, harmless), Lexicon(dict(items), prior, harmless)]
+    if not _cached or _cached[0] != (items, *rest):
+        _cached[:] = [(items, *rest), Lexicon(dict(items), *rest)]
     return _cached[1]
