@@ -6,12 +6,15 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recallgrid.operators.hooks import message_chars, tokens_of
+from recallgrid.operators.hooks import MESSAGE_OVERHEAD, message_chars, tokens_of
 from recallgrid.operators.ranking import top_k
 from recallgrid.schema import CONTEXT_MIN_MESSAGES, CONTEXT_TOKENS, MAX_SESSIONS, MAX_TOOL_ROUNDS, SESSION_TTL_SECONDS
 
 _DAY_MICROS = 86_400_000_000
 
+#: Turns that are put together in one step on the way to a transcript.
+_SEGMENT = 256
+
 
 def token_totals(messages: DataFrame, conv: str = "conv_id", chars: Column | None = None) -> DataFrame:
     size = message_chars(F.col("role"), F.col("text")) if chars is None else chars
@@ -35,12 +38,12 @@ def trim(
     """Messages that survive a token budget.
 
     The first message always stays. Of the others the newest stay while the total fits, and the last ``min_keep``
-    even if it does not. Every message takes at least eight tokens, so only the newest ``limit / 8`` messages of a
-    conversation can matter: they are picked in slices first, and a conversation of any length is never sorted whole.
+    even if it does not. Every message takes at least ``MESSAGE_OVERHEAD`` characters, which bounds how many of the newest messages of
+    a conversation can matter: they are picked in slices first, and a conversation of any length is never sorted whole.
     """
     heads = _heads(messages, conv, turn)
     sized = messages.withColumn("_chars", message_chars(F.col("role"), F.col("text")))
-    reach = max(min_keep, limit // 8) + 2
+    reach = max(min_keep, 4 * limit // MESSAGE_OVERHEAD) + 2
     recent = top_k(sized, [conv], [F.col(turn).desc()], reach, "_new", spread=F.col(turn))
     rest = recent.join(heads.select(conv, "_head", "_head_chars"), conv).filter(F.col(turn) > F.col("_head"))
     newest_first = Window.partitionBy(conv).orderBy(F.col(turn).desc())
@@ -57,11 +60,12 @@ def trim_exact(
 ) -> DataFrame:
     """Budget trimming with a real tokenizer, whose counts of a whole history do not add up message by message.
 
-    ``count`` gets the (role, text) list of a history. A message takes at least ``min_tokens`` tokens, so the newest
-    ``limit / min_tokens`` messages and the first one are enough to decide, and no group is larger than that.
+    ``count`` gets the (role, text) list of a history. ``min_tokens`` is what the caller's tokenizer takes for a message at least:
+    then the newest ``limit / min_tokens`` messages and the first one are enough to decide, and no group is larger than that.
+    Where it proves too high, because messages are left out although all that were looked at fit, the job fails rather than cut.
     """
     reach = max(min_keep, limit // min_tokens) + 2
-    heads = messages.groupBy(conv).agg(F.min(turn).alias("_head"))
+    heads = messages.groupBy(conv).agg(F.min(turn).alias("_head"), F.count("*").alias("_all"))
     recent = top_k(messages, [conv], [F.col(turn).desc()], reach, "_new", spread=F.col(turn)).drop("_new")
     marked = recent.join(heads, conv)
     first = messages.join(heads, conv).filter(F.col(turn) == F.col("_head"))
@@ -82,26 +86,33 @@ def trim_exact(
                 else:
                     low = mid + 1
             start = low
+        if len(rows) < rows["_all"].iloc[0] and start == 1 and len(rows) - 1 > min_keep:
+            raise ValueError(f"a message takes fewer than min_tokens={min_tokens} tokens; pass a smaller bound")
         return rows.iloc[[0, *range(start, len(rows))]][names]
 
     return group.groupBy(conv).applyInPandas(cut, messages.schema)
 
 
 def transcript(
-    messages: DataFrame, conv: str = "conv_id", turn: str = "turn", width: int = 300, segment: int = 256,
+    messages: DataFrame, conv: str = "conv_id", turn: str = "turn", width: int = 300, segment: int | None = None,
 ) -> DataFrame:
-    """``ROLE: text`` lines of non-empty messages in order, cut at ``width`` characters.
+    """``ROLE: text`` lines of non-empty messages in order, cut at ``width`` characters: one text per conversation.
 
-    One row per conversation and ``segment`` turns; a conversation's segments in order, joined by line breaks, are its
-    transcript. Turns are unique in a conversation, so no row gathers more than ``segment`` lines.
+    With ``segment``, one row per conversation and that many turns (column ``segment``); a conversation's segments in order,
+    joined by line breaks, are its transcript, and no row gathers more lines if turns are unique.
     """
-    line = F.concat(F.upper("role"), F.lit(": "), F.substring("text", 1, width))
+    line = F.concat(F.upper(F.coalesce("role", F.lit(""))), F.lit(": "), F.substring("text", 1, width))
     lines = messages.filter(F.coalesce("text", F.lit("")) != "").select(
-        conv, F.floor(F.col(turn) / segment).cast("long").alias("segment"), F.struct(turn, line.alias("line")).alias("m"))
+        conv, F.floor(F.col(turn) / (segment or _SEGMENT)).cast("long").alias("segment"), F.struct(turn, line.alias("line")).alias("m"))
     grouped = lines.groupBy(conv, "segment").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    return grouped.select(
+    parts = grouped.select(
         conv, "segment", F.size("ms").cast("long").alias("n_lines"),
         F.array_join(F.transform("ms", lambda m: m["line"]), "\n").alias("transcript"))
+    if segment:
+        return parts
+    whole = parts.groupBy(conv).agg(
+        F.sum("n_lines").alias("n_lines"), F.array_sort(F.collect_list(F.struct("segment", "transcript"))).alias("ps"))
+    return whole.select(conv, "n_lines", F.array_join(F.transform("ps", lambda p: p["transcript"]), "\n").alias("transcript"))
 
 
 def head_tail(
@@ -111,6 +122,8 @@ def head_tail(
 
     The turn at which the kept tail starts comes from a top-k of turn numbers only; texts are not sorted.
     """
+    if min_keep <= 0:  # as a slice from -0 does: everything is the tail
+        return messages.limit(0), messages
     heads = messages.groupBy(conv).agg(F.min(turn).alias("_head"))
     tail = top_k(messages.select(conv, turn), [conv], [F.col(turn).desc()], min_keep, "_r", spread=F.col(turn))
     bounds = heads.join(tail.groupBy(conv).agg(F.min(turn).alias("_tail")), conv)
@@ -119,33 +132,50 @@ def head_tail(
     return marked.filter(is_old).select(*messages.columns), marked.filter(~is_old).select(*messages.columns)
 
 
+def summaries(older: DataFrame, summary: Callable[[Column], Column], conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """conv, turn, n, answer: the summary of each conversation that has older text; a null answer is a failure.
+
+    ``summary`` maps a transcript to its summary and gets each conversation's whole transcript. A summary with a ``merge`` (from
+    an array of the summaries of consecutive parts to the summary of all) gets bounded parts instead.
+    """
+    merge = getattr(summary, "merge", None)
+    if merge is None:
+        text = transcript(older, conv, turn).filter(F.trim("transcript") != "").select(conv, summary(F.col("transcript")).alias("answer"))
+    else:
+        parts = transcript(older, conv, turn, segment=_SEGMENT).select(
+            conv, F.trim("transcript").alias("_t"), F.struct("segment", summary(F.col("transcript")).alias("s")).alias("_s"))
+        text = parts.groupBy(conv).agg(F.max(F.col("_t") != "").alias("_any"), F.array_sort(F.collect_list("_s")).alias("_p")).filter(
+            "_any").select(conv, merge(F.transform("_p", lambda p: p["s"])).alias("answer"))
+    counts = older.groupBy(conv).agg(F.count("*").alias("n"), F.min(turn).alias(turn))
+    return counts.join(text, conv)
+
+
 def summarize(
     messages: DataFrame, summary: Callable[[Column], Column], min_keep: int = CONTEXT_MIN_MESSAGES,
     conv: str = "conv_id", turn: str = "turn",
 ) -> DataFrame:
     """Replace the older part of each conversation by one system message right after its first message.
 
-    ``summary`` maps transcript text to summary text; each segment of a long transcript is summarised by itself and
-    the parts are joined. Conversations without older text stay as they are. The count in the message takes in
-    empty messages, the transcript does not.
+    Conversations without older text, or without an answer of ``summary`` (see ``summaries``), stay as they are. The count in the
+    message takes in empty messages, the transcript does not.
     """
     older, kept = head_tail(messages, min_keep, conv, turn)
-    parts = transcript(older, conv, turn).withColumn("_s", F.struct("segment", summary(F.col("transcript")).alias("s")))
-    text = parts.groupBy(conv).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda p: p["s"]), " ").alias("_text"),
-        F.max(F.trim("transcript") != "").alias("_any"))
-    counts = older.groupBy(conv).agg(F.count("*").alias("_n"), F.min(turn).alias(turn))
-    made = counts.join(text.filter("_any"), conv)
+    made = summaries(older, summary, conv, turn).filter(F.col("answer").isNotNull())
     message = made.select(
         conv, turn, F.lit("system").alias("role"),
-        F.concat(F.lit("[Earlier conversation ("), F.col("_n"), F.lit(" messages): "), "_text", F.lit("]")).alias("text"))
+        F.concat(F.lit("[Earlier conversation ("), F.col("n"), F.lit(" messages): "), "answer", F.lit("]")).alias("text"))
     untouched = older.join(made.select(conv), conv, "left_anti")
     return kept.unionByName(message, allowMissingColumns=True).unionByName(untouched)
 
 
 def first_characters(n: int = 200) -> Callable[[Column], Column]:
     """Default summary: the start of the transcript."""
-    return lambda text: F.substring(text, 1, n)
+    def summary(text: Column) -> Column:
+        return F.substring(text, 1, n)
+
+    # Exact: a part that is cut is at least as long as what may follow.
+    summary.merge = lambda parts: F.substring(F.array_join(parts, "\n"), 1, n)
+    return summary
 
 
 def over_budget(messages: DataFrame, limit: int = CONTEXT_TOKENS, conv: str = "conv_id") -> DataFrame:
@@ -157,12 +187,16 @@ def fit_context(
     messages: DataFrame, summary: Callable[[Column], Column] | None = None, limit: int = CONTEXT_TOKENS,
     min_keep: int = CONTEXT_MIN_MESSAGES, conv: str = "conv_id", turn: str = "turn",
 ) -> DataFrame:
-    """Conversations over the budget are summarised (or trimmed without a summary hook), the others stay whole."""
+    """Conversations over the budget are summarised, or trimmed without a summary hook or its answer; the others stay whole."""
     if summary is None:
         return trim(messages, limit, min_keep, conv, turn)
     long = over_budget(messages, limit, conv)
-    changed = summarize(messages.join(long, conv, "left_semi"), summary, min_keep, conv, turn)
-    return messages.join(long, conv, "left_anti").unionByName(changed)
+    over = messages.join(long, conv, "left_semi")
+    older, _ = head_tail(over, min_keep, conv, turn)
+    failed = summaries(older, summary, conv, turn).filter(F.col("answer").isNull()).select(conv)
+    changed = summarize(over.join(failed, conv, "left_anti"), summary, min_keep, conv, turn)
+    trimmed = trim(over.join(failed, conv, "left_semi"), limit, min_keep, conv, turn)
+    return messages.join(long, conv, "left_anti").unionByName(changed).unionByName(trimmed)
 
 
 def cap_hits(turns: DataFrame, rounds: Column, has_answer: Column, cap: int = MAX_TOOL_ROUNDS) -> DataFrame:

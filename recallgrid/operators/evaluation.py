@@ -232,8 +232,3 @@ def fallback_rate(rows: DataFrame, doc: str, query: str, status: Column) -> Data
     return rows.agg(
         F.count("*").alias("n"), F.avg((F.col(doc) == F.col(query)).cast("double")).alias("fallback_rate"),
         F.count_if(status == "PASS").alias("n_pass"))
-
-
-def top_rows(df: DataFrame, score: str, key: str, qid: str, k: int) -> DataFrame:
-    """Rows ranked by descending score within each query."""
-    return top_k(df, [qid], [F.col(score).desc(), F.col(key).asc()], k)

@@ -126,9 +126,13 @@ def token_counter(load: Callable[[], Callable[[str], list]]) -> Callable[[Column
     return run
 
 
-def message_chars(role: Column, text: Column, overhead: int = 32) -> Column:
+#: Characters that a message's JSON punctuation takes.
+MESSAGE_OVERHEAD = 32
+
+
+def message_chars(role: Column, text: Column, overhead: int = MESSAGE_OVERHEAD) -> Column:
     """Characters a message takes in the serialised history; ``overhead`` stands for its JSON punctuation."""
-    return (F.length(role) + F.length(F.coalesce(text, F.lit(""))) + F.lit(overhead)).cast("long")
+    return (F.length(F.coalesce(role, F.lit(""))) + F.length(F.coalesce(text, F.lit(""))) + F.lit(overhead)).cast("long")
 
 
 def tokens_of(chars: Column) -> Column:

@@ -307,10 +307,11 @@ def generate_once(
     else:
         fresh = memo.filter(F.timestamp_diff("SECOND", F.col("ts"), now) <= ttl_seconds)
         known = top_k(fresh, [query], [F.col("ts").desc()], 1).select(query, "generated")
-        missing = texts.join(known, query, "left_anti").withColumn("generated", make(F.col(query)))
+        missing = texts.join(known.withColumnRenamed(query, "_known"), F.col(query).eqNullSafe(F.col("_known")), "left_anti").withColumn("generated", make(F.col(query)))
         made = known.join(texts, query, "left_semi").unionByName(missing)
     made = made.withColumn("generated", F.coalesce(F.nullif("generated", F.lit("")), F.col(query)))
-    return requests.join(made, query)
+    made = made.withColumnRenamed(query, "_asked")
+    return requests.join(made, F.col(query).eqNullSafe(F.col("_asked"))).select(*requests.columns, "generated")
 
 
 def sample_centroids(samples: DataFrame, embed: Callable[[Column], Column], text: str, qid: str = "query_id") -> DataFrame:

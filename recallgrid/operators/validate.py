@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from recallgrid.schema import OPTIONAL_INTS, OPTIONAL_TEXTS, PAYLOAD, REQUIRED_CODES, REQUIRED_INTS
 
 # The pattern goes before the cast: a failing try_cast raises inside the JVM, at a cost of tens of microseconds.
-_WHOLE = r"CASE WHEN `{0}` RLIKE r'^\s*[+-]?\d+(\.0+)?\s*$' THEN try_cast(trim(substring_index(`{0}`, '.', 1)) AS INT) END"
+_NUMBER = r"`{0}` RLIKE r'^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{{1,2}})?\s*$'"
+_WHOLE = r"CASE WHEN `{0}` RLIKE r'^\s*[+-]?\d+(\.0+)?\s*$' THEN try_cast(trim(substring_index(`{0}`, '.', 1)) AS INT) "
+_WHOLE += "WHEN " + _NUMBER + " AND try_cast(trim(`{0}`) AS DECIMAL(38,9)) % 1 = 0 THEN try_cast(try_cast(trim(`{0}`) AS DECIMAL(38,9)) AS INT) END"
+_TOO_LARGE = _NUMBER + " AND try_cast(trim(`{0}`) AS DOUBLE) % 1 = 0"
 _CODE = "upper(coalesce(CAST(`{0}` AS STRING), 'NAN'))"
 _TEXT = "CAST(`{0}` AS STRING)"
 
@@ -33,7 +36,8 @@ FLIGHT_RULES = (
 
 
 def _typed(rule: Rule, columns: Sequence[str]) -> str:
-    """SQL for the typed value: whole numbers such as ``12`` or ``12.0`` as integers, null for any other text."""
+    """SQL for the typed value: whole numbers in any spelling (``12``, ``12.0``, ``12.``, ``1e3``) as integers, null for any other
+    text and for numbers beyond 32 bits, which ``rejected`` names as out of range."""
     if rule.name not in columns:
         return f"CAST(NULL AS {'INT' if rule.kind == 'integer' else 'STRING'})"
     return {"integer": _WHOLE, "code": _CODE, "text": _TEXT}[rule.kind].format(rule.name)
@@ -89,7 +93,8 @@ def rejected(df: DataFrame, rules: Sequence[Rule] = FLIGHT_RULES, null_policy: s
             found += [f"'{rule.name}: missing'"] if rule.required else []
         elif rule.kind != "code":
             null = f"WHEN `{rule.name}` IS NULL THEN " + (f"'{rule.name}: null'" if rule.required or strict else "NULL")
-            bad = f"WHEN ({_typed(rule, df.columns)}) IS NULL THEN '{rule.name}: not an integer'"
+            bad = (f"WHEN ({_typed(rule, df.columns)}) IS NULL THEN CASE WHEN {_TOO_LARGE.format(rule.name)} "
+                   f"THEN '{rule.name}: out of range' ELSE '{rule.name}: not an integer' END")
             found.append(f"CASE {null} {bad if rule.kind == 'integer' else ''} END")
     problems = F.expr(f"array_compact(CAST(array({', '.join(found)}) AS ARRAY<STRING>))")
     return df.withColumn("problems", problems).filter(F.size("problems") > 0)

@@ -44,12 +44,41 @@ _LINES = """upper(role) || ': ' || substr(text, 1, 300)"""
 
 
 @query("transcript", f"""
-SELECT conv_id, CAST(0 AS BIGINT) AS segment, count(*) AS n_lines, string_agg({_LINES}, chr(10) ORDER BY turn) AS transcript
+SELECT conv_id, count(*) AS n_lines, string_agg({_LINES}, chr(10) ORDER BY turn) AS transcript
 FROM conversations WHERE text <> '' GROUP BY conv_id""")
 def transcript(spark, d):
     return dialogs.transcript(table(spark, d, "conversations"))
 
 
+def long_talks(spark, d):
+    """Conversations run together into three long ones, turns numbered anew."""
+    c = table(spark, d, "conversations")
+    return c.select((F.col("conv_id") % 3).alias("conv_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn"), "role", "text")
+
+
+_LONG_SQL = "talks AS (SELECT conv_id % 3 AS conv_id, conv_id * 1000 + turn AS turn, role, text FROM conversations)"
+
+
+@query("transcript_long", f"""
+WITH {_LONG_SQL} SELECT conv_id, count(*) AS n_lines, string_agg({_LINES}, chr(10) ORDER BY turn) AS transcript
+FROM talks WHERE text <> '' GROUP BY conv_id""")
+def transcript_long(spark, d):
+    return dialogs.transcript(long_talks(spark, d))
+
+
+@query("summarize_long", f"""
+WITH {_LONG_SQL},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM talks),
+older AS (SELECT * FROM numbered WHERE pos > 1 AND back > 3),
+s AS (SELECT conv_id, min(turn) AS turn, 'system' AS role, concat('[Earlier conversation (', count(*), ' messages): ',
+    substr(string_agg({_LINES}, chr(10) ORDER BY turn) FILTER (WHERE text <> ''), 1, 200), ']') AS text FROM older GROUP BY conv_id)
+SELECT conv_id, turn, role, text FROM s
+UNION ALL SELECT conv_id, turn, role, text FROM numbered WHERE NOT (pos > 1 AND back > 3)""")
+def summarize_long(spark, d):
+    return dialogs.summarize(long_talks(spark, d), dialogs.first_characters(200), min_keep=3)
+
+
 _SPLIT = """
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),

@@ -231,9 +231,20 @@ def report_json(spark, d):
         F.variant_get("v", "$.models[0].model", "string").alias("best"))
 
 
-@query("model_compare")
+_WORDS_SQL = "[w for w in list_distinct(regexp_split_to_array({0}, '\\s+')) if w <> '']"
+
+
+@query("model_compare", f"""
+WITH {TEXT_SQL},
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kept QUALIFY rank <= 20),
+t AS (SELECT h.query_id, h.doc_id, h.rank, h.query, d.text AS doc FROM h JOIN documents d USING (doc_id)),
+s AS (SELECT *, 'overlap' AS model, len(list_intersect({_WORDS_SQL.format('query')}, {_WORDS_SQL.format('doc')})) AS points FROM t
+  UNION ALL SELECT *, 'length', -abs(length(query) - length(doc)) FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, model ORDER BY points DESC, rank) AS place FROM s),
+m AS (SELECT query_id, model, coalesce(max(1.0 / place) FILTER (WHERE rank <= 3 AND place <= 5), 0.0) AS mrr FROM r GROUP BY ALL)
+SELECT model, count(*) AS n_scored, avg(CAST(mrr > 0 AS DOUBLE)) AS hit_rate, avg(CAST(mrr AS DOUBLE)) AS mean_mrr FROM m GROUP BY model""")
 def model_compare(spark, d):
-    """Two pair scorers over the same candidate sets, timed. Times differ from run to run, so there is no SQL for it."""
+    """Two pair scorers over the same candidate sets. Their times differ from run to run and are left out here."""
 
     def overlap():
         return lambda q, docs: [len(set(q.split()) & set(x.split())) for x in docs]
@@ -247,7 +258,7 @@ def model_compare(spark, d):
     reranked = write_out(ev.rerank_models(sets, {"overlap": overlap, "length": length}, "long", 5), "reranked")
     expected = hits.filter(F.col("rank") <= 3).select("query_id", F.col("doc_id").alias("id"))
     summary = ev.model_summary(expected.select("query_id").distinct(), reranked, expected)
-    return ev.composite_ranking(summary)
+    return ev.composite_ranking(summary).select("model", "n_scored", "hit_rate", "mean_mrr")
 
 
 @query("golden_merge", """

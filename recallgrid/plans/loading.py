@@ -18,7 +18,7 @@ from recallgrid.plans.registry import (
     FLIGHT_ID_SQL, FLIGHTS_SQL, RAW_FLIGHTS_SQL, flights, query, raw_flights, table, uuid5_sql,
 )
 from recallgrid.schema import NAMESPACE_URL, PAYLOAD
-from recallgrid.session import shared_path, spread_out
+from recallgrid.session import shared_path
 from recallgrid.sources import records, tables
 
 _SPLIT = datetime(2024, 1, 16)
@@ -26,7 +26,7 @@ _NUMBERS = ("flight", "sched_dep_time", "distance", "air_time")
 
 
 def _events(spark, d):
-    return spread_out(table(spark, d, "events"), "event_id")
+    return table(spark, d, "events")
 
 
 def _flight_rows(spark, d):

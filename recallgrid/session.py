@@ -60,13 +60,3 @@ def write_out(df: DataFrame, name: str = "stage") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_out(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows over all cores by a unique key, if the scan ``df`` has fewer partitions than there are cores.
-
-    For costly work per row on small or badly split files. A large table already has more splits than cores and is left
-    alone, so nothing is shuffled for it. ``df`` must be a plain scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

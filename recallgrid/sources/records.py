@@ -19,9 +19,10 @@ def null_tokens(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.withColumns({c: F.expr(f"CASE WHEN `{c}` NOT IN ({tokens}) THEN `{c}` END") for c in names})
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False, position: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True, position: str | None = None) -> DataFrame:
     """CSV with a header, every column as text, null tokens applied.
 
+    Quoted line breaks are part of their field; for files known to have none, ``multi_line=False`` reads a large file in splits.
     ``position`` adds an order by file, block and line. It is the same on every retry: the row number only counts
     within the rows a task reads, which depend on the file layout alone.
     """
@@ -63,5 +64,5 @@ def read_zip(spark: SparkSession, path: str, columns: Sequence[str] = PAYLOAD, c
     return null_tokens(files.mapInPandas(rows, schema), list(columns))
 
 
-def read_records(spark: SparkSession, path: str, columns: Sequence[str] = PAYLOAD) -> DataFrame:
-    return read_zip(spark, path, columns) if path.lower().endswith(".zip") else read_csv(spark, path)
+def read_records(spark: SparkSession, path: str, columns: Sequence[str] = PAYLOAD, multi_line: bool = True) -> DataFrame:
+    return read_zip(spark, path, columns) if path.lower().endswith(".zip") else read_csv(spark, path, multi_line)

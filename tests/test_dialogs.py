@@ -123,3 +123,34 @@ def test_cap_hits_and_first_seen(spark):
     seen = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (1, "b", 9), (2, None, 1)], "s int, bid string, turn int")
     got = dialogs.first_seen(seen, "s", "bid", "turn").orderBy("first_seen").collect()
     assert [(r.s, r.bid, r.first_seen) for r in got] == [(1, "b", 2), (1, "a", 3)]
+
+
+def test_results_do_not_depend_on_length(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"message {t}") for t in range(700)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    lines = [f"{r[2].upper()}: {r[3]}" for r in rows]
+    assert [tuple(r) for r in dialogs.transcript(df).collect()] == [(1, 700, "\n".join(lines))]
+    got = by_conv(dialogs.summarize(df, dialogs.first_characters(200), 3).collect())[1]
+    told = "\n".join(lines[1:-3])[:200]
+    assert got == [rows[0], (1, 1, "system", f"[Earlier conversation (696 messages): {told}]"), *rows[-3:]]
+    assert by_conv(dialogs.summarize(df, dialogs.first_characters(200), 0).collect())[1] == rows
+
+
+def test_failed_summary_falls_back_to_trimming(spark):
+    rows = [(1, t, "user", "x" * 100) for t in range(60)] + [(2, t, "user", "ok" * 50) for t in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    summary = lambda text: F.when(text.contains("ok"), F.lit("fine"))
+    got = by_conv(dialogs.fit_context(df, summary, 500, 10).collect())
+    assert got[1] == trimmed(rows[:60], 500, 10)
+    assert len(got[2]) == 12 and got[2][1][3] == "[Earlier conversation (49 messages): fine]"
+
+
+def test_tokenizer_bound_too_high_fails(spark):
+    df = spark.createDataFrame([(1, t, "user", "") for t in range(200)], SCHEMA)
+    with pytest.raises(Exception, match="min_tokens"):
+        dialogs.trim_exact(df, lambda ps: len(ps) // 10, limit=60, min_keep=2, min_tokens=2).collect()
+
+
+def test_null_role_counts_as_empty(spark):
+    df = spark.createDataFrame([(1, t, None, "abc") for t in range(4)], SCHEMA)
+    assert dialogs.trim(df, 100, 1).count() == 4

@@ -130,3 +130,15 @@ def test_golden_files(spark, tmp_path):
 def test_payload_columns(spark):
     df = validate.accepted(raw(spark, {})).withColumn("extra", F.lit(1))
     assert validate.payload(df).columns == list(PAYLOAD)
+
+
+def test_every_spelling_of_a_whole_number(spark):
+    rule = [validate.Rule("n", "integer")]
+    df = spark.createDataFrame([(x,) for x in ("12", "12.0", "12.", "1e3", "1.5e1", " +7 ", "-0.0", "1.5", "1e-1", "abc", "3000000000", "2147483648.0")], "n string")
+    assert [r.n for r in validate.accepted(df, rule).collect()] == [12, 12, 12, 1000, 15, 7, 0]
+    assert [r.problems[0] for r in validate.rejected(df, rule).collect()] == ["n: not an integer"] * 3 + ["n: out of range"] * 2
+
+
+def test_quoted_line_breaks_stay_in_their_field(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n')
+    assert [tuple(r) for r in records.read_records(spark, str(tmp_path / "a.csv")).collect()] == [("1", "two\nlines"), ("2", "plain")]

@@ -169,3 +169,9 @@ def test_approximate_search_finds_only_exact_scores(tables):
     near = as_dict(search.approximate_search(good, requests, bits=3, dim=4, k=1000, threshold=None, id_col="id"))
     for q, hits in near.items():
         assert {h[1:] for h in hits} <= {h[1:] for h in exact[q]} and len(hits) > len(exact[q]) // 4
+
+
+def test_generate_once_keeps_null_queries(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "i int, query string")
+    got = sorted(tuple(r) for r in search.generate_once(df, lambda q: F.upper(q)).select("i", "generated").collect())
+    assert got == [(1, None), (2, "A"), (3, None)]
