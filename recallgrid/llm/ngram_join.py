@@ -31,7 +31,7 @@ TASK_CHARS = 16_000_000
 MOST_IDS = 1 << 21
 
 #: Rounds of comparing each set with hubs before the look-ups.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 
 OWN, NEXT, OWN_LESS, NEXT_LESS = 0, 1, 2, 3
 
