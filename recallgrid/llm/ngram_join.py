@@ -5,7 +5,9 @@ more differ in at most (|r| + |s|) / 7 n-grams, so of any floor(2 |r| / 7) + 1 o
 n-grams in a smaller partner s. Each set is indexed by its segments' subsets, in its own band and in the next one, where larger
 partners look for it; sets of small bands also by every subset less one n-gram (a segment that may differ by one counts
 twice). The cost of a subset is the number of sets that share it. Every set looks itself up by the cheapest subsets that reach the
-bound; most of a text's subsets are its own, so most texts have nothing to compare. What is found is verified on the sets.
+bound; most of a text's subsets are its own, so most texts have nothing to compare. Where many sets share a subset, pairs whose
+parity bitmaps already differ in more bits than linked sets may differ in n-grams are left out: each n-gram that only one of two
+sets holds flips one bit, so bitmaps never differ in more. What is left is verified on the sets.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ MOST_IDS = 1 << 21
 #: Rounds of comparing each set with hubs before the look-ups.
 HUB_ROUNDS = 1
 
+#: Sets that share a subset, from which on their bitmaps go along with the index; bits of a bitmap.
+CROWD, BITS = 32, 2048
+
 OWN, NEXT, OWN_LESS, NEXT_LESS = 0, 1, 2, 3
 
 _U = np.uint64
@@ -355,24 +360,38 @@ def _hub_pairs(seed):
     return run
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set as 64-bit words: each n-gram flips one bit."""
+    odd = np.bincount((mix(tokens ^ _A) % _U(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _meet(batches):
-    """Pairs (doc, other, shared) that meet in a task's parts: the doc looks up, the other is no larger and of another component."""
-    index, asks = [], []
+    """Pairs (doc, other, shared) that meet in a task's parts: the doc looks up, the other is no larger and of another component.
+
+    Of pairs with bitmaps only those that may be linked by these.
+    """
+    index, asks, maps, q_maps = [], [], [], {}
     for batch in batches:
-        for what, doc, comp, n, sigs, modes in zip(*(batch.column(c) for c in ("what", "doc", "comp", "n", "sigs", "modes"))):
+        for what, doc, comp, n, sigs, modes, bits in zip(*(batch.column(c) for c in ("what", "doc", "comp", "n", "sigs", "modes", "bits"))):
             s = np.asarray(sigs.values)
             own = np.full(len(s), doc.as_py()), np.full(len(s), comp.as_py()), np.full(len(s), n.as_py()), s
             if what.as_py() == "a":
                 asks.append((*own, np.asarray(modes.values)))
+                if bits.is_valid:
+                    q_maps[doc.as_py()] = np.array(bits.values)
             else:
-                index.append(own)
+                index.append((*own, np.full(len(s), len(maps) if bits.is_valid else -1)))
+                if bits.is_valid:
+                    maps.append(np.array(bits.values))
     if not asks or not index:
         return
-    doc, comp, n, sig = (np.concatenate(c) for c in zip(*index))
+    maps = np.array(maps)
+    doc, comp, n, sig, place = (np.concatenate(c) for c in zip(*index))
     kind, sig = sig.view(np.uint64) & _U(3), (sig.view(np.uint64) >> _U(2)).view(np.int64)
     q_doc, q_comp, q_n, q_sig, q_mode = (np.concatenate(c) for c in zip(*asks))
     order = np.argsort(sig, kind="stable")
-    doc, comp, n, sig, kind = doc[order], comp[order], n[order], sig[order], kind[order]
+    doc, comp, n, sig, kind, place = doc[order], comp[order], n[order], sig[order], kind[order], place[order]
     low, high = np.searchsorted(sig, q_sig), np.searchsorted(sig, q_sig, "right")
     # Subsets held by one component only meet nothing new.
     change = np.concatenate([[0], np.cumsum((comp[1:] != comp[:-1]) & (sig[1:] == sig[:-1]))])
@@ -389,21 +408,34 @@ def _meet(batches):
                 (n[span] < q_n[i]) | ((n[span] == q_n[i]) & (doc[span] < q_doc[i])))
             if not q_mode[i]:
                 fit &= kind[span] <= NEXT
-            met.append(doc[span][fit])
-        others, counts = np.unique(np.concatenate(met), return_counts=True)
+            met.append(low[i] + np.flatnonzero(fit))
+        met = np.concatenate(met)
+        own_map = q_maps.get(int(q_doc[look[a]]))
+        if own_map is not None and len(maps) and len(met):
+            _, one, back = np.unique(doc[met], return_index=True, return_inverse=True)
+            one = met[one]
+            mapped = np.flatnonzero(place[one] >= 0)
+            apart = np.bitwise_count(maps[place[one[mapped]]] ^ own_map).sum(axis=1, dtype=np.int64)
+            near = np.ones(len(one), bool)
+            near[mapped] = apart * (DEN + NUM) <= (n[one[mapped]].astype(np.int64) + int(q_n[look[a]])) * (DEN - NUM)
+            met = met[near[back]]
+        others, counts = np.unique(doc[met], return_counts=True)
         if len(others):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(others), q_doc[look[a]])), pa.array(others), pa.array(counts.astype(np.int32))], schema=schema)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc, tokens of the documents in ``ids`` (doc; written). Ids are broadcast up to ``MOST_IDS``, else joined by a shuffle."""
+def sets_of(docs: DataFrame, ids: DataFrame, digest=lambda tokens: tokens.view(np.int64)) -> DataFrame:
+    """doc, tokens (or their ``digest``) of the documents in ``ids`` (doc; written).
+
+    Ids are broadcast up to ``MOST_IDS``, else joined by a shuffle.
+    """
     wanted = bounded(ids, MOST_IDS)
     mine = docs.join(ids if wanted is None else wanted, docs["doc_id"] == ids["doc"], "left_semi")
 
     def rows(keys, texts):
         for key, text in zip(keys, texts):
-            yield key, shingles(text).view(np.int64)
+            yield key, digest(shingles(text))
 
     return arrow_pass(mine, ["doc_id", "text"], "doc long, tokens array<long>", rows)
 
@@ -490,7 +522,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         _look_ups(parts), "part int, doc long, sigs array<long>, modes array<int>"), "join-looks")
     asks = looks.filter("part IS NOT NULL").join(labelled, "doc").select(
         F.lit("a").alias("what"), "part", "doc", "comp", "n", "sigs", "modes")
-    known = subsets.select(F.lit("i").alias("what"), "part", "doc", "comp", "n", "sigs", F.lit(None).cast("array<int>").alias("modes"))
+    crowded = F.exists("costs", lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftright(c, 32) >= CROWD)
+    known = subsets.select(
+        F.lit("i").alias("what"), "part", "doc", "comp", "n", "sigs", F.lit(None).cast("array<int>").alias("modes"), crowded.alias("crowded"))
+    # An id that repeats stands for several sets, so it gets no bitmap.
+    ids = write_out(known.filter("crowded").select("doc").distinct(), "join-crowded")
+    bits = write_out(sets_of(docs, ids, bitmap).groupBy("doc").agg(F.count("*").alias("c"), F.first("tokens").alias("bits")).filter(
+        "c = 1").drop("c"), "join-bits")
+    asks = asks.join(bits, "doc", "left")
+    known = known.filter("NOT crowded").drop("crowded").withColumn("bits", F.lit(None).cast("array<long>")).unionByName(
+        known.filter("crowded").drop("crowded").join(bits, "doc", "left"))
     met = asks.unionByName(known).repartition(parts, "part").mapInArrow(_meet, "doc long, other long, shared int")
     pairs = write_out(met.groupBy("doc", "other").agg(F.sum("shared").alias("shared")).select(
         F.col("doc").alias("a"), F.col("other").alias("b"), "shared"), "join-pairs")
