@@ -16,6 +16,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,6 +193,10 @@ def _flat(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
+def _lengths(column) -> np.ndarray:
+    return np.diff(column.offsets.to_numpy())
+
+
 def _shared_subsets(batches, number):
     """Of one task's signatures: those that two or more sets share, with their costs (``s`` rows), and each set's size, own
     segments and fingerprint (``i`` rows).
@@ -332,18 +337,17 @@ def _hub_pairs(seed):
     First is the set whose subsets are shared most (seed 0: the middle of a group of near copies), or by a hash (other seeds).
     """
     def run(batches):
-        rows = [(d.as_py(), c.as_py(), w.as_py(), np.asarray(s.values)) for batch in batches
-                for d, c, w, s in zip(*(batch.column(k) for k in ("doc", "comp", "weight", "sigs")))]
+        rows = [(*(batch.column(k).to_numpy() for k in ("doc", "comp", "weight")), _flat(batch.column("sigs")), _lengths(batch.column("sigs")))
+                for batch in batches if batch.num_rows]
         if not rows:
             return
-        doc, comp, weight = (np.array(c, np.int64) for c in list(zip(*rows))[:3])
-        sig = np.concatenate([r[3] for r in rows]).view(np.uint64)
-        at = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+        doc, comp, weight, sig, lengths = (np.concatenate(c) for c in zip(*rows))
+        sig, at = sig.view(np.uint64), np.repeat(np.arange(len(doc)), lengths)
         whole = (sig & _U(3)) <= NEXT
         sig, at = sig[whole], at[whole]
         first = (mix(doc.view(np.uint64) + _U(seed * int(_A) & _FULL)) >> _U(1)).view(np.int64) if seed else -weight
-        place = np.empty(len(rows), np.int64)
-        place[np.lexsort((doc, first))] = np.arange(len(rows))
+        place = np.empty(len(doc), np.int64)
+        place[np.lexsort((doc, first))] = np.arange(len(doc))
         order = np.lexsort((place[at], sig >> _U(2)))
         sig, at = sig[order], at[order]
         base = sig >> _U(2)
@@ -351,10 +355,10 @@ def _hub_pairs(seed):
         hub = at[np.flatnonzero(new)][np.cumsum(new) - 1]
         keep = ((sig & _U(3)) == OWN) & (comp[hub] != comp[at])
         docs, at = np.unique(doc, return_inverse=True)[1], at[keep]
-        pairs, counts = np.unique(docs[at] * len(rows) + docs[hub[keep]], return_counts=True)
+        pairs, counts = np.unique(docs[at] * len(doc) + docs[hub[keep]], return_counts=True)
         ids = np.unique(doc)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[pairs // len(rows)]), pa.array(ids[pairs % len(rows)]), pa.array(counts.astype(np.int32))],
+            [pa.array(ids[pairs // len(doc)]), pa.array(ids[pairs % len(doc)]), pa.array(counts.astype(np.int32))],
             ["doc", "other", "shared"])
 
     return run
@@ -371,22 +375,27 @@ def _meet(batches):
 
     Of pairs with bitmaps only those that may be linked by these.
     """
-    index, asks, maps, q_maps = [], [], [], {}
+    index, asks, maps, q_maps, held = [], [], [], {}, 0
     for batch in batches:
-        for what, doc, comp, n, sigs, modes, bits in zip(*(batch.column(c) for c in ("what", "doc", "comp", "n", "sigs", "modes", "bits"))):
-            s = np.asarray(sigs.values)
-            own = np.full(len(s), doc.as_py()), np.full(len(s), comp.as_py()), np.full(len(s), n.as_py()), s
-            if what.as_py() == "a":
-                asks.append((*own, np.asarray(modes.values)))
-                if bits.is_valid:
-                    q_maps[doc.as_py()] = np.array(bits.values)
+        asking = pc.equal(batch.column("what"), "a")
+        for part, asked in ((batch.filter(asking), True), (batch.filter(pc.invert(asking)), False)):
+            if not part.num_rows:
+                continue
+            lengths = _lengths(part.column("sigs"))
+            doc, comp, n = (part.column(c).to_numpy() for c in ("doc", "comp", "n"))
+            own = *(np.repeat(c, lengths) for c in (doc, comp, n)), _flat(part.column("sigs"))
+            mapped = part.column("bits").is_valid().to_numpy(zero_copy_only=False)
+            bits = _flat(part.column("bits")).reshape(-1, BITS // 64)
+            if asked:
+                asks.append((*own, _flat(part.column("modes"))))
+                q_maps |= zip(doc[mapped].tolist(), bits)
             else:
-                index.append((*own, np.full(len(s), len(maps) if bits.is_valid else -1)))
-                if bits.is_valid:
-                    maps.append(np.array(bits.values))
+                index.append((*own, np.repeat(np.where(mapped, held + np.cumsum(mapped) - 1, -1), lengths)))
+                maps.append(bits)
+                held += len(bits)
     if not asks or not index:
         return
-    maps = np.array(maps)
+    maps = np.concatenate(maps)
     doc, comp, n, sig, place = (np.concatenate(c) for c in zip(*index))
     kind, sig = sig.view(np.uint64) & _U(3), (sig.view(np.uint64) >> _U(2)).view(np.int64)
     q_doc, q_comp, q_n, q_sig, q_mode = (np.concatenate(c) for c in zip(*asks))
