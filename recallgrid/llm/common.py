@@ -17,7 +17,7 @@ from recallgrid.session import write_out  # noqa: F401
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Rows that one Arrow batch may hold, and rows handed on at once.
-BATCH_BYTES = "16MB"
+BATCH_BYTES = "4MB"
 
 
 def arrow_pass(df: DataFrame, columns: list[str], schema: str, rows: Callable[..., Iterator[tuple]]) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import arrow_pass, bounded, write_out
+from recallgrid.llm.common import BATCH_BYTES, arrow_pass, bounded, write_out
 from recallgrid.llm.components import components
 
 WORDS = 5
@@ -173,16 +173,17 @@ def _signature_batches(parts: int):
             signs = np.concatenate(sigs)
             part = ((signs >> _U(12)) % _U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            ids, signs = ids[order], signs[order].view(np.int64)
             by_part = np.array([d[0] for d in info], np.int64) % parts
-            rows = {k: [] for k in range(parts)}
+            met = np.unique(np.concatenate([part, by_part]))  # only parts that this batch has rows for
+            cuts = np.append(np.searchsorted(part[order], met), len(part))
+            ids, signs = ids[order], signs[order].view(np.int64)
+            rows = {k: [] for k in met.tolist()}
             for k, row in zip(by_part.tolist(), info):
                 rows[k].append(row)
-            lists = lambda i, kind: pa.array([[r[i] for r in rows[k]] for k in range(parts)], pa.list_(kind))
+            lists = lambda i, kind: pa.array([[r[i] for r in own] for own in rows.values()], pa.list_(kind))
             offsets = pa.array(cuts, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(parts), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(ids)),
+                [pa.array(met, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(ids)),
                  pa.ListArray.from_arrays(offsets, pa.array(signs)), lists(0, pa.int64()), lists(1, pa.int32()),
                  lists(2, pa.int32()), lists(3, pa.int32()), lists(4, pa.int64()), lists(5, pa.int64())], SIGNATURES)
 
@@ -198,7 +199,7 @@ def _lengths(column) -> np.ndarray:
 
 
 def _shared_subsets(batches, number):
-    """Of one task's signatures: those that two or more sets share, with their costs (``s`` rows), and each set's size, own
+    """Of one part's signatures: those that two or more sets share, with their costs (``s`` rows), and each set's size, own
     segments and fingerprint (``i`` rows).
     """
     parts, ids, sigs, info = [], [], [], []
@@ -218,7 +219,6 @@ def _shared_subsets(batches, number):
     doc, n, own, many, f1, f2 = (np.concatenate(c) for c in zip(*info))
     yield table("i", len(doc), doc=pa.array(doc, pa.int64()), n=pa.array(n, pa.int32()), own=pa.array(own, pa.int32()),
                 many=pa.array(many, pa.int32()), f1=pa.array(f1, pa.int64()), f2=pa.array(f2, pa.int64()))
-    # A task may hold several parts; equal signatures are in the same part, so one pass over all of them is enough.
     ids, sigs = np.concatenate(ids), np.concatenate(sigs).view(np.uint64)
     base = sigs >> _U(2)
     order = np.argsort(base, kind="stable")
@@ -491,10 +491,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(24, -(-chars // TASK_CHARS))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16MB")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     signatures = docs.mapInArrow(_signature_batches(parts), SIGNATURE_TYPES)
     shared = write_out(
-        signatures.repartition(parts, "part").mapInArrow(lambda b: _shared_subsets(b, parts), SHARED), "join-shared")
+        signatures.repartitionById(parts, "part").mapInArrow(lambda b: _shared_subsets(b, parts), SHARED), "join-shared")
 
     info = write_out(shared.filter("what = 'i'").groupBy("doc").agg(
         *(F.max_by(c, F.struct("n", "f1", "f2")).alias(c) for c in ("n", "own", "many", "f1", "f2"))), "join-info")
@@ -512,7 +512,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # First each set against hubs with which it shares most subsets: large groups fall together without comparing all pairs.
     links = same.limit(0)
     for seed in range(HUB_ROUNDS):
-        near = held.join(labelled.select("doc", "comp", "weight"), "doc").repartition(parts, "part").mapInArrow(
+        near = held.join(labelled.select("doc", "comp", "weight"), "doc").repartitionById(parts, "part").mapInArrow(
             _hub_pairs(seed), "doc long, other long, shared int")
         best = F.slice(F.sort_array(F.collect_list(F.struct("c", "other")), asc=False), 1, 3)
         near = near.groupBy("doc", "other").agg(F.sum("shared").alias("c")).join(labelled.select("doc", "own"), "doc")
@@ -541,7 +541,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     asks = asks.join(bits, "doc", "left")
     known = known.filter("NOT crowded").drop("crowded").withColumn("bits", F.lit(None).cast("array<long>")).unionByName(
         known.filter("crowded").drop("crowded").join(bits, "doc", "left"))
-    met = asks.unionByName(known).repartition(parts, "part").mapInArrow(_meet, "doc long, other long, shared int")
+    met = asks.unionByName(known).repartitionById(parts, "part").mapInArrow(_meet, "doc long, other long, shared int")
     pairs = write_out(met.groupBy("doc", "other").agg(F.sum("shared").alias("shared")).select(
         F.col("doc").alias("a"), F.col("other").alias("b"), "shared"), "join-pairs")
     all_links = same.unionByName(links)
