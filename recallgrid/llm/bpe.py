@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from recallgrid.llm.common import arrow_pass
 
 #: Distinct pieces that a worker remembers.
-CACHE = 600_000
+CACHE = 300_000
 #: Code points above which a word is encoded as a tree.
 LEAF = 512
 #: Code points above which a text is dealt out in sections.
