@@ -39,6 +39,9 @@ HUB_ROUNDS = 1
 #: Sets that share a subset, from which on their bitmaps go along with the index; bits of a bitmap.
 CROWD, BITS = 32, 2048
 
+#: Sets and n-grams of a block, two of which are compared in a cell, and n-grams compared at once.
+CELL_SETS, CELL_TOKENS, CELL_CODES = 512, 500_000, 4096
+
 OWN, NEXT, OWN_LESS, NEXT_LESS = 0, 1, 2, 3
 
 _U = np.uint64
@@ -482,13 +485,8 @@ def _block_links(docs: DataFrame, rest: DataFrame, block: int = 256) -> DataFram
     return write_out(found, "join-links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: components of documents linked by a similarity of ``NUM`` / ``DEN`` or more.
-
-    A document without words is linked with nothing and stands for itself. Rows with a null doc_id take no part in links and get a null
-    component; rows that repeat a doc_id are one document, with the links of each. No rows give no rows; other columns are ignored.
-    """
-    docs = docs.select("doc_id", "text")
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc, n, component of each document with words (null: its own), and doc, n, f1, f2 of each set. Both written."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(24, -(-chars // TASK_CHARS))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -496,8 +494,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = write_out(
         signatures.repartitionById(parts, "part").mapInArrow(lambda b: _shared_subsets(b, parts), SHARED), "join-shared")
 
+    whole = F.struct("n", "f1", "f2")
     info = write_out(shared.filter("what = 'i'").groupBy("doc").agg(
-        *(F.max_by(c, F.struct("n", "f1", "f2")).alias(c) for c in ("n", "own", "many", "f1", "f2"))), "join-info")
+        *(F.max_by(c, whole).alias(c) for c in ("n", "own", "many", "f1", "f2")), (F.max(whole) != F.min(whole)).alias("several")), "join-info")
     copies = write_out(info.groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c"), "join-copies")
     sized = write_out(info.join(copies, ["n", "f1", "f2"], "left").select(
         "doc", F.coalesce("rep", "doc").alias("rep"), "n", "own", "many"), "join-sized")
@@ -557,13 +556,146 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         all_links = all_links.unionByName(more)
         if left.limit(1).count():
             all_links = all_links.unionByName(verified(docs, left))
+    # An id that repeats with other sets was looked up by one of them only: it is compared with every set.
+    several = info.filter("several").select("doc")
     # Sets that share nothing may still have too few segments to be sure of it.
     units = F.col("own") + F.when(F.col("n") <= int(band_tops()[band_tops() <= SMALL].max()), F.col("many")).otherwise(0)
     bare = reps.filter(units <= F.floor(2 * F.col("n") * (DEN - NUM) / (DEN + NUM))).join(labelled, "doc", "left_anti").select("doc")
-    rest = write_out(looks.filter("part IS NULL").select("doc").unionByName(bare).distinct(), "join-unreached")
+    rest = write_out(looks.filter("part IS NULL").select("doc").unionByName(bare).unionByName(several).distinct(), "join-unreached")
     if rest.limit(1).count():
         all_links = all_links.unionByName(_block_links(docs, rest))
     final = components(all_links)
     result = write_out(info.select("doc", "n").join(final.withColumnRenamed("node", "doc"), "doc", "left"), "join-result")
+    return result, shared.filter("what = 'i'").select("doc", "n", "f1", "f2")
+
+
+def _told(docs: DataFrame, result: DataFrame, *more) -> DataFrame:
     return docs.select("doc_id").join(result, docs["doc_id"] == result["doc"], "left").select(
-        "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *more)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: components of documents linked by a similarity of ``NUM`` / ``DEN`` or more.
+
+    A document without words is linked with nothing and stands for itself. Rows with a null doc_id take no part in links and get a null
+    component; rows that repeat a doc_id are one document, with the links of each. No rows give no rows; other columns are ignored.
+    Links inside a component are not all looked for; ``link_counts`` and ``links`` have them all.
+    """
+    docs = docs.select("doc_id", "text")
+    return _told(docs, _joined(docs)[0])
+
+
+def _members(result: DataFrame, prints: DataFrame) -> DataFrame:
+    """doc, component, tokens, rep, copies of each document with words: documents of one set have one representative. Written.
+
+    A document whose id repeats with other sets stands for itself.
+    """
+    sets = prints.groupBy("doc").agg(F.max(F.struct("n", "f1", "f2")).alias("p"), F.min(F.struct("n", "f1", "f2")).alias("q"),
+                                     F.sum("n").alias("tokens"))
+    several = F.col("p") != F.col("q")
+    sets = write_out(sets.join(result.select("doc", F.coalesce("component", "doc").alias("component")), "doc").select(
+        "doc", "component", "tokens", "p.*", F.when(several, F.col("doc")).otherwise(F.lit(0)).alias("own"), several.alias("several")), "join-prints")
+    key = ["n", "f1", "f2", "several", "own"]
+    reps = sets.groupBy(*key).agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+    return write_out(sets.join(write_out(reps, "join-reps"), key).select("doc", "component", "tokens", "rep", "copies"), "join-members")
+
+
+def _near(tokens: np.ndarray, lengths: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """For the sets at ``rows`` x those at ``columns``, whether they are linked, by exact intersection."""
+    code = np.unique(tokens, return_inverse=True)[1]
+    shared = np.bincount(code) > 1
+    order = np.argsort(code, kind="stable")
+    order = order[shared[code[order]]]
+    at, code = np.repeat(np.arange(len(lengths)), lengths)[order], (np.cumsum(shared) - 1)[code[order]]
+    both = np.zeros((len(rows), len(columns)), np.int64)
+    for low in range(0, int(shared.sum()), CELL_CODES):
+        span = slice(*np.searchsorted(code, [low, low + CELL_CODES]))
+        held = np.zeros((len(lengths), CELL_CODES), np.float32)
+        held[at[span], code[span] - low] = 1
+        both += (held[rows] @ held[columns].T).astype(np.int64)
+    return (both > 0) & (DEN * both >= NUM * (lengths[rows][:, None] + lengths[columns][None, :] - both))
+
+
+def _cell(counted: bool):
+    """Links between the two blocks of a cell, or inside its one block: pairs (a, b), a < b, or for each document the number of documents linked."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("block", "ascending"), ("doc", "ascending")])
+        doc, block, copies = (table.column(c).to_numpy() for c in ("doc", "block", "copies"))
+        lists = table.column("tokens").combine_chunks()
+        first = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))  # an id that repeats has several sets
+        doc, copies, parted = doc[first], copies[first], block[first] != block[0]
+        sides = [np.flatnonzero(block == b) for b in (block.min(), block.max())]
+        near = _near(_flat(lists), _lengths(lists), *sides)
+        one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        if not one and not parted.any():  # nobody in the other block
+            near = near[:, :0]
+        left = ~parted
+        right = left if one else parted
+        if near.size:
+            near = np.logical_or.reduceat(near, first[left], axis=0)
+            near = np.logical_or.reduceat(near, first[right] - sides[1][0], axis=1)
+        else:
+            near = np.zeros((int(left.sum()), int(right.sum())), bool)
+        if one:
+            np.fill_diagonal(near, False)
+        if counted:
+            found = [(doc[left], near @ copies[right])] + ([] if one else [(doc[right], copies[left] @ near)])
+            ids, n = (np.concatenate(c) for c in zip(*found))
+            return pa.table({"doc": pa.array(ids[n > 0], pa.int64()), "links": pa.array(n[n > 0], pa.int64())})
+        x, y = np.nonzero(np.triu(near) if one else near)
+        x, y = doc[left][x], doc[right][y]
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+    return run
+
+
+def _linked(docs: DataFrame, members: DataFrame, counted: bool) -> DataFrame:
+    """Every link between representatives, as pairs (a, b), or counted: doc, links (one for each copy of the other). Written.
+
+    Only documents of one component can be linked. Its representatives are dealt by hash into blocks of bounded size, and each cell
+    of two blocks compares all their sets, so nothing depends on the index and no group is one task.
+    """
+    reps = members.filter("doc = rep").select("doc", "component", "tokens", "copies")
+    sizes = write_out(reps.groupBy("component").agg(F.count("*").alias("m"), F.sum("tokens").alias("t")).filter("m > 1").select(
+        "component", F.greatest(F.ceil(F.col("m") / CELL_SETS), F.ceil(F.col("t") / CELL_TOKENS)).cast("int").alias("blocks")), "join-sizes")
+    placed = write_out(reps.drop("tokens").join(sizes, "component").withColumn(
+        "block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "join-placed")
+    few = bounded(placed, MOST_IDS)
+    mine = docs.join(placed if few is None else few, docs["doc_id"] == placed["doc"])
+
+    def rows(*columns):
+        for *own, text in zip(*columns):
+            tokens = shingles(text)
+            if len(tokens):
+                yield (*own, tokens.view(np.int64))
+
+    sets = arrow_pass(mine, ["doc", "component", "block", "blocks", "copies", "text"],
+                      "doc long, component long, block int, blocks int, copies long, tokens array<long>", rows)
+    cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
+        F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    cells = sets.withColumn("cell", F.explode(cell)).select("component", "cell.*", "doc", "block", "copies", "tokens")
+    return write_out(cells.groupBy("component", "i", "j").applyInArrow(
+        _cell(counted), "doc long, links long" if counted else "a long, b long"), "join-all-links")
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b), a < b, between representatives of different sets; and (doc, rep, copies) of each document with words.
+
+    Documents with equal sets have one representative, the smallest, and are linked with each other and with all that it is linked
+    with. See ``near_duplicates`` for odd rows.
+    """
+    docs = docs.select("doc_id", "text")
+    members = _members(*_joined(docs))
+    return _linked(docs, members, False), members.select("doc", "rep", "copies")
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` and n_links: the number of other documents that a document is linked with, exact copies among them."""
+    docs = docs.select("doc_id", "text")
+    result, prints = _joined(docs)
+    members = _members(result, prints)
+    others = _linked(docs, members, True).groupBy("doc").agg(F.sum("links").alias("links")).withColumnRenamed("doc", "rep")
+    counts = members.join(write_out(others, "join-counts"), "rep", "left").select(
+        "doc", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    counted = write_out(result.join(counts, "doc", "left"), "join-counted")
+    return _told(docs, counted, F.coalesce("n_links", F.lit(0)).alias("n_links"))

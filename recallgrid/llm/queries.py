@@ -35,7 +35,7 @@ def remainder(mod: int):
 
 @query
 def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf, "documents"))
+    return ngram_join.link_counts(table(spark, sf, "documents"))
 
 
 SPECIAL_TEXT = "\\### Assistant: </turn> ok"
