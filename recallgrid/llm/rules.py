@@ -14,6 +14,9 @@ from recallgrid.llm.common import WORD, arrow_pass, write_out
 SYMBOLS = "#*$%&|<>"
 PLAIN_MARKS = b".,;:'\"-()?"
 
+#: Words of a window in which shares are taken, so that they do not change with the length of a text; words of a long passage.
+WINDOW, PASSAGE = 500, 16
+
 BAD, NONE, GOOD = 0, 1, 2
 
 #: (name, votes bad when, votes good when), over the measures of one text; no vote where neither holds.
@@ -32,6 +35,48 @@ RULES = (
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string"
 
 
+def windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """Every item in rows of ``size``, one after the other; the last row ends with the last item. At least ``size`` items."""
+    whole = codes[: len(codes) // size * size].reshape(-1, size)
+    return np.concatenate([whole, codes[None, -size:]]) if len(codes) % size else whole
+
+
+def covered(twice: np.ndarray, words: int) -> np.ndarray:
+    """For rows of flags of n-grams of so many words, the share of words in a flagged one."""
+    hit = np.zeros((len(twice), twice.shape[1] + words - 1), bool)
+    for shift in range(words):
+        hit[:, shift: shift + twice.shape[1]] |= twice
+    return hit.mean(axis=1)
+
+
+def shares(order: np.ndarray) -> tuple[float, float]:
+    """Shares of distinct and of repeated words of a text longer than a window, given as codes of its words.
+
+    Both are means over all windows. Windows do not see what repeats at a distance: words in passages that occur again
+    anywhere in the text count too, and as chance does not repeat whole passages, they do not grow with the length.
+    """
+    rows = np.sort(windows(order, WINDOW), axis=1)
+    distinct = float((1 + (rows[:, 1:] != rows[:, :-1]).sum(axis=1)).mean() / WINDOW)
+    many = int(order.max()) + 1
+    pairs = np.unique(order[:-1] * many + order[1:], return_inverse=True)[1]
+    threes = np.unique(pairs[:-1] * many + order[2:], return_inverse=True)[1]
+    starts = windows(np.arange(len(order)), WINDOW)[:, : WINDOW - 2]
+    rows = threes[starts]
+    by = np.argsort(rows, axis=1)
+    rows = np.take_along_axis(rows, by, axis=1)
+    same = rows[:, 1:] == rows[:, :-1]
+    edge = np.zeros((len(rows), 1), bool)
+    twice = np.empty(rows.shape, bool)
+    np.put_along_axis(twice, by, np.hstack([same, edge]) | np.hstack([edge, same]), axis=1)
+    near = float(covered(twice, 3).mean())
+    passages, words = order, 1
+    while words < PASSAGE:
+        passages = np.unique(passages[:-words] * (int(passages.max()) + 1) + passages[words:], return_inverse=True)[1]
+        words *= 2
+    again = np.bincount(passages)[passages] > 1
+    return distinct, max(near, float(covered(again[None], PASSAGE)[0]))
+
+
 def measure(text: str | None) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, votes of one text."""
     text = text or ""
@@ -58,12 +103,13 @@ def measure(text: str | None) -> tuple:
         for shift in range(3):
             hit[shift: n - 2 + shift] |= twice
         repeat = int(hit.sum())
+    distinct, repeated = shares(order) if n > WINDOW else (len(codes) / max(n, 1), repeat / max(n, 1))
     by_byte = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=128)
     upper, lower = int(by_byte[65:91].sum()), int(by_byte[97:123].sum())
     marks = int(by_byte[33:48].sum() + by_byte[58:65].sum() + by_byte[91:97].sum() + by_byte[123:127].sum())
     marks -= int(by_byte[list(PLAIN_MARKS)].sum())
     m = {"symbols": symbols / max(n, 1), "marks": marks / max(n, 1), "upper": upper / max(upper + lower, 1),
-         "repeat": repeat / max(n, 1), "distinct": len(codes) / max(n, 1), "dup_lines": dup / max(lines, 1),
+         "repeat": repeated, "distinct": distinct, "dup_lines": dup / max(lines, 1),
          "word_chars": chars / max(n, 1)}
     votes = "".join(str(BAD if bad(m) else GOOD if good(m) else NONE) for _, bad, good in RULES)
     return n, chars, symbols, dup, repeat, votes
