@@ -33,6 +33,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL_REST = re.compile(r"[^\s<>\"'|]*[^\s<>\"'|.,;:!?)\]}]")
 FILLER = re.compile(r"(?:[\s:#=.-]|\b(?:is|no|nr|number|id)\b)*", re.IGNORECASE)
 IDENTIFIER = re.compile(r"[A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[ -]?[A-Za-z0-9]*[0-9][A-Za-z0-9]*)*")
+#: Printed IBAN: country, check digits, groups of four, the last one of one to four; groups may be letters only.
+IBAN_GROUP = re.compile(r"[ -]?([A-Za-z0-9]{1,4})(?![A-Za-z0-9])|[ -]?([A-Za-z0-9]{4})")
+IBAN_START = re.compile(r"[A-Za-z]{2}[0-9]{2}")
+IBAN_LEAST, IBAN_MOST = 15, 34
 KEY = re.compile(r"[A-Za-z0-9_-]{16,}")
 DIGITS = re.compile(r"[0-9]+")
 
@@ -74,12 +78,35 @@ def _is_phone(match: str) -> bool:
     return 10 <= sum(map(len, DIGITS.findall(match))) <= 15
 
 
+def _iban_end(text: str, at: int, named: bool) -> int:
+    """End of the IBAN that starts at ``at``, 0 if there is none.
+
+    That with the right check digits; else, after the cue ``iban``, the groups in capitals up to the last one that holds a digit.
+    """
+    if not (m := IBAN_START.match(text, at)):
+        return 0
+    body, end, likely, capitals = m[0], m.end(), 0, m[0].isupper()
+    while m := IBAN_GROUP.match(text, end):
+        group = m[1] or m[2]
+        body, end, capitals = body + group, m.end(), capitals and not any("a" <= c <= "z" for c in group)
+        if len(body) > IBAN_MOST:
+            break
+        if len(body) >= IBAN_LEAST and not text[end: end + 1].isalnum():
+            if int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1:
+                return end
+            if named and capitals and any(c.isdigit() for c in group):
+                likely = end
+        if len(group) < 4:
+            break
+    return likely
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start, then in the order of ``KINDS``.
 
     email, ip, card and phone: leftmost matches that do not overlap within their kind, failing ones dropped without retries.
     url: a scheme and what follows up to a blank, quote or bracket, without closing punctuation. account: an identifier of at
-    least 6 characters with 4 digits or more after a cue, or a key with a known start.
+    least 6 characters with 4 digits or more after a cue (of an IBAN all groups, also those of letters), or a key with a known start.
     """
     if not text:
         return []
@@ -117,17 +144,19 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
         elif (start := at - length + 1) >= done["account"] and (start == 0 or not text[start - 1].isalnum()):
             if m := KEY.match(text, start):
                 take("account", start, m.end(), True)
-    lower = text.lower()
-    if len(lower) == len(text):
-        for at, length in CUE_TRIE.iter(lower):
-            start = at - length + 1
-            if (start and text[start - 1].isalnum()) or text[at + 1: at + 2].isalnum():
-                continue
-            place = FILLER.match(text, at + 1).end()
-            if place >= done["account"] and (m := IDENTIFIER.match(text, place)):
-                body = m[0]
-                if len(body) >= 6 and sum(c.isdigit() for c in body) >= 4:
-                    take("account", place, m.end(), True)
+    # The dotted capital I is the only letter that grows in lower case; cues are ASCII, so any other letter may stand for it.
+    lower = text.replace("\u0130", "\u0131").lower()
+    for at, length in CUE_TRIE.iter(lower):
+        start = at - length + 1
+        if (start and text[start - 1].isalnum()) or text[at + 1: at + 2].isalnum():
+            continue
+        place = FILLER.match(text, at + 1).end()
+        if place >= done["account"]:
+            m = IDENTIFIER.match(text, place)
+            end = max(m.end() if m else 0, _iban_end(text, place, lower.startswith("iban", start)))
+            body = text[place:end]
+            if len(body) >= 6 and sum(c.isdigit() for c in body) >= 4:
+                take("account", place, end, True)
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(found), key=lambda s: (s[0], rank[s[2]], s[1]))
 
