@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.llm import bpe, chat, ngram_join, packing, pii, quality, rules, sharding, topk, toxicity
+from recallgrid.llm import bpe, chat, fingerprints, ngram_join, packing, pii, quality, rules, sharding, topk, toxicity
 from recallgrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"), 16)
+
+
+@query
+def op13_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf, "documents"))
