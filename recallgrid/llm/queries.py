@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.llm import bpe, chat, fingerprints, lexical, ngram_join, packing, pii, quality, rules, sharding, topk, toxicity
+from recallgrid.llm import alignment, bpe, chat, fingerprints, lexical, ngram_join, packing, pii, quality, rules, sharding, topk, toxicity
 from recallgrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +108,12 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"), 16)
 
 
+@query
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.aligned_documents(
+        table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 @query
 def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 50)
