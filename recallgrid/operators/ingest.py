@@ -11,18 +11,50 @@ from recallgrid.functions.text import text_or_none
 from recallgrid.operators.ranking import last_per_key
 from recallgrid.schema import AIRPORTS, CARRIERS, ID_PARTS, code_table
 
+#: Partitions of a batch that are named in a condition, one by one.
+MOST_PARTITIONS = 4096
+
 
 def with_id(df: DataFrame, parts: Sequence[str] = ID_PARTS, out: str = "flight_id") -> DataFrame:
     return df.withColumn(out, record_id(*parts))
 
 
-def unseen(new: DataFrame, stored: DataFrame, key: str = "flight_id", position: Sequence[str] = ()) -> DataFrame:
+def unseen(
+    new: DataFrame, stored: DataFrame, key: str = "flight_id", position: Sequence[str] = (), partitions: Sequence[str] = (),
+) -> DataFrame:
     """Rows to add: the last row per id of the new data whose id is not stored yet.
 
-    Dedup and anti join share one hash partitioning by id; only the stored ids shuffle besides.
+    Dedup and anti join share one hash partitioning by id; only the stored ids shuffle besides. ``partitions`` are columns that the
+    id decides, by which the stored table is laid out: they join the key, so that a batch only meets its own partitions.
+    """
+    on = [*partitions, key]
+    rows = last_per_key(new, on, *position) if position else new
+    return rows.join(stored.select(*on), on, "left_anti")
+
+
+def touched(batch: DataFrame, partitions: Sequence[str], most: int = MOST_PARTITIONS) -> Column:
+    """A condition on the partition columns that holds in every partition the batch has rows for, to prune a scan.
+
+    Up to ``most`` partitions it names them; beyond, it is the range of the first column. False for an empty batch.
     """
-    rows = last_per_key(new, [key], *position) if position else new
-    return rows.join(stored.select(key), key, "left_anti")
+    first, *rest = partitions
+    rows = batch.select(*partitions).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        low, high = batch.agg(F.min(first), F.max(first)).first()
+        return F.coalesce(F.col(first).between(low, high), F.lit(True)) if batch.filter(
+            F.col(first).isNull()).isEmpty() else F.lit(True)
+    by_rest: dict[tuple, list] = {}
+    for r in rows:
+        by_rest.setdefault(tuple(r[c] for c in rest), []).append(r[first])
+    same = lambda c, values: (
+        F.col(c).isin([v for v in values if v is not None]) | (F.col(c).isNull() if None in values else F.lit(False)))
+    out = F.lit(False)
+    for values, firsts in by_rest.items():
+        one = same(first, firsts)
+        for c, v in zip(rest, values):
+            one = one & same(c, [v])
+        out = out | one
+    return out
 
 
 def already_stored(new: DataFrame, stored: DataFrame, key: str = "flight_id") -> DataFrame:
@@ -95,10 +127,11 @@ def index_rows(
     embed: Callable[[Column], Column],
     position: Sequence[str],
     key: str = "flight_id",
+    partitions: Sequence[str] = (),
 ) -> DataFrame:
     """Rows ready to append to the index: payload, text and vector of the records not stored yet.
 
     The anti join comes first, so only new rows are rendered and embedded.
     """
-    fresh = flight_document(unseen(with_id(records, out=key), stored_ids, key, position))
+    fresh = flight_document(unseen(with_id(records, out=key), stored_ids, key, position, partitions))
     return fresh.withColumn("embedding", embed(F.col("doc"))).drop(*position)

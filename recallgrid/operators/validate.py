@@ -11,9 +11,11 @@ from recallgrid.schema import OPTIONAL_INTS, OPTIONAL_TEXTS, PAYLOAD, REQUIRED_C
 
 # The pattern goes before the cast: a failing try_cast raises inside the JVM, at a cost of tens of microseconds.
 _NUMBER = r"`{0}` RLIKE r'^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{{1,2}})?\s*$'"
-_WHOLE = r"CASE WHEN `{0}` RLIKE r'^\s*[+-]?\d+(\.0+)?\s*$' THEN try_cast(trim(substring_index(`{0}`, '.', 1)) AS INT) "
-_WHOLE += "WHEN " + _NUMBER + " AND try_cast(trim(`{0}`) AS DECIMAL(38,9)) % 1 = 0 THEN try_cast(try_cast(trim(`{0}`) AS DECIMAL(38,9)) AS INT) END"
-_TOO_LARGE = _NUMBER + " AND try_cast(trim(`{0}`) AS DOUBLE) % 1 = 0"
+# Plain whole numbers stay in generated code. Rarer spellings go through a lambda, which generated code only calls: spelled out for
+# every column, it would grow beyond the 64 KB of a method.
+_WHOLE = r"CASE WHEN `{0}` RLIKE r'^\s*[+-]?\d+(\.0*)?\s*$' THEN try_cast(trim(substring_index(`{0}`, '.', 1)) AS INT) "
+_WHOLE += "WHEN " + _NUMBER + " THEN transform(array(try_cast(trim(`{0}`) AS DECIMAL(38,9))), d -> if(d % 1 = 0, try_cast(d AS INT), NULL))[0] END"
+_TOO_LARGE = "exists(array(`{0}`), x -> " + _NUMBER.replace("`{0}`", "x") + " AND try_cast(trim(x) AS DOUBLE) % 1 = 0)"
 _CODE = "upper(coalesce(CAST(`{0}` AS STRING), 'NAN'))"
 _TEXT = "CAST(`{0}` AS STRING)"
 

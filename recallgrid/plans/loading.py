@@ -15,7 +15,7 @@ from recallgrid.functions.ids import record_id
 from recallgrid.operators import ingest, ranking, validate
 from recallgrid.operators.hooks import hash_embedding
 from recallgrid.plans.registry import (
-    FLIGHT_ID_SQL, FLIGHTS_SQL, RAW_FLIGHTS_SQL, flights, query, raw_flights, table, uuid5_sql,
+    FLIGHT_ID_SQL, FLIGHTS_SQL, GOOD_DISTANCE_SQL, WHOLE_DISTANCE_SQL, flights, query, raw_flights, table, uuid5_sql,
 )
 from recallgrid.schema import NAMESPACE_URL, PAYLOAD
 from recallgrid.session import shared_path
@@ -33,7 +33,7 @@ def _flight_rows(spark, d):
     """Valid flights with ids, and the ids of the first half of the month as what is stored already."""
     e = _events(spark, d)
     early = e.filter(F.col("ts") < F.lit(_SPLIT).cast("timestamp_ntz"))
-    return ingest.with_id(flights(e)), ingest.with_id(flights(early)).select("flight_id").distinct()
+    return ingest.with_id(flights(e)), ingest.with_id(flights(early)).select("year", "month", "flight_id").distinct()
 
 
 @query("validate_accept", f"WITH {FLIGHTS_SQL} SELECT * FROM flights")
@@ -45,7 +45,7 @@ def validate_accept(spark, d):
 WITH {FLIGHTS_SQL},
 why AS (SELECT event_id, concat_ws('; ',
     CASE WHEN dep_time IS NULL THEN 'dep_time: null' END,
-    CASE WHEN NOT regexp_full_match(distance, '[0-9]+') THEN 'distance: not an integer' END,
+    CASE WHEN NOT {WHOLE_DISTANCE_SQL} THEN 'distance: not an integer' WHEN NOT ({GOOD_DISTANCE_SQL}) THEN 'distance: out of range' END,
     CASE WHEN tailnum IS NULL THEN 'tailnum: null' END) AS problems FROM nulled)
 SELECT * FROM why WHERE problems <> ''""")
 def validate_reject(spark, d):
@@ -55,8 +55,8 @@ def validate_reject(spark, d):
 
 @query("validate_keep_nulls", f"""
 WITH {FLIGHTS_SQL}
-SELECT event_id, CAST(dep_time AS INT) AS dep_time, CAST(distance AS INT) AS distance, tailnum
-FROM nulled WHERE regexp_full_match(distance, '[0-9]+')""")
+SELECT event_id, CAST(dep_time AS INT) AS dep_time, CAST(CAST(distance AS DOUBLE) AS INT) AS distance, tailnum
+FROM nulled WHERE {GOOD_DISTANCE_SQL}""")
 def validate_keep_nulls(spark, d):
     raw = records.null_tokens(raw_flights(_events(spark, d)))
     return validate.accepted(raw, null_policy="keep", keep=["event_id"]).select("event_id", "dep_time", "distance", "tailnum")
@@ -162,7 +162,7 @@ WHERE flight_id NOT IN (SELECT flight_id FROM stored)
 QUALIFY row_number() OVER (PARTITION BY flight_id ORDER BY event_id DESC) = 1""")
 def incremental_ingest(spark, d):
     rows, stored = _flight_rows(spark, d)
-    return ingest.unseen(rows, stored, "flight_id", ["event_id"]).select(
+    return ingest.unseen(rows, stored, "flight_id", ["event_id"], ["year", "month"]).select(
         "event_id", "flight_id", "year", "month", "day", "origin", "dest", "carrier", "flight", "tailnum")
 
 
@@ -235,15 +235,18 @@ fresh AS (SELECT * FROM ids WHERE flight_id NOT IN (SELECT flight_id FROM stored
 SELECT year, month, count(*) AS n, CAST(count(DISTINCT flight_id) AS BIGINT) AS n_ids, CAST(64 AS BIGINT) AS dim,
   CAST(sum(distance) AS BIGINT) AS distance FROM fresh GROUP BY year, month""")
 def index_append(spark, d):
-    """Write the index, append to it twice (the second run finds all ids stored), and read it back."""
+    """Write the index, append to it twice (the second run finds all ids stored), and read it back.
+
+    The second run reads the ids of the partitions only that its rows fall into.
+    """
     rows, stored = _flight_rows(spark, d)
     valid = flights(_events(spark, d))
     path = shared_path(spark, "index")
-    fresh = ingest.index_rows(valid, stored, hash_embedding(), ["event_id"])
+    fresh = ingest.index_rows(valid, stored, hash_embedding(), ["event_id"], partitions=["year", "month"])
     tables.create_index(spark, path, fresh.schema)
     tables.append_index(fresh, path, 64)
-    seen = tables.stored_ids(spark, path, fresh.schema).unionByName(stored)
-    again = ingest.index_rows(valid, seen, hash_embedding(), ["event_id"])
+    seen = tables.stored_ids(spark, path, fresh.schema, batch=valid, partitions=["year", "month"]).unionByName(stored)
+    again = ingest.index_rows(valid, seen, hash_embedding(), ["event_id"], partitions=["year", "month"])
     tables.append_index(again, path, 64)
     index = tables.read_index(spark, path, fresh.schema)
     return index.groupBy("year", "month").agg(

@@ -51,8 +51,8 @@ def raw_flights(e: DataFrame) -> DataFrame:
         "CAST((hh + 2) % 24 * 100 + mi AS STRING) AS sched_arr_time",
         "CASE WHEN event_type = 'error' AND value > 20 THEN 'NA' ELSE CAST(hh * 100 + mi AS STRING) END AS dep_time",
         "CAST((hh + 2) % 24 * 100 + mi AS STRING) AS arr_time",
-        "CASE WHEN event_type = 'signup' AND value > 30 THEN concat(k, '.5') WHEN k = 7 THEN 'abc' "
-        "ELSE CAST(k * 10 + 100 AS STRING) END AS distance",
+        "CASE WHEN event_type = 'signup' AND value > 30 THEN concat(k, '.5') WHEN k = 7 THEN 'abc' WHEN k = 8 THEN '1e3' "
+        "WHEN k = 9 THEN '3000000000' WHEN k = 11 THEN concat(k * 10 + 100, '.') ELSE CAST(k * 10 + 100 AS STRING) END AS distance",
         "CAST(k AS STRING) AS air_time",
         "CASE WHEN k = 13 THEN '' ELSE concat('N', user_id) END AS tailnum")
 
@@ -75,14 +75,18 @@ raw AS (
     CAST((hh + 2) % 24 * 100 + mi AS VARCHAR) AS sched_arr_time,
     CASE WHEN event_type = 'error' AND value > 20 THEN 'NA' ELSE CAST(hh * 100 + mi AS VARCHAR) END AS dep_time,
     CAST((hh + 2) % 24 * 100 + mi AS VARCHAR) AS arr_time,
-    CASE WHEN event_type = 'signup' AND value > 30 THEN k || '.5' WHEN k = 7 THEN 'abc'
-         ELSE CAST(k * 10 + 100 AS VARCHAR) END AS distance,
+    CASE WHEN event_type = 'signup' AND value > 30 THEN k || '.5' WHEN k = 7 THEN 'abc' WHEN k = 8 THEN '1e3'
+         WHEN k = 9 THEN '3000000000' WHEN k = 11 THEN (k * 10 + 100) || '.' ELSE CAST(k * 10 + 100 AS VARCHAR) END AS distance,
     CAST(k AS VARCHAR) AS air_time,
     CASE WHEN k = 13 THEN '' ELSE 'N' || user_id END AS tailnum
   FROM raw0)"""
 
+# A whole number in some spelling, and one that fits 32 bits.
+WHOLE_DISTANCE_SQL = "regexp_full_match(distance, '[0-9]+(\\.|e[0-9])?')"
+GOOD_DISTANCE_SQL = f"{WHOLE_DISTANCE_SQL} AND TRY_CAST(distance AS DOUBLE) < 2147483648"
+
 # Valid rows: null tokens applied, whole numbers as integers, codes in upper case, nothing optional missing.
-FLIGHTS_SQL = RAW_FLIGHTS_SQL + """,
+FLIGHTS_SQL = RAW_FLIGHTS_SQL + f""",
 nulled AS (
   SELECT * REPLACE (nullif(dest, 'NA') AS dest, nullif(dep_time, 'NA') AS dep_time, nullif(tailnum, '') AS tailnum) FROM raw),
 flights AS (
@@ -90,8 +94,8 @@ flights AS (
     upper(carrier) AS carrier, CAST(CAST(flight AS DOUBLE) AS INT) AS flight, upper(origin) AS origin,
     upper(coalesce(dest, 'NAN')) AS dest, CAST(sched_dep_time AS INT) AS sched_dep_time,
     CAST(sched_arr_time AS INT) AS sched_arr_time, CAST(dep_time AS INT) AS dep_time, CAST(arr_time AS INT) AS arr_time,
-    CAST(distance AS INT) AS distance, CAST(air_time AS INT) AS air_time, tailnum
-  FROM nulled WHERE dep_time IS NOT NULL AND tailnum IS NOT NULL AND regexp_full_match(distance, '[0-9]+'))"""
+    CAST(CAST(distance AS DOUBLE) AS INT) AS distance, CAST(air_time AS INT) AS air_time, tailnum
+  FROM nulled WHERE dep_time IS NOT NULL AND tailnum IS NOT NULL AND {GOOD_DISTANCE_SQL})"""
 
 UUID5_MACRO = """concat(substr({h}, 1, 8), '-', substr({h}, 9, 4), '-5', substr({h}, 14, 3), '-',
   translate(substr({h}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr({h}, 18, 3), '-', substr({h}, 21, 12))"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recallgrid.operators.hooks import hash_embedding
 from recallgrid.operators.ingest import flight_document, with_id
 from recallgrid.plans.keyed import BOOKING_SQL, requests_of
-from recallgrid.plans.registry import FLIGHT_ID_SQL, FLIGHTS_SQL, flights, query, stream
+from recallgrid.plans.registry import FLIGHT_ID_SQL, FLIGHTS_SQL, flights, query, stream, table
 from recallgrid.session import shared_path
 from recallgrid.sources import tables
 from recallgrid.streaming import jobs
@@ -28,6 +28,28 @@ def stream_ingest(spark, d):
         "flight_id", "year", "month", "carrier", "origin", "dest", F.size("embedding").alias("dim"))
 
 
+@query("stream_ingest_batches", f"""
+WITH {FLIGHTS_SQL}, ids AS (SELECT *, {FLIGHT_ID_SQL} AS flight_id FROM flights)
+SELECT year, month, count(DISTINCT flight_id) AS n, count(DISTINCT flight_id) AS n_ids FROM ids GROUP BY year, month""")
+def stream_ingest_batches(spark, d):
+    """Ingest in several micro-batches, then all of it again with its progress lost: every id is stored once.
+
+    Each batch reads the ids of its own partitions only.
+    """
+    def prepare(rows):
+        return rows.drop("event_id")
+
+    parts, path = shared_path(spark, "parts"), shared_path(spark, "index")
+    flights(table(spark, d, "events")).repartition(3, F.col("day") % 7).write.parquet(parts)
+    for _ in range(2):
+        rows = with_id(spark.readStream.schema(spark.read.parquet(parts).schema).option("maxFilesPerTrigger", 1).parquet(parts))
+        schema = prepare(rows).schema
+        writer = jobs.ingest_stream(rows, path, schema, prepare, None, ["event_id"])
+        jobs.drain(writer, shared_path(spark, "progress"))
+    return tables.read_index(spark, path, schema).groupBy("year", "month").agg(
+        F.count("*").alias("n"), F.count_distinct("flight_id").alias("n_ids"))
+
+
 @query("stream_bookings", f"""
 WITH {BOOKING_SQL}
 SELECT coalesce(idempotency_key, 'none') AS idempotency_key, CASE WHEN idempotency_key IS NULL THEN count(*) ELSE 1 END AS n

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recallgrid.functions.vectors import check_dimension
 from recallgrid.operators.bookings import current
+from recallgrid.operators.ingest import touched
 from recallgrid.schema import BOOKING, GOLDEN_QUERY
 
 # Filter columns of the index; rows are clustered by them so that Parquet statistics skip row groups.
@@ -20,15 +21,15 @@ def create_index(spark: SparkSession, path: str, schema: T.StructType, partition
 
 
 def append_index(
-    rows: DataFrame, path: str, dim: int, vec: str = "embedding", partitions: Sequence[str] = ("year", "month"),
+    rows: DataFrame, path: str, dim: int | None, vec: str = "embedding", partitions: Sequence[str] = ("year", "month"),
     cluster: Sequence[str] = CLUSTER,
 ) -> None:
-    """Append rows whose ids are not stored yet. A vector of another length fails the write.
+    """Append rows whose ids are not stored yet. A vector of another length fails the write (``dim`` None: there are no vectors).
 
     The rebalance hint lets AQE split large and merge small output partitions, so a month holding most rows does not end
     in one file and one task.
     """
-    checked = rows.withColumn(vec, check_dimension(F.col(vec), dim))
+    checked = rows if dim is None else rows.withColumn(vec, check_dimension(F.col(vec), dim))
     laid_out = checked.hint("rebalance", *partitions) if partitions else checked
     inside = [c for c in cluster if c in rows.columns]
     laid_out = laid_out.sortWithinPartitions(*partitions, *inside)
@@ -39,9 +40,18 @@ def read_index(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
-def stored_ids(spark: SparkSession, path: str, schema: T.StructType, key: str = "flight_id") -> DataFrame:
-    """Ids only; the scan reads no vector and no payload."""
-    return read_index(spark, path, schema).select(key)
+def stored_ids(
+    spark: SparkSession, path: str, schema: T.StructType, key: str = "flight_id", batch: DataFrame | None = None,
+    partitions: Sequence[str] = (),
+) -> DataFrame:
+    """Ids and the named partition columns only; the scan reads no vector and no payload.
+
+    With ``batch``, only those partitions are read that it has rows for.
+    """
+    index = read_index(spark, path, schema)
+    if batch is not None:
+        index = index.filter(touched(batch, partitions))
+    return index.select(*partitions, key)
 
 
 def create_log(spark: SparkSession, path: str) -> None:

@@ -23,19 +23,20 @@ def drain(writer, checkpoint: str) -> None:
 
 
 def ingest_stream(
-    rows: DataFrame, index: str, schema: T.StructType, prepare: Callable[[DataFrame], DataFrame], dim: int,
+    rows: DataFrame, index: str, schema: T.StructType, prepare: Callable[[DataFrame], DataFrame], dim: int | None,
     position: Sequence[str], key: str = "flight_id", partitions: Sequence[str] = ("year", "month"),
 ):
     """Append unseen records to the index, batch by batch.
 
-    ``rows`` carry their id; ``prepare`` (render, embed) sees new rows only. A batch that runs again after a failure
-    finds its rows stored and adds nothing twice.
+    ``rows`` carry their id; ``prepare`` (render, embed) sees new rows only. A batch reads the ids of those index partitions only
+    that it has rows for, so its cost does not grow with the index. A batch that runs again after a failure finds its rows
+    stored and adds nothing twice.
     """
     tables.create_index(rows.sparkSession, index, schema, partitions)
 
     def add(batch: DataFrame, _: int) -> None:
-        known = tables.stored_ids(batch.sparkSession, index, schema, key)
-        fresh = prepare(unseen(batch, known, key, position)).select(*schema.names)
+        known = tables.stored_ids(batch.sparkSession, index, schema, key, batch, partitions)
+        fresh = prepare(unseen(batch, known, key, position, partitions)).select(*schema.names)
         tables.append_index(fresh, index, dim, partitions=partitions)
 
     return rows.writeStream.foreachBatch(add)

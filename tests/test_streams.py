@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from recallgrid.operators import dialogs
+from recallgrid.operators.ingest import touched
 from recallgrid.sources import tables
 from recallgrid.streaming import jobs
 
@@ -40,6 +41,32 @@ def test_ingest_over_batches_and_restart(spark, tmp_path):
     assert run(rows, str(tmp_path / "replay"), str(tmp_path / "lost")) == want  # progress lost, all input comes again
 
 
+def test_ingest_reads_touched_partitions_only(spark, tmp_path):
+    schema = "flight_id string, pos long, year int, month int"
+    batches = [[("a", 1, 2013, 1), ("b", 2, 2013, 2)], [("a", 3, 2013, 1), ("c", 4, 2013, 3)], [("c", 5, 2013, 3), ("d", 6, 2014, 1)]]
+    index, out = str(tmp_path / "index"), spark.createDataFrame([], schema).drop("pos").schema
+    for run in ("first", "replay"):
+        stream = feed(spark, str(tmp_path / run), schema, batches)
+        jobs.drain(jobs.ingest_stream(stream, index, out, lambda df: df, None, ["pos"]), str(tmp_path / f"progress-{run}"))
+        assert sorted(r.flight_id for r in tables.read_index(spark, index, out).collect()) == ["a", "b", "c", "d"]
+    batch = spark.createDataFrame([("x", 2013, 2), ("y", 2013, 3), ("z", 2013, 2)], "flight_id string, year int, month int")
+    known = tables.stored_ids(spark, index, out, batch=batch, partitions=["year", "month"])
+    assert sorted(tuple(r) for r in known.collect()) == [(2013, 2, "b"), (2013, 3, "c")]
+    scan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "PartitionFilters: []" not in scan and len(known.inputFiles()) > 2
+    none = tables.stored_ids(spark, index, out, batch=batch.limit(0), partitions=["year", "month"])
+    assert none.count() == 0
+
+
+def test_touched_partitions(spark):
+    batch = spark.createDataFrame([(2013, 1), (2014, 1), (2013, None), (None, 2)], "year int, month int")
+    every = spark.createDataFrame([(y, m) for y in (2012, 2013, 2014, None) for m in (1, 2, None)], "year int, month int")
+    got = {tuple(r) for r in every.filter(touched(batch, ["year", "month"])).collect()}
+    assert got == {(2013, 1), (2014, 1), (2013, None), (None, 2)}
+    assert every.filter(touched(batch, ["year", "month"], 2)).count() == 12  # too many to name, a null among them
+    assert {r.year for r in every.filter(touched(batch.dropna(), ["year", "month"], 1)).collect()} == {2013, 2014, None}
+
+
 def test_bookings_over_batches(spark, tmp_path):
     schema = ("request_id long, flight_id string, passenger_name string, idempotency_key string, "
               "requested_at timestamp_ntz, flight_snapshot_json string")
