@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recallgrid.functions.ids import uuid5
+from recallgrid.functions.text import iso_timestamp
 from recallgrid.operators.ranking import last_per_key
 from recallgrid.schema import NAMESPACE_URL, SNAPSHOT
 
@@ -40,6 +41,8 @@ def create(requests: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame
     booking), requested_at. ``stored``: current bookings. A key that was ever used, also by a booking cancelled since,
     answers with that booking; otherwise the earliest request of the key makes it.
 
+    ``stored`` need only hold the bookings of the batch's keys.
+
     Returns the answers, one per request with the caller's own snapshot, and the rows to append to the log.
     """
     keyed = requests.filter(F.col("idempotency_key").isNotNull())
@@ -52,6 +55,7 @@ def create(requests: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame
     known = stored.filter(F.col("idempotency_key").isNotNull()).select(
         "idempotency_key", F.col("booking_id").alias("_id"), F.col("status").alias("_status"),
         F.col("flight_id").alias("_flight"), F.col("passenger_name").alias("_name"),
+        F.col("created_at").alias("_made"), F.col("updated_at").alias("_changed"),
     )
     winners = earliest.join(known, "idempotency_key", "left")
     fresh = winners.filter(F.col("_id").isNull())
@@ -72,14 +76,17 @@ def create(requests: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame
         F.coalesce("_status", F.lit("CONFIRMED")).alias("status"),
         F.coalesce("_flight", F.col("flight_id")).alias("flight_id"),
         F.coalesce("_name", F.col("passenger_name")).alias("passenger_name"),
+        F.coalesce("_made", F.col("requested_at")).alias("created_at"),
+        F.coalesce("_changed", F.col("requested_at")).alias("updated_at"),
     )
     mine = keyed.select("request_id", "idempotency_key", "flight_snapshot_json")
     answers = mine.join(resolved, "idempotency_key").select(
-        "request_id", "booking_id", "status", "flight_id", "passenger_name", "flight_snapshot_json",
+        "request_id", "booking_id", "status", "flight_id", "passenger_name", "flight_snapshot_json", "created_at", "updated_at",
         (F.col("booking_id") == new_booking_id(F.col("request_id"))).alias("created"),
     ).unionByName(unkeyed.select(
         "request_id", new_booking_id(F.col("request_id")).alias("booking_id"), F.lit("CONFIRMED").alias("status"),
-        "flight_id", "passenger_name", "flight_snapshot_json", F.lit(True).alias("created"),
+        "flight_id", "passenger_name", "flight_snapshot_json", F.col("requested_at").alias("created_at"),
+        F.col("requested_at").alias("updated_at"), F.lit(True).alias("created"),
     ))
     return answers, appended
 
@@ -93,7 +100,7 @@ def create_checked(requests: DataFrame, catalogue: DataFrame, stored: DataFrame,
 
 
 def cancel(requests: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Batch cancel by id, in any state; unknown ids answer with ``BOOKING_NOT_FOUND``.
+    """Batch cancel by id, in any state; unknown ids answer with ``BOOKING_NOT_FOUND``. ``stored`` need only hold the asked bookings.
 
     ``requests``: request_id, booking_id, requested_at. The appended version of a booking carries its last request
     time; every request for it is answered.
@@ -101,14 +108,23 @@ def cancel(requests: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame
     asked = requests.groupBy("booking_id").agg(F.max("requested_at").alias("_at"))
     changed = stored.join(asked, "booking_id").withColumn("status", F.lit("CANCELLED")).withColumn(
         "updated_at", F.greatest("updated_at", "_at")).select(*COLUMNS)
-    answers = requests.join(stored.select("booking_id", F.lit("CANCELLED").alias("status")), "booking_id", "left")
+    answers = requests.join(changed.select("booking_id", "status", "updated_at"), "booking_id", "left")
     answers = answers.select(
-        "request_id", "booking_id", "status",
+        "request_id", "booking_id", "status", "updated_at",
         F.when(F.col("status").isNull(), "BOOKING_NOT_FOUND").alias("error"),
     )
     return answers, changed
 
 
+def answer(rows: DataFrame) -> DataFrame:
+    """Bookings as the service words them: times in ISO format, and the snapshot as a struct ``flight_snapshot``.
+
+    A snapshot that is no JSON object has null fields.
+    """
+    return rows.withColumns({c: iso_timestamp(F.col(c)) for c in ("created_at", "updated_at")}).withColumn(
+        "flight_snapshot", F.from_json("flight_snapshot_json", SNAPSHOT)).drop("flight_snapshot_json")
+
+
 def get(requests: DataFrame, stored: DataFrame) -> DataFrame:
     """Batch lookup: the booking with its snapshot as a struct, or ``BOOKING_NOT_FOUND``."""
     rows = stored.withColumn("flight_snapshot", F.from_json("flight_snapshot_json", SNAPSHOT))

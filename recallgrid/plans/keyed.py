@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recallgrid.functions.ids import booking_key
 from recallgrid.operators import bookings as bk, requests as rq
 from recallgrid.plans.registry import query, table, uuid5_sql
-from recallgrid.schema import NAMESPACE_DNS, NAMESPACE_URL
+from recallgrid.schema import BOOKING, NAMESPACE_DNS, NAMESPACE_URL
 from recallgrid.session import shared_path
 from recallgrid.sources import tables
 
@@ -31,6 +31,7 @@ won AS (SELECT idempotency_key, arg_min(request_id, (ts, request_id)) AS winner
 answers AS (SELECT r.request_id, coalesce(s.booking_id, {_ID_SQL('coalesce(w.winner, r.request_id)')}) AS booking_id,
     coalesce(s.status, 'CONFIRMED') AS status, coalesce(s.flight_id, x.flight_id, r.flight_id) AS flight_id,
     coalesce(s.passenger_name, x.passenger_name, r.passenger_name) AS passenger_name, r.snap AS flight_snapshot_json,
+    coalesce(s.ts, x.ts, r.ts) AS created_at, coalesce(s.ts, x.ts, r.ts) AS updated_at,
     s.booking_id IS NULL AND coalesce(w.winner, r.request_id) = r.request_id AS created
   FROM req r LEFT JOIN won w USING (idempotency_key) LEFT JOIN req x ON x.request_id = w.winner
   LEFT JOIN stored s ON s.idempotency_key = r.idempotency_key)"""
@@ -58,9 +59,7 @@ def asked(spark, d):
 def stored(spark, d):
     """Bookings there are before the requests come: one per key, some cancelled."""
     rows = asked(spark, d).filter(F.col("event_type") == "signup")
-    empty = spark.createDataFrame([], "booking_id string, flight_id string, passenger_name string, status string, "
-                                      "idempotency_key string")
-    _, made = bk.create(rows, empty)
+    _, made = bk.create(rows, spark.createDataFrame([], BOOKING))
     cancelled = rows.filter(F.col("value") > 50).select(
         bk.new_booking_id(F.col("request_id")).alias("booking_id"), F.lit(True).alias("_c"))
     return made.join(cancelled, "booking_id", "left").withColumn(
@@ -110,6 +109,7 @@ def _by_booking(spark, d, kind):
 @query("booking_cancel", f"""
 WITH {BOOKING_SQL}
 SELECT a.request_id, b.booking_id, CASE WHEN s.booking_id IS NOT NULL THEN 'CANCELLED' END AS status,
+  CASE WHEN s.booking_id IS NOT NULL THEN greatest(s.ts, a.ts) END AS updated_at,
   CASE WHEN s.booking_id IS NULL THEN 'BOOKING_NOT_FOUND' END AS error
 FROM asked a JOIN (SELECT request_id, {_ID_SQL('request_id - 1')} AS booking_id FROM asked) b USING (request_id)
 LEFT JOIN stored s USING (booking_id) WHERE a.event_type = 'error'""")
@@ -126,10 +126,47 @@ def booking_current(spark, d):
     path = shared_path(spark, "log")
     tables.create_log(spark, path)
     tables.append_log(stored(spark, d), path)
-    tables.append_log(bk.cancel(_by_booking(spark, d, "error"), tables.read_bookings(spark, path))[1], path)
+    asked_for = _by_booking(spark, d, "error")
+    tables.append_log(bk.cancel(asked_for, tables.read_bookings(spark, path, asked_for))[1], path)
     return tables.read_bookings(spark, path).select("booking_id", "status", "updated_at")
 
 
+@query("booking_log_batches", f"""
+WITH {BOOKING_SQL},
+won3 AS (SELECT idempotency_key, arg_min(request_id, (request_id % 3, ts, request_id)) AS winner FROM asked
+  WHERE idempotency_key IS NOT NULL GROUP BY idempotency_key UNION ALL
+  SELECT NULL, request_id FROM asked WHERE idempotency_key IS NULL)
+SELECT coalesce(idempotency_key, 'none') AS idempotency_key, count(*) AS n,
+  count(*) FILTER (WHERE winner + 1 IN (SELECT request_id FROM asked WHERE event_type = 'error')) AS n_cancelled
+FROM won3 GROUP BY idempotency_key""")
+def booking_log_batches(spark, d):
+    """Three batches of creates and one of cancels on one log, compacted in between; each reads its own bookings only."""
+    path = shared_path(spark, "log")
+    tables.create_log(spark, path)
+    for number in range(3):
+        batch = asked(spark, d).filter(F.col("request_id") % 3 == number)
+        tables.append_log(bk.create(batch, tables.read_bookings(spark, path, batch, "idempotency_key"))[1], path)
+        if number == 1:
+            tables.compact_log(spark, path)
+    cancels = _by_booking(spark, d, "error")
+    tables.append_log(bk.cancel(cancels, tables.read_bookings(spark, path, cancels))[1], path)
+    return tables.read_bookings(spark, path).groupBy(F.coalesce("idempotency_key", F.lit("none")).alias("idempotency_key")).agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("status") == "CANCELLED", 1)).alias("n_cancelled"))
+
+
+@query("booking_answers", f"""
+WITH {BOOKING_SQL}
+SELECT request_id, booking_id, flight_id, passenger_name, status, strftime(created_at, '%Y-%m-%dT%H:%M:%S') ||
+    CASE WHEN epoch_us(created_at) % 1000000 = 0 THEN '' ELSE strftime(created_at, '.%f') END || '+00:00' AS created_at,
+  CAST(json_extract_string(flight_snapshot_json, '$.flight') AS INT) AS flight,
+  json_extract_string(flight_snapshot_json, '$.carrier') AS carrier, created FROM answers""")
+def booking_answers(spark, d):
+    """Create answers as the service words them: ISO times, the caller's snapshot as a struct."""
+    return bk.answer(bk.create(creates(spark, d), stored(spark, d))[0]).select(
+        "request_id", "booking_id", "flight_id", "passenger_name", "status", "created_at",
+        F.col("flight_snapshot.flight").alias("flight"), F.col("flight_snapshot.carrier").alias("carrier"), "created")
+
+
 @query("booking_get", f"""
 WITH {BOOKING_SQL}
 SELECT a.request_id, b.booking_id, s.passenger_name, s.status, CAST(json_extract_string(s.snap, '$.flight') AS INT) AS flight,

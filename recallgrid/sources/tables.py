@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recallgrid.functions.vectors import check_dimension
-from recallgrid.operators.bookings import current
 from recallgrid.operators.ingest import touched
-from recallgrid.schema import BOOKING, GOLDEN_QUERY
+from recallgrid.schema import GOLDEN_QUERY
+from recallgrid.sources.booking_log import append_log, compact_log, create_log, read_bookings  # noqa: F401
 
 # Filter columns of the index; rows are clustered by them so that Parquet statistics skip row groups.
 CLUSTER = ("origin", "dest", "carrier", "day", "flight", "sched_dep_time")
@@ -54,19 +54,6 @@ def stored_ids(
     return index.select(*partitions, key)
 
 
-def create_log(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], BOOKING).write.mode("ignore").parquet(path)
-
-
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.select(*BOOKING.names).write.mode("append").parquet(path)
-
-
-def read_bookings(spark: SparkSession, path: str) -> DataFrame:
-    """Current state of every booking in the log."""
-    return current(spark.read.schema(BOOKING).parquet(path))
-
-
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """A golden set: one JSON array, or JSON lines as ``write_golden`` makes them."""
     return spark.read.schema(GOLDEN_QUERY).json(path, multiLine=not path.rstrip("/").endswith(".jsonl"))

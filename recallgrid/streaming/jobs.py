@@ -42,9 +42,10 @@ def ingest_stream(
     return rows.writeStream.foreachBatch(add)
 
 
-def booking_stream(requests: DataFrame, log: str, watermark: str | None = None):
+def booking_stream(requests: DataFrame, log: str, watermark: str | None = None, compact_every: int | None = None):
     """Exactly one booking per key from a stream of create requests (one writer per log).
 
+    A batch reads the bookings of its own keys only. With ``compact_every``, the log is compacted after every so many batches.
     With ``watermark``, repeats within that delay are dropped before the batch (requests without a key never are);
     older repeats find the stored booking.
     """
@@ -55,9 +56,12 @@ def booking_stream(requests: DataFrame, log: str, watermark: str | None = None):
         timed = dedup.withColumn("_event", F.col("requested_at").cast("timestamp")).withWatermark("_event", watermark)
         requests = timed.dropDuplicatesWithinWatermark(["_key"]).drop("_key", "_event")
 
-    def book(batch: DataFrame, _: int) -> None:
-        _, appended = bookings.create(batch, tables.read_bookings(batch.sparkSession, log))
+    def book(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        _, appended = bookings.create(batch, tables.read_bookings(spark, log, batch, "idempotency_key"))
         tables.append_log(appended, log)
+        if compact_every and (number + 1) % compact_every == 0:
+            tables.compact_log(spark, log)
 
     return requests.writeStream.foreachBatch(book)
 

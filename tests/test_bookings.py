@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -68,6 +69,50 @@ def test_same_batch_twice_adds_nothing(spark, tmp_path):
     assert bk.duplicate_keys(tables.read_bookings(spark, log)).count() == 0
 
 
+def test_log_reads_only_the_buckets_of_a_batch(spark, tmp_path):
+    log = str(tmp_path / "log")
+    tables.create_log(spark, log, 8)
+    for start in (0, 100, 200):
+        batch = ask(spark, *[(start + i, "A", f"k{start + i}" if i % 4 else None) for i in range(100)])
+        tables.append_log(bk.create(batch, tables.read_bookings(spark, log, batch, "idempotency_key"))[1], log)
+    one = ask(spark, (900, "Z", "k101"), (901, "Z", None))
+    mine = tables.read_bookings(spark, log, one, "idempotency_key")
+    assert [r.idempotency_key for r in mine.collect()] == ["k101"]
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    answers, rows = bk.create(one, mine)
+    assert {r.request_id: r.created for r in answers.collect()} == {900: False, 901: True} and rows.count() == 1
+    assert tables.read_bookings(spark, log).count() == 300
+
+
+def test_compaction_keeps_the_state_and_bounds_the_buckets(spark, tmp_path):
+    log = str(tmp_path / "log")
+    tables.create_log(spark, log, 2)
+    tables.append_log(bk.create(ask(spark, *[(i, "A", f"k{i}") for i in range(50)]), tables.read_bookings(spark, log))[1], log)
+    some = spark.createDataFrame([(f"k{i}",) for i in range(5)], "idempotency_key string")
+    ids = tables.read_bookings(spark, log, some, "idempotency_key").select("booking_id")
+    gone = ids.select(F.lit(99).alias("request_id"), "booking_id", F.lit(T0 + timedelta(days=1)).cast("timestamp_ntz").alias("requested_at"))
+    tables.append_log(bk.cancel(gone, tables.read_bookings(spark, log, gone))[1], log)
+    before = sorted(map(tuple, tables.read_bookings(spark, log).collect()))
+    files = lambda: len(tables.read_bookings(spark, log).inputFiles())
+    assert tables.compact_log(spark, log, bucket_rows=10) == 1
+    assert sorted(map(tuple, tables.read_bookings(spark, log).collect())) == before
+    assert len([r for r in before if r[3] == "CANCELLED"]) == 5 and files() >= 5
+    again, rows = bk.create(ask(spark, (77, "B", "k3")), tables.read_bookings(spark, log, some, "idempotency_key"))
+    assert rows.count() == 0 and again.first().status == "CANCELLED"
+    tables.create_log(spark, log)  # there is one already
+    assert tables.read_bookings(spark, log).count() == 50
+    none = tables.read_bookings(spark, log, some.limit(0), "idempotency_key")
+    assert none.count() == 0
+
+
+def test_answers_in_full(spark):
+    answers, _ = bk.create(ask(spark, (1, "A", "k"), (2, "B", "k")), empty(spark))
+    got = {r.request_id: r for r in bk.answer(answers).collect()}
+    assert got[2].created_at == got[2].updated_at == "2024-01-01T00:00:00+00:00"
+    assert (got[2].flight_snapshot.origin, got[2].flight_snapshot.flight, got[2].flight_snapshot.day) == ("ATL", 100, None)
+
+
 def test_checked_create(spark):
     have = spark.createDataFrame([("f1",)], "flight_id string")
     req = ask(spark, (1, "A", "k"), (2, "B", "m")).withColumn("flight_id", F.when(F.col("request_id") == 1, "f1").otherwise("f2"))
