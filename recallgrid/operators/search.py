@@ -1,9 +1,8 @@
 """Filtered top-k cosine search of a table of requests against a table of records.
 
-Requests are few and small, records are many. Each record batch is scored against all request vectors with
-one matrix product inside ``mapInArrow``; a task hands on only rows that can still enter the top k of some
-request. No pair table is ever built. Requests beyond ``MAX_BROADCAST_CELLS`` vector cells are not broadcast
-but laid out with the records on a grid of bounded cells (``_grid_search``).
+Requests are taken in blocks of bounded size. For each block the records are scanned once, under the conditions that all its requests
+share; each record batch is scored against all vectors of the block with one matrix product inside ``mapInArrow``, and a
+task hands on only rows that can still enter the top k of some request. No pair table is ever built and records never move.
 """
 
 from __future__ import annotations
@@ -13,19 +12,21 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from recallgrid.functions import vectors
-from recallgrid.operators.filters import Term, batch_mask, common_bounds, has_filter
+from recallgrid.operators.filters import FLIGHT_TERMS, Term, batch_mask, common_bounds, has_filter
 from recallgrid.operators.ranking import top_k
-from recallgrid.schema import SCORE_THRESHOLD
+from recallgrid.schema import HIT_FIELDS, RERANK_FETCH, RERANK_RETURN, SCORE_THRESHOLD
 from recallgrid.session import write_out
 
-# 4096 requests of 1024 dimensions; 32 MB as float64. Larger request tables take the grid.
-MAX_BROADCAST_CELLS = 4_194_304
-_MAX_REQUESTS = 4096
+# 4096 requests of 1024 dimensions; 32 MB as float64. Larger request tables are taken in several blocks.
+BLOCK_CELLS = 4_194_304
+_BLOCK_REQUESTS = 4096
 SCORE_DIGITS = 6
+#: Hits of a request that names no limit.
+DEFAULT_LIMIT = 10
 
 
 class _Requests(NamedTuple):
@@ -39,6 +40,9 @@ class _Requests(NamedTuple):
 
 
 def _requests(rows: list, qid: str, terms: Sequence[Term]) -> _Requests:
+    sizes = {len(r["_vec"]) for r in rows}
+    if len(sizes) > 1:
+        raise ValueError(f"requests of different dimensions: {sorted(sizes)}")
     m = np.array([np.asarray(r["_vec"], dtype="float64") for r in rows])
     length = np.linalg.norm(m, axis=1)
     usable = length > 0
@@ -47,7 +51,7 @@ def _requests(rows: list, qid: str, terms: Sequence[Term]) -> _Requests:
         if usable[i]:
             groups.setdefault(tuple(t.wanted(r[t.field]) for t in terms), []).append(i)
     return _Requests(
-        [r[qid] for r in rows], m / np.where(usable, length, 1.0)[:, None], np.array([r["_k"] for r in rows]),
+        [r[qid].asDict() if isinstance(r[qid], Row) else r[qid] for r in rows], m / np.where(usable, length, 1.0)[:, None], np.array([r["_k"] for r in rows]),
         np.array([-np.inf if r["_floor"] is None else r["_floor"] for r in rows], dtype="float64"),
         [(want, np.array(members)) for want, members in groups.items()])
 
@@ -68,12 +72,19 @@ def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def _score_batches(
     batches: Iterator[pa.RecordBatch], req: _Requests, terms: Sequence[Term], vec: str, keep: Sequence[str]
 ) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """(request positions, scores, kept columns) of rows that may be in the top k, batch by batch."""
+    """(request positions, scores, kept columns) of rows that may be in the top k, batch by batch.
+
+    A record without a vector, or with one of another length, matches nothing; a task in which no vector has the requests' length fails.
+    """
+    other, fits = 0, False
     worst = req.floor.copy()  # lowest score that can still matter, per request
     best: dict[int, np.ndarray] = {}
     for batch in batches:
         if not batch.num_rows:
             continue
+        sizes = batch.column(vec).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        fits = fits or bool((sizes == req.unit.shape[1]).any())
+        other = max(other, int(sizes.max()))
         unit, usable = _unit_rows(batch.column(vec), req.unit.shape[1])
         rows_out, req_out, score_out = [], [], []
         for wants, members in req.groups:
@@ -102,11 +113,13 @@ def _score_batches(
         if rows_out:
             taken = batch.select(list(keep)).take(pa.array(np.concatenate(rows_out)))
             yield np.concatenate(req_out), np.concatenate(score_out), taken
+    if other and not fits:
+        raise ValueError(f"requests have {req.unit.shape[1]} dimensions, records {other}")
 
 
 def _out_schema(requests: DataFrame, records: DataFrame, qid: str, keep: Sequence[str]) -> T.StructType:
     return T.StructType(
-        [T.StructField(qid, requests.schema[qid].dataType), T.StructField("score", T.DoubleType())]
+        [T.StructField(qid, requests.schema[qid].dataType), T.StructField("_k", T.IntegerType()), T.StructField("score", T.DoubleType())]
         + [T.StructField(c, records.schema[c].dataType) for c in keep]
     )
 
@@ -114,7 +127,7 @@ def _out_schema(requests: DataFrame, records: DataFrame, qid: str, keep: Sequenc
 def _to_batch(req: _Requests, part: tuple, schema: pa.Schema) -> pa.RecordBatch:
     which, score, taken = part
     ids = pa.array([req.ids[i] for i in which], type=schema.field(0).type)
-    return pa.RecordBatch.from_arrays([ids, pa.array(score), *taken.columns], schema=schema)
+    return pa.RecordBatch.from_arrays([ids, pa.array(req.k[which], pa.int32()), pa.array(score), *taken.columns], schema=schema)
 
 
 def vector_search(
@@ -129,119 +142,131 @@ def vector_search(
     qid: str = "query_id",
     qvec: str = "embedding",
     keep: Sequence[str] = (),
-    broadcast_cells: int = MAX_BROADCAST_CELLS,
+    block_cells: int = BLOCK_CELLS,
 ) -> DataFrame:
     """``(qid, rank, id, score, *keep)``: the best ``k`` records of every request.
 
-    ``k`` and ``threshold`` (inclusive) are constants or names of request columns. Scores are cosines rounded to
-    six digits, ties going to the smaller id, so that results do not depend on how the data is split. Requests
-    and records without direction (zero vectors) match nothing.
+    ``k`` and ``threshold`` (inclusive) are constants or names of request columns; a null ``k`` means ``DEFAULT_LIMIT``. Scores are cosines
+    rounded to six digits, ties going to the smaller id, so that results do not depend on how the data is split. Requests
+    and records without direction (zero vectors, or none) match nothing.
+
+    The vectors of a block of requests, at most ``block_cells`` numbers, are all that is sent to the tasks. The hits of each of
+    several blocks (at most k a request) are written out before the next block is taken.
     """
     named = requests.select(
         F.col(qid).alias(qid),
         F.col(qvec).alias("_vec"),
-        (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("_k"),
+        (F.coalesce(k, F.lit(DEFAULT_LIMIT)) if isinstance(k, str) else F.lit(k)).cast("int").alias("_k"),
         (F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)).cast("double").alias("_floor"),
         *[F.col(f) for f in dict.fromkeys(t.field for t in terms)],
-    )
+    ).filter(F.size("_vec") > 0)
     carried = [id_col, *[c for c in keep if c != id_col]]
     needed = list(dict.fromkeys([*carried, vec_col, *[t.column for t in terms]]))
     schema = _out_schema(requests, records, qid, carried)
 
-    few = _bounded_rows(named, broadcast_cells)
-    if few is None:
-        found = _grid_search(records.select(*needed), named, schema, terms, vec_col, carried, qid)
-    elif not few:
-        return records.sparkSession.createDataFrame([], _with_rank(schema, qid))
-    else:
-        bounds = common_bounds([r.asDict() for r in few], terms)
+    def scan(rows: list):
+        """The hits of a block of requests, and what was sent to the tasks for it."""
+        bounds = common_bounds([r.asDict() for r in rows], terms)
         source = records.select(*needed) if bounds is None else records.filter(bounds).select(*needed)
         # A plain tuple: broadcast values are unpickled without this package at hand.
-        shared = records.sparkSession.sparkContext.broadcast(tuple(_requests(few, qid, terms)))
+        shared = records.sparkSession.sparkContext.broadcast(tuple(_requests(rows, qid, terms)))
         arrow = to_arrow_schema(schema)
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             req = _Requests(*shared.value)
             for part in _score_batches(batches, req, terms, vec_col, carried):
                 yield _to_batch(req, part, arrow)
 
-        found = source.mapInArrow(scan, schema)
-        # The largest k is known here, so the per-request cut below is exact for every k.
-        if isinstance(k, str):
-            limits = records.sparkSession.createDataFrame(
-                list({r[qid]: r["_k"] for r in few}.items()), T.StructType([schema[qid], T.StructField("_k", T.IntegerType())]))
-            ranked = _rank(found, qid, id_col, max(r["_k"] for r in few)).join(F.broadcast(limits), qid)
-            return ranked.filter(F.col("rank") <= F.col("_k")).select(*_with_rank(schema, qid).names)
-    top = k if isinstance(k, int) else named.agg(F.max("_k")).first()[0]
-    ranked = _rank(found, qid, id_col, top)
-    if isinstance(k, str):
-        ranked = ranked.join(named.select(qid, "_k"), qid).filter(F.col("rank") <= F.col("_k"))
-    return ranked.select(*_with_rank(schema, qid).names)
+        # The largest k is known here, so the per-request cut is exact for every k.
+        ranked = _rank(source.mapInArrow(run, schema), qid, id_col, max(r["_k"] for r in rows))
+        return ranked.filter(F.col("rank") <= F.col("_k")).select(*_with_rank(schema, qid).names), shared
+
+    few = _first_block(named, block_cells)
+    if few is not None:
+        return scan(few)[0] if few else records.sparkSession.createDataFrame([], _with_rank(schema, qid))
+    found = None
+    for rows in _blocks(write_out(named, "requests"), qid, block_cells):
+        hits, shared = scan(rows)
+        hits = write_out(hits, "hits")
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def _with_rank(schema: T.StructType, qid: str) -> T.StructType:
-    return T.StructType([schema[qid], T.StructField("rank", T.IntegerType()), *[f for f in schema if f.name != qid]])
+    return T.StructType([schema[qid], T.StructField("rank", T.IntegerType()), *[f for f in schema if f.name not in (qid, "_k")]])
 
 
 def _rank(found: DataFrame, qid: str, id_col: str, k: int) -> DataFrame:
     return top_k(found, [qid], [F.col("score").desc(), F.col(id_col).asc()], k)
 
 
-def _bounded_rows(named: DataFrame, cells: int) -> list | None:
-    """The request rows if they are few enough to broadcast, else None. Never fetches more than the bound."""
-    rows = named.filter(F.size("_vec") > 0).limit(_MAX_REQUESTS + 1).collect() if cells else None
-    if rows is None or len(rows) > _MAX_REQUESTS:
+def _first_block(named: DataFrame, cells: int) -> list | None:
+    """All request rows if one block holds them, else None. Never fetches more than a block and one row."""
+    rows = named.limit(_BLOCK_REQUESTS + 1).collect()
+    if len(rows) > _BLOCK_REQUESTS or len(rows) * max((len(r["_vec"]) for r in rows), default=0) > cells:
         return None
-    return rows if len(rows) * max((len(r["_vec"]) for r in rows), default=0) <= cells else None
+    return rows
 
 
-def _grid_search(
-    records: DataFrame, named: DataFrame, schema: T.StructType, terms: Sequence[Term],
-    vec: str, carried: Sequence[str], qid: str, cell_records: int = 100_000, cell_requests: int = 2_048,
-) -> DataFrame:
-    """Exact search for request tables too large to broadcast.
-
-    Records are dealt onto grid rows and requests onto grid columns by a hash of their ids; a record goes to
-    every cell of its row, a request to every cell of its column. Each pair meets in one cell, cells have a bounded
-    expected size whatever the keys look like, and each cell hands on its own top k.
-    """
-    rows = max(1, -(-records.count() // cell_records))
-    cols = max(1, -(-named.count() // cell_requests))
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = records.withColumn("_row", spread(carried[0], rows)).withColumn(
-        "_col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    right = named.filter(F.size("_vec") > 0).withColumn("_col", spread(qid, cols)).withColumn(
-        "_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    arrow = to_arrow_schema(schema)
-
-    def cell(recs: pa.Table, reqs: pa.Table) -> pa.Table:
-        if not recs.num_rows or not reqs.num_rows:
-            return arrow.empty_table()
-        req = _requests(reqs.to_pylist(), qid, terms)
-        parts = _score_batches(iter(recs.to_batches(max_chunksize=10_000)), req, terms, vec, carried)
-        return pa.Table.from_batches([_to_batch(req, p, arrow) for p in parts], schema=arrow)
-
-    keys = ["_row", "_col"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
+def _blocks(named: DataFrame, qid: str, cells: int) -> Iterator[list]:
+    """The request rows, dealt by a hash of their id into blocks of about half the bound. ``named`` is written."""
+    total, dim = named.agg(F.count("*"), F.max(F.size("_vec"))).first()
+    blocks = max(-(-2 * total // _BLOCK_REQUESTS), -(-2 * total * dim // cells))
+    for number in range(blocks):
+        rows = named.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == number).collect()
+        if rows:
+            yield rows
 
 
 def search_with_fallback(
     records: DataFrame, requests: DataFrame, *, terms: Sequence[Term], qid: str = "query_id", **options: Any
 ) -> DataFrame:
-    """Filtered search; requests whose filter leaves nothing are run again without it.
+    """Filtered search; requests whose filter leaves nothing are answered without it. Adds ``filters_dropped``.
+
+    One scan: a request with a filter goes through it twice, as it is and without its filter, and the second answer (at most k
+    rows) is dropped where the first has any. Where requests have filters, nothing can be pushed into that scan.
+    """
+    fields = list(dict.fromkeys(t.field for t in terms))
+    asked = requests.withColumn("_dropped", F.explode(F.when(
+        has_filter(terms), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    asked = asked.withColumn("_ask", F.struct(qid, F.col("_dropped").alias("filters_dropped"))).withColumns(
+        {f: F.when(~F.col("_dropped"), F.col(f)) for f in fields})
+    hits = vector_search(records, asked, terms=terms, qid="_ask", **options)
+    first = F.min("filters_dropped").over(Window.partitionBy(qid))
+    kept = hits.select("_ask.*", *hits.columns[1:]).withColumn("_first", first).filter(F.col("filters_dropped") == F.col("_first"))
+    return kept.select(qid, *hits.columns[1:], "filters_dropped")
+
+
+def search_pipeline(
+    records: DataFrame, requests: DataFrame, *, embed: Callable[[Column], Column], terms: Sequence[Term] = FLIGHT_TERMS,
+    generate: Callable[[Column], Column] | None = None, scorer: Callable[[Column, Column], Column] | None = None,
+    limit: str = "limit", threshold: float | str | None = SCORE_THRESHOLD, fetch: int = RERANK_FETCH, most: int = RERANK_RETURN,
+    doc: str = "doc", fields: Sequence[str] = HIT_FIELDS, id_col: str = "flight_id", qid: str = "query_id", query: str = "query",
+    **options: Any,
+) -> DataFrame:
+    """The whole way from query texts to hits: ``(qid, rank, id, score, filters_dropped, *fields)``.
 
-    Adds ``filters_dropped``. The first result (at most k rows a request) is written out so that neither pass is
-    computed twice, and the second scan happens only when some request needs it.
+    A text is generated for each distinct query (``generate``, else the query itself stands), embedded, and searched for under the
+    request's filters, or without them if they leave nothing. With a ``scorer``, ``fetch`` hits are fetched whatever the limit,
+    ordered by their pair score, and ``most`` or the limit, if that is smaller, are returned; else the limit counts. A null limit
+    means ``DEFAULT_LIMIT``, and a filter field that the requests lack is not set. The text of a record comes along with its hit out of the one scan, so no table is joined to the hits.
     """
-    asked = requests.withColumn("_filtered", has_filter(terms))
-    first = write_out(vector_search(records, asked, terms=terms, qid=qid, **options), "hits")
-    left = asked.filter("_filtered").join(first.select(qid).distinct(), qid, "left_anti")
-    first = first.withColumn("filters_dropped", F.lit(False))
-    left = write_out(left, "unmatched")
-    if left.isEmpty():
-        return first
-    again = vector_search(records, left, terms=(), qid=qid, **options)
-    return first.unionByName(again.withColumn("filters_dropped", F.lit(True)))
+    missing = {t.field: F.lit(None).cast("string" if t.kind in ("keyword", "band") else "int") for t in terms if t.field not in requests.columns}
+    asked = requests.withColumns(missing).withColumn("_limit", F.coalesce(limit, F.lit(DEFAULT_LIMIT)))
+    asked = asked.withColumn("generated", F.col(query)) if generate is None else generate_once(asked, generate, query)
+    # Written: the model answers once, however often the requests are read.
+    asked = write_out(asked.withColumn("embedding", embed(F.col("generated"))), "asked")
+    keep = [*fields, *([doc] if scorer and doc not in fields else [])]
+    hits = search_with_fallback(
+        records, asked, terms=terms, qid=qid, k=fetch_size("_limit", scorer is not None, fetch), threshold=threshold, id_col=id_col,
+        keep=keep, **options)
+    if scorer is not None:
+        # At most ``fetch`` rows a request.
+        told = hits.join(asked.select(qid, query, "_limit"), qid)
+        best = rerank(told, scorer, most, query, doc, qid).filter(F.col("rerank") <= F.col("_limit"))
+        hits = best.withColumn("rank", F.col("rerank"))
+    return hits.select(qid, "rank", id_col, "score", "filters_dropped", *fields)
 
 
 def search_responses(requests: DataFrame, hits: DataFrame, filters: Sequence[Term], qid: str = "query_id") -> DataFrame:
@@ -273,16 +298,15 @@ def rerank(
     return top_k(scored, [qid], [F.col("pair_score").desc(), F.col("rank").asc()], top_n, "rerank")
 
 
-def fetch_size(limit: int, reranking: bool, fetch: int = 20) -> int:
+def fetch_size(limit: int | str, reranking: bool, fetch: int = RERANK_FETCH) -> int | str:
     """Candidates to fetch: with reranking a fixed number whatever the limit."""
     return fetch if reranking else limit
 
 
-def candidate_sets(hits: DataFrame, docs: DataFrame, id_col: str, doc: str, qid: str = "query_id") -> DataFrame:
-    """One row per request with its candidates in rank order (at most the fetch size)."""
-    joined = hits.join(docs.select(id_col, F.col(doc).alias("doc")), id_col)
-    item = F.struct("rank", F.col(id_col).alias("id"), "score", "doc")
-    return joined.groupBy(qid).agg(F.array_sort(F.collect_list(item)).alias("candidates"))
+def candidate_sets(hits: DataFrame, id_col: str, doc: str, qid: str = "query_id") -> DataFrame:
+    """One row per request with its candidates in rank order (at most the fetch size). Hits carry their texts (``keep=[doc]``)."""
+    item = F.struct("rank", F.col(id_col).alias("id"), "score", F.col(doc).alias("doc"))
+    return hits.groupBy(qid).agg(F.array_sort(F.collect_list(item)).alias("candidates"))
 
 
 def by_id(requests: DataFrame, records: DataFrame, key: str = "flight_id") -> DataFrame:

@@ -192,20 +192,20 @@ def _dim_sql(codes):
     return _AIR.format(", ".join("('" + c + "', '" + n.replace("'", "''") + "')" for c, n in codes.items()))
 
 
-def _doc_sql():
+def flight_docs_sql():
     from recallgrid.schema import AIRPORTS, CARRIERS
 
     return f"""
-WITH {FLIGHTS_SQL},
-c AS (SELECT * FROM {_dim_sql(CARRIERS)}), a AS (SELECT * FROM {_dim_sql(AIRPORTS)})
+c AS (SELECT * FROM {_dim_sql(CARRIERS)}), a AS (SELECT * FROM {_dim_sql(AIRPORTS)}),
+docs AS (
 SELECT event_id, concat(f.carrier, ' ', coalesce(c.name, f.carrier), ' flight ', flight, ' ', f.origin, ' ',
   coalesce(o.name, f.origin), ' to ', f.dest, ' ', coalesce(z.name, f.dest), ' ', year, '-', month, '-', day,
   ' sched ', sched_dep_time, '->', sched_arr_time, ' actual ', dep_time, '->', arr_time,
   ' dist ', distance, ' air ', air_time) AS doc
-FROM flights f LEFT JOIN c ON c.code = f.carrier LEFT JOIN a o ON o.code = f.origin LEFT JOIN a z ON z.code = f.dest"""
+FROM flights f LEFT JOIN c ON c.code = f.carrier LEFT JOIN a o ON o.code = f.origin LEFT JOIN a z ON z.code = f.dest)"""
 
 
-@query("flight_document", _doc_sql())
+@query("flight_document", f"WITH {FLIGHTS_SQL}, {flight_docs_sql()} SELECT * FROM docs")
 def flight_document(spark, d):
     return ingest.flight_document(flights(_events(spark, d))).select("event_id", "doc")
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from recallgrid.functions.vectors import centroids
 from recallgrid.operators import search
 from recallgrid.operators.filters import FLIGHT_TERMS, Term, filter_column, has_filter
-from recallgrid.operators.hooks import hash_embedding, overlap_scorer
+from recallgrid.operators.hooks import generator, hash_embedding, overlap_scorer
+from recallgrid.operators.ingest import flight_document
 from recallgrid.plans.registry import FLIGHTS_SQL, flights, query, table
 from recallgrid.session import write_out
 
@@ -40,8 +41,8 @@ def vector_topk(spark, d):
 
 @query("vector_topk_grid", f"WITH {CENTROID_SQL} SELECT query_id, rank, score, vec_id, label FROM ranked WHERE rank <= 10")
 def vector_topk_grid(spark, d):
-    """The same search by the path for request tables too large to broadcast."""
-    return label_hits(spark, d, broadcast_cells=0)
+    """The same search with the requests in many blocks, as for a request table too large to send to every task."""
+    return label_hits(spark, d, block_cells=3 * 64)
 
 
 @query("vector_threshold", f"""
@@ -108,12 +109,12 @@ def passages(spark, d):
 
 def documents(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.upper("lang").alias("lang_code"), hash_embedding()(F.col("text")).alias("embedding"))
+    return docs.select("doc_id", F.col("text").alias("doc"), F.upper("lang").alias("lang_code"), hash_embedding()(F.col("text")).alias("embedding"))
 
 
-def passage_hits(spark, d, k):
+def passage_hits(spark, d, k, keep="lang_code"):
     return search.vector_search(
-        documents(spark, d), passages(spark, d), k=k, threshold=0.3, id_col="doc_id", keep=["lang_code"])
+        documents(spark, d), passages(spark, d), k=k, threshold=0.3, id_col="doc_id", keep=[keep])
 
 
 @query("text_search", f"""
@@ -154,11 +155,10 @@ s AS (SELECT *, round(common / (len(wq) + len(wd) - common), 9) AS pair FROM p)
 SELECT query_id, doc_id, rank, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pair DESC, rank) AS INT) AS rerank,
   round(pair, 6) AS pair_score FROM s QUALIFY rerank <= 5""")
 def rerank_overlap(spark, d):
-    """Fetch 20 by vector, keep the 5 that share most words."""
-    hits = passage_hits(spark, d, search.fetch_size(5, reranking=True))
-    texts = table(spark, d, "documents").select("doc_id", F.col("text").alias("doc"))
+    """Fetch 20 by vector, keep the 5 that share most words. Texts come along with the hits; the documents are not shuffled."""
+    hits = passage_hits(spark, d, search.fetch_size(5, reranking=True), "doc")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    both = hits.join(texts, "doc_id").join(asked, "query_id")
+    both = hits.join(asked, "query_id")
     return search.rerank(both, overlap_scorer, 5).select(
         "query_id", "doc_id", "rank", "score", "rerank", F.round("pair_score", 6).alias("pair_score"))
 
@@ -169,14 +169,82 @@ c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 SELECT query_id, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank) AS ids,
   CAST(sum(length(doc)) AS BIGINT) AS doc_chars FROM c GROUP BY query_id""")
 def candidate_sets(spark, d):
-    hits = passage_hits(spark, d, 20)
-    sets = search.candidate_sets(hits, table(spark, d, "documents"), "doc_id", "text")
+    sets = search.candidate_sets(passage_hits(spark, d, 20, "doc"), "doc_id", "doc")
     return sets.select(
         "query_id", F.size("candidates").cast("long").alias("n"),
         F.array_join(F.transform("candidates", lambda c: c["id"].cast("string")), " ").alias("ids"),
         F.aggregate("candidates", F.lit(0).cast("long"), lambda s, c: s + F.length(c["doc"])).alias("doc_chars"))
 
 
+_PIPELINE_SQL = f"""
+WITH {FLIGHTS_SQL}, {{docs}},
+r AS (SELECT f.event_id AS flight_id, d.doc, f.* EXCLUDE (event_id) FROM flights f JOIN docs d USING (event_id)),
+q0 AS (SELECT DISTINCT carrier, origin FROM flights),
+q AS (SELECT carrier || '-' || origin AS query_id, carrier || ' flight of ' || origin AS query, lower(origin) AS f_origin,
+    CASE WHEN ascii(carrier) % 3 = 0 THEN 'XXX' WHEN ascii(carrier) % 3 = 1 THEN 'lax' ELSE '' END AS f_dest,
+    CASE WHEN ascii(carrier) % 2 = 0 THEN 'morning' ELSE 'whenever' END AS f_band,
+    CASE origin WHEN 'JFK' THEN NULL WHEN 'LGA' THEN 3 ELSE 12 END AS lim FROM q0),
+g AS (SELECT *, CASE WHEN f_band = 'morning' THEN query || ' to Los Angeles' ELSE query END AS generated FROM q),
+qe AS ({HASH_SQL.format(id='query_id', text='generated', t='g')}),
+de AS ({HASH_SQL.format(id='flight_id', text='doc', t='r')}),
+scored AS (SELECT g.*, r.* , round(list_cosine_similarity(de.vec, qe.vec), 6) AS score FROM g JOIN qe ON qe.id = g.query_id
+  CROSS JOIN r JOIN de ON de.id = r.flight_id),
+p AS (SELECT * FROM scored WHERE score >= 0.3 AND NOT isnan(score)),
+m AS (SELECT *, false AS filters_dropped FROM p WHERE origin = upper(f_origin) AND (f_dest = '' OR dest = upper(f_dest))
+  AND (f_band <> 'morning' OR sched_dep_time BETWEEN 600 AND 1159)),
+b AS (SELECT * FROM m UNION ALL SELECT *, true FROM p WHERE query_id NOT IN (SELECT query_id FROM m)),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, flight_id) AS first FROM b)"""
+
+_HIT_SQL = "carrier, flight, origin, dest, sched_dep_time, sched_arr_time, dep_time, arr_time, distance, air_time, year, month, day"
+
+
+def _pipeline_sql(rest):
+    from recallgrid.plans.loading import flight_docs_sql
+
+    return _PIPELINE_SQL.replace("{docs}", flight_docs_sql()) + rest
+
+
+@query("search_pipeline", _pipeline_sql(f""",
+w AS (SELECT *, {_WORDS.format('query')} AS wq, {_WORDS.format('doc')} AS wd FROM t WHERE first <= 20),
+s AS (SELECT *, round(len(list_intersect(wq, wd)) / (len(wq) + len(wd) - len(list_intersect(wq, wd))), 9) AS pair FROM w)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pair DESC, first) AS INT) AS rank, flight_id, score, filters_dropped,
+  {_HIT_SQL} FROM s QUALIFY rank <= least(5, coalesce(lim, 10))"""))
+def search_pipeline(spark, d):
+    """Generated texts, embedding, filtered search with fallback, second ranking, and the fields of a hit, in one call."""
+    return search.search_pipeline(
+        _flight_index(spark, d), _flight_requests(spark, d), embed=hash_embedding(), generate=generator(_to_the_coast),
+        scorer=overlap_scorer)
+
+
+@query("search_pipeline_plain", _pipeline_sql(f"""
+SELECT query_id, CAST(first AS INT) AS rank, flight_id, score, filters_dropped, {_HIT_SQL} FROM t WHERE first <= coalesce(lim, 10)"""))
+def search_pipeline_plain(spark, d):
+    """The same without a second ranking: the limit of each request counts."""
+    return search.search_pipeline(
+        _flight_index(spark, d), _flight_requests(spark, d), embed=hash_embedding(), generate=generator(_to_the_coast))
+
+
+def _to_the_coast():
+    """A model that adds a destination for carriers with an even first letter and has no answer for others."""
+    return lambda prompts: [f"{p} to Los Angeles" if ord(p[0]) % 2 == 0 else None for p in prompts]
+
+
+def _flight_index(spark, d):
+    rows = flight_document(flights(table(spark, d, "events"))).withColumnRenamed("event_id", "flight_id")
+    return rows.withColumn("embedding", hash_embedding()(F.col("doc")))
+
+
+def _flight_requests(spark, d):
+    """A request for each carrier and origin there is, with filters that match some, none or everything, and limits."""
+    code = F.ascii("carrier")
+    rows = flights(table(spark, d, "events")).select("carrier", "origin").distinct()
+    return rows.select(
+        F.concat_ws("-", "carrier", "origin").alias("query_id"), F.concat("carrier", F.lit(" flight of "), "origin").alias("query"),
+        F.when(code % 3 == 0, "XXX").when(code % 3 == 1, "lax").otherwise("").alias("dest"),
+        F.when(code % 2 == 0, "morning").otherwise("whenever").alias("time_of_day"), F.lower("origin").alias("origin"),
+        F.when(F.col("origin") == "LGA", 3).when(F.col("origin") != "JFK", 12).alias("limit"))
+
+
 @query("sample_centroids", f"""
 WITH samples AS (SELECT item_id * 3 + i AS sid, text || repeat(' flight record', CAST(i AS INT)) AS text
   FROM benchmark, range(3) r(i)),

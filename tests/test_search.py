@@ -65,20 +65,53 @@ def as_dict(df):
     return out
 
 
-@pytest.mark.parametrize("cells", [search.MAX_BROADCAST_CELLS, 0], ids=["broadcast", "grid"])
+@pytest.mark.parametrize("cells", [search.BLOCK_CELLS, 20, 4], ids=["one block", "some blocks", "many blocks"])
 def test_search_equals_brute_force(tables, cells):
-    got = search.vector_search(*tables, k="k", threshold="floor", terms=TERMS, id_col="id", broadcast_cells=cells)
+    got = search.vector_search(*tables, k="k", threshold="floor", terms=TERMS, id_col="id", block_cells=cells)
     assert as_dict(got) == brute()
 
 
-def test_grid_with_many_cells(tables):
+def test_wrong_dimension_fails(tables, spark):
     records, requests = tables
-    named = requests.select("query_id", F.col("embedding").alias("_vec"), F.col("k").alias("_k"), F.col("floor").alias("_floor"),
-                            *[t.field for t in TERMS])
-    schema = search._out_schema(requests, records, "query_id", ["id"])
-    found = search._grid_search(records, named, schema, TERMS, "embedding", ["id"], "query_id", cell_records=40, cell_requests=2)
-    ranked = search._rank(found, "query_id", "id", 1000).join(requests.select("query_id", "k"), "query_id").filter("rank <= k")
-    assert as_dict(ranked) == brute()
+    three = spark.createDataFrame([(1, [1.0, 0.0, 2.0])], "query_id int, embedding array<double>")
+    with pytest.raises(Exception, match="requests have 3 dimensions, records 4"):
+        search.vector_search(records.coalesce(1), three, id_col="id").collect()
+    with pytest.raises(ValueError, match="different dimensions"):
+        search.vector_search(records, requests.select("query_id", "embedding").unionByName(three), id_col="id")
+
+
+def test_null_limit_is_the_default(tables):
+    records, requests = tables
+    asked = requests.filter("query_id = 1").withColumn("k", F.lit(None).cast("int"))
+    assert search.vector_search(records, asked, k="k", threshold=None, id_col="id").count() == search.DEFAULT_LIMIT
+
+
+def test_pipeline_is_its_stages(spark, tables):
+    records, _ = tables
+    rows = [(1, "a", "JFK", 3), (2, "b", "XXX", None), (3, "a", None, 50)]
+    asked = spark.createDataFrame(rows, "query_id int, query string, origin string, limit int")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def model(q):
+        calls.add(1)
+        return q + q
+
+    vector = lambda q: F.when(q == "aa", F.array(*map(F.lit, (1.0, 0.0, 0.5, 1.0)))).otherwise(F.array(*map(F.lit, (0.0, 1.0, -1.0, 2.0))))
+    told = records.withColumn("doc", F.concat("origin", F.lit(" "), "carrier"))
+    options = dict(embed=vector, generate=model, terms=TERMS[:2], threshold=0.3, fields=["origin", "month"], id_col="id")
+    plain = search.search_pipeline(told, asked, **options)
+    assert calls.value == 2  # once for each text
+    got = as_dict(plain)
+    by_hand = asked.withColumn("embedding", vector(F.concat("query", "query"))).withColumn("carrier", F.lit(None).cast("string"))
+    want = as_dict(search.search_with_fallback(told, by_hand, terms=TERMS[:2], k="limit", threshold=0.3, id_col="id"))
+    assert got == want and [len(got[q]) for q in (1, 2, 3)] == [3, 10, 50]
+    assert {r.query_id for r in plain.filter("filters_dropped").collect()} == {2}
+    assert plain.columns == ["query_id", "rank", "id", "score", "filters_dropped", "origin", "month"]
+    ranked = search.search_pipeline(told, asked, scorer=lambda q, d: F.length(d).cast("double"), **options).collect()
+    assert sorted((r.query_id, r["rank"]) for r in ranked) == [(q, r) for q, n in ((1, 3), (2, 5), (3, 5)) for r in range(1, n + 1)]
+    text = plain._jdf.queryExecution().executedPlan().toString()
+    assert text.split("Initial Plan")[-1].count("MapInArrow") == 1
 
 
 def test_fallback(tables):
