@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from recallgrid.operators.hooks import MESSAGE_OVERHEAD, message_chars, tokens_of
 from recallgrid.operators.ranking import top_k
 from recallgrid.schema import CONTEXT_MIN_MESSAGES, CONTEXT_TOKENS, MAX_SESSIONS, MAX_TOOL_ROUNDS, SESSION_TTL_SECONDS
+from recallgrid.session import write_out
 
 _DAY_MICROS = 86_400_000_000
 
@@ -38,11 +39,12 @@ def trim(
     """Messages that survive a token budget.
 
     The first message always stays. Of the others the newest stay while the total fits, and the last ``min_keep``
-    even if it does not. Every message takes at least ``MESSAGE_OVERHEAD`` characters, which bounds how many of the newest messages of
+    even if it does not. Rows that repeat a turn stay or go together. Every message takes at least ``MESSAGE_OVERHEAD`` characters, which bounds how many of the newest messages of
     a conversation can matter: they are picked in slices first, and a conversation of any length is never sorted whole.
     """
     heads = _heads(messages, conv, turn)
-    sized = messages.withColumn("_chars", message_chars(F.col("role"), F.col("text")))
+    # Sizes only: texts take no part in the ranking and meet one row a conversation in the end.
+    sized = messages.select(conv, turn, message_chars(F.col("role"), F.col("text")).alias("_chars"))
     reach = max(min_keep, 4 * limit // MESSAGE_OVERHEAD) + 2
     recent = top_k(sized, [conv], [F.col(turn).desc()], reach, "_new", spread=F.col(turn))
     rest = recent.join(heads.select(conv, "_head", "_head_chars"), conv).filter(F.col(turn) > F.col("_head"))
@@ -50,8 +52,10 @@ def trim(
     running = F.sum("_chars").over(newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = rest.withColumn("_sum", running).filter(
         (F.col("_new") <= min_keep) | (tokens_of(F.col("_head_chars") + F.col("_sum")) <= limit))
-    first = messages.join(heads.select(conv, F.col("_head").alias(turn)), [conv, turn], "left_semi")
-    return first.unionByName(kept.select(*messages.columns))
+    since = kept.groupBy(conv).agg(F.min(turn).alias("_since"))
+    bounds = heads.select(conv, "_head").join(since, conv, "left")
+    return messages.join(bounds, conv).filter(
+        (F.col(turn) == F.col("_head")) | (F.col(turn) >= F.col("_since"))).select(*messages.columns)
 
 
 def trim_exact(
@@ -66,10 +70,9 @@ def trim_exact(
     """
     reach = max(min_keep, limit // min_tokens) + 2
     heads = messages.groupBy(conv).agg(F.min(turn).alias("_head"), F.count("*").alias("_all"))
-    recent = top_k(messages, [conv], [F.col(turn).desc()], reach, "_new", spread=F.col(turn)).drop("_new")
-    marked = recent.join(heads, conv)
-    first = messages.join(heads, conv).filter(F.col(turn) == F.col("_head"))
-    group = first.unionByName(marked.filter(F.col(turn) > F.col("_head")))
+    recent = top_k(messages.select(conv, turn), [conv], [F.col(turn).desc()], reach, "_new", spread=F.col(turn))
+    bounds = heads.join(recent.groupBy(conv).agg(F.min(turn).alias("_since")), conv)
+    group = messages.join(bounds, conv).filter((F.col(turn) == F.col("_head")) | (F.col(turn) >= F.col("_since"))).drop("_head", "_since")
 
     names = messages.columns
 
@@ -160,7 +163,12 @@ def summarize(
     message takes in empty messages, the transcript does not.
     """
     older, kept = head_tail(messages, min_keep, conv, turn)
-    made = summaries(older, summary, conv, turn).filter(F.col("answer").isNotNull())
+    # Written: the message and the rows it stands for need the same answer, and the hook is asked once.
+    made = write_out(summaries(older, summary, conv, turn), "summaries")
+    return _replaced(older, kept, made.filter(F.col("answer").isNotNull()), conv, turn)
+
+
+def _replaced(older: DataFrame, kept: DataFrame, made: DataFrame, conv: str, turn: str) -> DataFrame:
     message = made.select(
         conv, turn, F.lit("system").alias("role"),
         F.concat(F.lit("[Earlier conversation ("), F.col("n"), F.lit(" messages): "), "answer", F.lit("]")).alias("text"))
@@ -187,14 +195,19 @@ def fit_context(
     messages: DataFrame, summary: Callable[[Column], Column] | None = None, limit: int = CONTEXT_TOKENS,
     min_keep: int = CONTEXT_MIN_MESSAGES, conv: str = "conv_id", turn: str = "turn",
 ) -> DataFrame:
-    """Conversations over the budget are summarised, or trimmed without a summary hook or its answer; the others stay whole."""
+    """Conversations over the budget are summarised, or trimmed without a summary hook or its answer; the others stay whole.
+
+    The hook is asked once for each of them, and its answers written out, so that no two answers can disagree.
+    """
     if summary is None:
         return trim(messages, limit, min_keep, conv, turn)
     long = over_budget(messages, limit, conv)
     over = messages.join(long, conv, "left_semi")
-    older, _ = head_tail(over, min_keep, conv, turn)
-    failed = summaries(older, summary, conv, turn).filter(F.col("answer").isNull()).select(conv)
-    changed = summarize(over.join(failed, conv, "left_anti"), summary, min_keep, conv, turn)
+    older, kept = head_tail(over, min_keep, conv, turn)
+    made = write_out(summaries(older, summary, conv, turn), "summaries")
+    failed = made.filter(F.col("answer").isNull()).select(conv)
+    good = made.filter(F.col("answer").isNotNull())
+    changed = _replaced(older.join(failed, conv, "left_anti"), kept.join(failed, conv, "left_anti"), good, conv, turn)
     trimmed = trim(over.join(failed, conv, "left_semi"), limit, min_keep, conv, turn)
     return messages.join(long, conv, "left_anti").unionByName(changed).unionByName(trimmed)
 

@@ -8,47 +8,48 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from recallgrid.session import write_out
 
+#: Distinct values that are put in order in one task.
+SLICE_ROWS = 500_000
+
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], slots: int = 4096,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """``(*keys, prob, value)`` for every group, equal to interpolating in its sorted values.
 
-    Equal values are counted together first. The counts fall into ``slots`` equal slices of the group's value
-    range; running totals over slices (at most ``slots`` rows a group) tell which slice holds each wanted rank, and only
-    the values of those slices are ordered. Nulls do not count.
+    Equal values are counted together first. The counts are dealt by range of (group, value) into slices of about ``slice_rows``
+    distinct values, however the values are spread; running totals over a group's slices tell which slice holds each wanted
+    rank, and only the values of those slices are ordered. Nulls do not count; null keys are a group.
     """
     if not keys:
-        return exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, slots).drop("_all")
+        return exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, slice_rows).drop("_all")
     counted = write_out(
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
+        df.filter(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias("_g"), F.col(value).cast("double").alias("_v")).agg(
             F.count("*").alias("_n")), "counts")
-    span = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    width = F.nullif((F.col("_hi") - F.col("_lo")) / slots, F.lit(0.0))
-    slot = F.least(F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(0)), F.lit(slots - 1))
-    sliced = counted.join(span, list(keys)).withColumn("_slot", slot)
-
-    by_slot = Window.partitionBy(*keys).orderBy("_slot")
-    slices = sliced.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_n"), F.first("_total").alias("_total")).withColumn(
-        "_through", F.sum("_n").over(by_slot)).withColumn("_before", F.col("_through") - F.col("_n"))
-
-    position = F.col("prob") * (F.col("_total") - 1)
-    wanted = slices.select(
-        *keys, "_slot", "_before", "_through", "_total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"),
-    ).withColumn("_pos", position).withColumn("_at", F.explode(F.array(F.floor("_pos"), F.ceil("_pos")))).filter(
+    slices = max(1, -(-counted.count() // slice_rows))
+    ranged = write_out(counted.repartitionByRange(slices, "_g", "_v").withColumn("_slice", F.spark_partition_id()), "ranges")
+
+    # One row for each slice and group in it: no more than slices and groups together.
+    by_slice = Window.partitionBy("_g").orderBy("_slice")
+    totals = ranged.groupBy("_g", "_slice").agg(F.sum("_n").alias("_n")).withColumn(
+        "_through", F.sum("_n").over(by_slice)).withColumn(
+        "_before", F.col("_through") - F.col("_n")).withColumn("_total", F.sum("_n").over(Window.partitionBy("_g")))
+    wanted = write_out(totals.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
+        "_pos", F.col("prob") * (F.col("_total") - 1)).withColumn(
+        "_at", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos"))))).filter(
         (F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_through"))).select(
-        *keys, "_slot", "_before", "prob", "_pos", "_at").distinct()
+        "_g", "_slice", "_before", "prob", "_pos", "_at"), "ranks")
 
-    marks = wanted.select(*keys, "_slot", "_before").distinct()
-    in_slot = Window.partitionBy(*keys, "_slot").orderBy("_v")
-    ordered = sliced.drop("_total").join(marks, [*keys, "_slot"]).withColumn(
-        "_end", F.col("_before") + F.sum("_n").over(in_slot)).withColumn("_begin", F.col("_end") - F.col("_n"))
-    picked = ordered.drop("_before").join(wanted.drop("_before"), [*keys, "_slot"]).filter(
+    marks = wanted.select("_g", "_slice", "_before").distinct()
+    in_slice = Window.partitionBy("_g", "_slice").orderBy("_v")
+    ordered = ranged.join(marks, ["_g", "_slice"]).withColumn(
+        "_end", F.col("_before") + F.sum("_n").over(in_slice)).withColumn("_begin", F.col("_end") - F.col("_n"))
+    picked = ordered.drop("_before").join(wanted.drop("_before"), ["_g", "_slice"]).filter(
         (F.col("_at") >= F.col("_begin")) & (F.col("_at") < F.col("_end")))
-    ends = picked.groupBy(*keys, "prob").agg(
+    ends = picked.groupBy("_g", "prob").agg(
         F.first("_pos").alias("_pos"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
     share = F.col("_pos") - F.floor("_pos")
-    return ends.select(*keys, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("value"))
+    return ends.select("_g.*", "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("value"))
 
 
 def stage_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -188,6 +188,19 @@ def price_percentiles(spark, d):
     return _rounded(exact_percentiles(li, ["l_returnflag", "l_linestatus"], "l_extendedprice", probs), "value")
 
 
+@query("outlier_percentiles", """
+WITH v AS (SELECT event_type, exp(value / 2) AS v FROM events UNION ALL SELECT 'view', 1e300)
+SELECT event_type, CAST(unnest([0.0, 0.05, 0.5, 0.95, 1.0]) AS DOUBLE) AS prob,
+  round(ln(unnest(quantile_cont(v, [0.0, 0.05, 0.5, 0.95, 1.0]))), 6) AS log_value
+FROM v GROUP BY event_type""")
+def outlier_percentiles(spark, d):
+    """Values spread over many orders of magnitude, one far beyond the rest; in logarithms, to compare them."""
+    e = table(spark, d, "events").select("event_type", F.exp(F.col("value") / 2).alias("v"))
+    far = spark.range(1).select(F.lit("view").alias("event_type"), F.lit(1e300).alias("v"))
+    at = exact_percentiles(e.unionByName(far), ["event_type"], "v", [0.0, 0.05, 0.5, 0.95, 1.0])
+    return at.select("event_type", "prob", F.round(F.log("value"), 6).alias("log_value"))
+
+
 @query("stage_totals", """
 SELECT event_id, round(value + value * 2 + hour(ts), 6) AS total_ms FROM events""")
 def stage_totals(spark, d):

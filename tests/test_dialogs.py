@@ -145,6 +145,31 @@ def test_failed_summary_falls_back_to_trimming(spark):
     assert len(got[2]) == 12 and got[2][1][3] == "[Earlier conversation (49 messages): fine]"
 
 
+def test_summary_hook_is_asked_once(spark):
+    """A model that would answer once and then fail: its first answer counts everywhere."""
+    rows = [(c, t, "user", "x" * 100) for c in (1, 2) for t in range(60)]
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def model(text):
+        calls.add(1)
+        return "told"
+
+    got = by_conv(dialogs.fit_context(spark.createDataFrame(rows, SCHEMA), model.asNondeterministic(), 500, 10).collect())
+    assert calls.value == 2 and all(len(got[c]) == 12 and got[c][1][3].endswith("told]") for c in (1, 2))
+
+
+def test_trim_ranks_without_texts(talks):
+    _, df = talks
+    def windows(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        return [w for b in below for w in windows(b)] + ([node.output().toString()] if node.nodeName().startswith("Window") else [])
+
+    for out in (dialogs.trim(df, 500, 10), dialogs.trim_exact(df, lambda ps: 1, 500, 10, min_tokens=1)):
+        found = windows(out._jdf.queryExecution().optimizedPlan())
+        assert found and not any("text#" in columns for columns in found)
+
+
 def test_tokenizer_bound_too_high_fails(spark):
     df = spark.createDataFrame([(1, t, "user", "") for t in range(200)], SCHEMA)
     with pytest.raises(Exception, match="min_tokens"):

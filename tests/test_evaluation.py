@@ -1,10 +1,13 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.operators import evaluation as ev
+from recallgrid.operators import percentiles
 from recallgrid.operators.percentiles import exact_percentiles, stage_summary
+from recallgrid.session import write_out
 
 random.seed(11)
 HITS = {q: sorted(random.sample(range(60), random.choice([0, 1, 6, 10])), key=lambda i: (q * 7 + i * 13) % 61) for q in range(12)}
@@ -82,13 +85,13 @@ def test_composite(spark):
     assert still.composite == pytest.approx(0.6)
 
 
-@pytest.mark.parametrize("slots", [1, 7, 4096])
-def test_percentiles(spark, slots):
+@pytest.mark.parametrize("rows", [20, 100, 4096])
+def test_percentiles(spark, rows):
     groups = {"a": [10.0, 20.0, 35.0, 50.0], "b": [3.0], "c": [random.choice([1.0, 1e6, random.random()]) for _ in range(501)],
               "d": [5.0] * 40}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("a", None)], "g string, v double")
     probs = [0.0, 0.05, 0.5, 0.95, 1.0]
-    got = {(r.g, r.prob): r.value for r in exact_percentiles(df, ["g"], "v", probs, slots).collect()}
+    got = {(r.g, r.prob): r.value for r in exact_percentiles(df, ["g"], "v", probs, rows).collect()}
     for g, vs in groups.items():
         vs = sorted(vs)
         for p in probs:
@@ -97,6 +100,28 @@ def test_percentiles(spark, slots):
             assert got[g, p] == pytest.approx(vs[lo] + (vs[hi] - vs[lo]) * (at - lo)), (g, p)
 
 
+def test_percentile_slices_do_not_depend_on_the_spread_of_values(spark, monkeypatch):
+    """Values over 300 orders of magnitude: no slice gets more than twice its share."""
+    seen = {}
+
+    def watch(df, name="stage"):
+        out = write_out(df, name)
+        seen[name] = out
+        return out
+
+    monkeypatch.setattr(percentiles, "write_out", watch)
+    values = [math.exp(i / 8) for i in range(2000)] + [1e300]
+    df = spark.createDataFrame([(None if v > 1e100 else "a", v) for v in values], "g string, v double")
+    got = {(r.g, r.prob): r.value for r in exact_percentiles(df, ["g"], "v", [0.0, 0.5, 1.0], 100).collect()}
+    apart = {g: sorted(v for v in values if (v > 1e100) == (g is None)) for g in ("a", None)}
+    for g, vs in apart.items():
+        mid = (len(vs) - 1) / 2
+        assert got[g, 0.0] == vs[0] and got[g, 1.0] == vs[-1]
+        assert got[g, 0.5] == pytest.approx((vs[math.floor(mid)] + vs[math.ceil(mid)]) / 2)
+    sizes = [r["count"] for r in seen["ranges"].groupBy("_slice").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 200
+
+
 def test_percentile_examples(spark):
     df = spark.createDataFrame([("s", v) for v in (10.0, 20.0, 35.0, 50.0)] + [("t", None)], "stage string, v double")
     rows = {r.stage: r for r in stage_summary(df, ["stage"], "v").collect()}
