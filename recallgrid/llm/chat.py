@@ -5,7 +5,7 @@ Everything is DataFrame expressions; messages are folded before conversations ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD, END = "###", "</turn>"
@@ -49,36 +49,43 @@ def fold_messages(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
-    r"""One row per conversation: conv_id, formatted, loss_spans array<struct<start, length>>.
+    r"""One row per conversation: conv_id, formatted, loss_spans array<struct<start, length, turn, inside>>.
 
     A turn is ``### role: text</turn>`` and a line break, role and text escaped. Spans are code points of ``formatted`` that hold
-    the texts of role ``trained``. Messages are ordered by seq (ties: role, text). A null role is empty.
-    A conversation's text is one value, so a single conversation must fit a task.
+    the texts of role ``trained``; ``turn`` is the number of a span's turn and ``inside`` its start within that turn. Messages are
+    ordered by seq (nulls first; ties: role, text). A null role is empty. A conversation's text is one value, so a single conversation
+    must fit a task; the work grows in proportion to its length.
     """
-    turn = F.struct(
-        "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    pieces = F.transform("turns", lambda t: F.struct(
-        F.concat(F.lit(f"{HEAD} "), escape_role(t["role"]), F.lit(": ")).alias("head"), escape(t["text"]).alias("body"),
-        (t["role"] == trained).alias("on")))
-    tail = len(END) + 1
-    # Ends of all turns in one fold over lengths (integers only).
-    ends = F.aggregate(
-        "pieces", F.array(F.lit(0).cast("long")),
-        lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p["head"]) + F.length(p["body"]) + tail))
-    spans = F.filter(F.transform("pieces", lambda p, i: F.struct(
-        (F.get(F.col("ends"), i) + F.length(p["head"])).alias("start"), F.length(p["body"]).cast("long").alias("length"),
-        p["on"].alias("on"))), lambda s: s["on"])
-    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "")
-    return (turns.withColumn("pieces", pieces).withColumn("ends", ends).select(
-        "conv_id", text.alias("formatted"),
-        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans")))
+    told = messages.select(
+        "conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumns({
+            "head": F.concat(F.lit(f"{HEAD} "), escape_role(F.coalesce("role", F.lit(""))), F.lit(": ")),
+            "body": escape(F.coalesce("text", F.lit("")))})
+    size = (F.length("head") + F.length("body") + len(END) + 1).cast("long")
+    order = Window.partitionBy("conv_id").orderBy("seq", "role", "text")
+    placed = told.withColumn("turn", F.row_number().over(order) - 1).withColumn("start", F.sum(size).over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size)
+    span = F.struct(
+        (F.col("start") + F.length("head")).alias("start"), F.length("body").cast("long").alias("length"), "turn",
+        F.length("head").alias("inside"))
+    grouped = placed.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", F.concat("head", "body", F.lit(END + "\n")).alias("piece")))).alias("pieces"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == trained, span))).alias("loss_spans"))
+    return grouped.select("conv_id", F.array_join(F.col("pieces.piece"), "").alias("formatted"), "loss_spans")
+
+
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where the body reads it in a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chunks(formatted: Column) -> Column:
+    return F.split(formatted, f"{END}\n")
 
 
 def parse(formatted: Column) -> Column:
     """Turns array<struct<role, text>> back from a rendered conversation."""
-    chunks = F.slice(F.split(formatted, f"{END}\n"), 1, F.size(F.split(formatted, f"{END}\n")) - 1)
-    return F.transform(chunks, lambda c: _turn(F.substr(c, F.lit(len(HEAD) + 2))))
+    return _bind(_chunks(formatted), lambda all_: F.transform(
+        F.slice(all_, 1, F.size(all_) - 1), lambda c: _turn(F.substr(c, F.lit(len(HEAD) + 2)))))
 
 
 def _turn(chunk: Column) -> Column:
@@ -88,9 +95,9 @@ def _turn(chunk: Column) -> Column:
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(
-        spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between. Spans are cut out of their turns, not counted from the start."""
+    return _bind(_chunks(formatted), lambda all_: F.array_join(F.transform(
+        spans, lambda s: unescape(F.substr(F.get(all_, s["turn"]), s["inside"] + 1, s["length"].cast("int")))), ""))
 
 
 def format_chats(events: DataFrame, trained: str = "assistant") -> DataFrame:
