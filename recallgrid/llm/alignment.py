@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import json
 import re
 from collections.abc import Iterator
 from itertools import groupby
@@ -32,19 +33,22 @@ from recallgrid.llm.common import BATCH_BYTES, write_out
 #: Ids of either tokenizer, and documents of a run, are below these powers of two: a record's code is A id, B id, document.
 ID_BITS, SLOT_BITS = 22, 20
 #: Records of a run, before equal ones of a document are joined.
-RUN_RECORDS = 1 << 20
+RUN_RECORDS = 1 << 19
 #: Characters of text for each radix part, and runs that one merge takes.
 PART_CHARS, FAN_IN = 32_000_000, 512
 #: Records of a part for each task in which counts go back.
 SLICE_RECORDS = 8_000_000
 #: Distinct chunks that a worker remembers; links of a group above which its ids are joined before they are paired.
 CACHE, WIDE = 200_000, 1 << 20
+#: Plain chunks that are encoded in one call.
+JOINED = 4096
 
 #: An entry of a run: a pair of ids, and the documents that hold it linked. A total: a pair, its count, whether it is its A id's highest.
 ENTRY = np.dtype([("pair", "<u8"), ("n", "<u8")])
 TOTAL = np.dtype([("pair", "<u8"), ("n", "<u8"), ("best", "<u8")])
 #: A record of a run, in the order of the entries: the document, and how often it links the pair.
 RECORD = np.dtype([("slot", "<u4"), ("times", "<u4")])
+_ONE = np.uint32(1).tobytes()
 #: Entries that are packed, and unpacked, at once.
 PACK = 1 << 18
 
@@ -55,6 +59,9 @@ GIVEN = "run string, slots array<int>, sums array<long>, bests array<long>"
 
 _SAFE = re.compile(r"(?<=[^ ])(?= \S)")
 _ODD = re.compile(r" \s|\A\s|\s\Z")
+#: Chunks of Latin letters, marks that follow them, and the same once more after a line break; and the words a tokenizer sees in them.
+_EASY = re.compile(r" [A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,!?;:*$%&|#<>()]*(\n[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,!?;:*$%&|#<>()]*)?")
+_EASY_WORDS = r" ?\p{L}+|[^\s\p{L}\p{N}]+|\n"
 
 
 class _Plain(bpe.Pieces):
@@ -95,49 +102,71 @@ class Aligner:
         self.whole = any("▁" in n.lstrip("▁") for n in names)
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         digits = [str(i) for i in range(max(size_a, size_b))]
-        self.told = [np.array([d + mark for d in digits], object) for mark in ("", ",", "|", ";")]
+        self.told = np.array([[d + mark for d in digits] for mark in ("", ",", "|", ";")], object)
+        self.fast = self._ranked(path_a)
         self.known: dict[str, tuple | None] = {}
 
+    def _ranked(self, path: str):
+        """A faster encoder for plain words, if the file's ids stand in the order of its merges, as its ranks must."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        made = [self.a.vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        if self.whole or made != sorted(made):
+            return None
+        special = set(self.a.tok.get_added_tokens_decoder())
+        ranks = {self.bytes_a[i]: i for i in self.a.names if i not in special}
+        return tiktoken.Encoding("plain", pat_str=_EASY_WORDS, mergeable_ranks=ranks, special_tokens={})
+
     def look_up(self, chunks: list[str]) -> dict:
-        """What is known of the chunks, them among it: (n_a, n_b, n_groups, n_links, groups, pairs, times), or None if tokens differ from the text.
+        """What is known of the chunks, them among it: (n_a, groups, pairs, times), or None if tokens differ from the text.
 
-        Up to ``CACHE`` chunks stay known to the worker.
+        Up to ``CACHE`` chunks stay known to the worker. When they are full, those go that the chunks at hand do not use.
         """
-        new = [c for c in set(chunks) if c not in self.known]
+        apart = set(chunks)
+        new = [c for c in apart if c not in self.known]
         if len(self.known) + len(new) > CACHE:
-            if len(new) > CACHE // 2:
-                return {c: self.known[c] for c in chunks if c in self.known} | dict(zip(new, self.align(new)))
-            self.known.clear()
-            new = list(set(chunks))
+            self.known = {c: self.known[c] for c in apart if c in self.known}
+            if len(self.known) + len(new) > CACHE:
+                return self.known | dict(zip(new, self.align(new)))
         self.known.update(zip(new, self.align(new)))
         return self.known
 
     def align(self, chunks: list[str]) -> list[tuple | None]:
-        if not chunks:
-            return []
-        of_a: list = [None] * len(chunks)
-        short = [i for i, c in enumerate(chunks) if len(c) <= bpe.LEAF]
-        for i, e in zip(short, self.a.tok.encode_batch([chunks[i] for i in short], add_special_tokens=False)):
-            of_a[i] = e.ids
-        of_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        right = []
-        for i, c in enumerate(chunks):
-            if of_a[i] is None:
-                of_a[i] = self.a.ids(c)
-            raw = c.encode()
-            if raw == b"".join([self.bytes_b[t] for t in of_b[i]]) and raw == b"".join([self.bytes_a[t] for t in of_a[i]]):
-                right.append(i)
         out: list = [None] * len(chunks)
+        easy = [i for i, c in enumerate(chunks) if _EASY.fullmatch(c)] if self.fast else []
+        hard = sorted(set(range(len(chunks))).difference(easy))
+        for start in range(0, len(easy), JOINED):
+            own = easy[start: start + JOINED]
+            text = "".join([chunks[i] for i in own])
+            a, b, raw = self.fast.encode_ordinary(text), self.b.encode(text[1:]), text.encode()
+            if self._gives_back(raw, a, b):
+                sizes = [len(chunks[i].encode()) for i in own]
+                for i, found in zip(own, self._aligned(np.array(a, np.int64), np.array(b, np.int64), np.cumsum(sizes))):
+                    out[i] = found
+            else:
+                hard += own
+        right, of_a, of_b, sizes = [], [], [], []
+        for i in hard:
+            a, b, raw = self.a.ids(chunks[i]), self.b.encode(chunks[i][1:]), chunks[i].encode()
+            if self._gives_back(raw, a, b):
+                right.append(i)
+                of_a += a
+                of_b += b
+                sizes.append(len(raw))
         if right:
-            for i, found in zip(right, self._aligned([of_a[i] for i in right], [of_b[i] for i in right])):
+            for i, found in zip(right, self._aligned(np.array(of_a, np.int64), np.array(of_b, np.int64), np.cumsum(sizes))):
                 out[i] = found
         return out
 
-    def _aligned(self, of_a, of_b) -> Iterator[tuple]:
+    def _gives_back(self, raw: bytes, a: list[int], b: list[int]) -> bool:
+        return raw == b"".join([self.bytes_b[t] for t in b]) and raw == b"".join([self.bytes_a[t] for t in a])
+
+    def _aligned(self, a: np.ndarray, b: np.ndarray, borders: np.ndarray) -> Iterator[tuple]:
         """All chunks side by side; their borders are byte offsets where both have ends."""
-        count_a, count_b = (np.array([len(x) for x in ids]) for ids in (of_a, of_b))
-        a, b = (np.concatenate([np.array(x, np.int64) for x in ids]) for ids in (of_a, of_b))
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        stop_a, stop_b = np.searchsorted(ends_a, borders) + 1, np.searchsorted(ends_b, borders) + 1
         mark = np.zeros((2, ends_a[-1] + 1), bool)
         mark[0, ends_a] = True
         mark[1, ends_b] = True
@@ -145,27 +174,18 @@ class Aligner:
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         in_a, in_b = np.bincount(group_a), np.bincount(group_b)
         # Decimal ids with the mark that follows each: comma inside a side, bar after the A side, semicolon after a group.
-        side = np.concatenate([group_a * 2, group_b * 2 + 1])
-        order = np.argsort(side, kind="stable")
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
         token = np.concatenate([a, b])[order]
         follows = np.concatenate([np.where(last_a, 2, 1), np.where(last_b, 3, 1)])[order]
-        cut = np.cumsum(count_a + count_b)
+        cut = stop_a + stop_b
         follows[cut - 1] = 0
-        words = np.empty(len(token), object)
-        for mark_, table in enumerate(self.told):
-            at = follows == mark_
-            words[at] = table[token[at]]
-        words = words.tolist()
-        first_group = np.concatenate([[0], group_a[np.cumsum(count_a) - 1] + 1])
-        links = in_a * in_b
-        pairs, times, where = self._pairs(a, b, group_a, in_a, in_b, links)
-        ends = np.searchsorted(where, first_group[1:])  # pairs stand in the order of groups
-        linked = np.add.reduceat(links, first_group[:-1])
+        words = self.told[follows, token].tolist()
+        pairs, times, where = self._pairs(a, b, group_a, in_a, in_b, in_a * in_b)
+        ends = np.searchsorted(where, group_a[stop_a - 1], "right").tolist()  # pairs stand in the order of groups
+        pairs, often = pairs.tobytes(), times.tobytes() if (times > 1).any() else None
         start = low = 0
-        for i, stop in enumerate(cut.tolist()):
-            high = int(ends[i])
-            yield (int(count_a[i]), int(count_b[i]), int(first_group[i + 1] - first_group[i]), int(linked[i]),
-                   "".join(words[start:stop]), pairs[low:high].tobytes(), times[low:high].tobytes())
+        for n_a, stop, high in zip(np.diff(stop_a, prepend=0).tolist(), cut.tolist(), ends):
+            yield n_a, "".join(words[start:stop]), pairs[8 * low: 8 * high], often[4 * low: 4 * high] if often else b""
             start, low = stop, high
 
     def _pairs(self, a, b, group_a, in_a, in_b, links):
@@ -217,7 +237,7 @@ def _spill(paths: tuple[str, str], parts: int, run_records: int):
     def flush(run, docs, pairs, times):
         slots = np.repeat(np.arange(len(docs), dtype=np.uint64), [len(p) // 8 for p in pairs])
         code = np.frombuffer(b"".join(pairs), np.uint64) << np.uint64(SLOT_BITS) | slots
-        count = np.frombuffer(b"".join(times), np.uint32)
+        count = np.concatenate([np.frombuffer(t, np.uint32) if t else np.ones(len(p) // 8, np.uint32) for p, t in zip(pairs, times)])
         ids, doc, n_a, n_b, n_groups, n_links, digest = zip(*docs)
         yield _batch(schema, len(docs), run=[run] * len(docs), slot=ids, doc_id=doc, n_a=n_a, n_b=n_b, n_groups=n_groups,
                      n_links=n_links, groups_sha256=digest)
@@ -255,13 +275,22 @@ def _spill(paths: tuple[str, str], parts: int, run_records: int):
                 if not found or None in found:
                     docs.append((len(docs), doc, 0, 0, 0, 0, ""))
                     pairs.append(b"")
+                    times.append(b"")
                 else:
-                    n_a, n_b, n_groups, n_links, groups, own, often = zip(*found)
-                    told = hashlib.sha256(";".join(groups).encode()).hexdigest()
-                    docs.append((len(docs), doc, sum(n_a), sum(n_b), sum(n_groups), sum(n_links), told))
-                    pairs.append(b"".join(own))
-                    times.append(b"".join(often))
-                    held += len(pairs[-1]) // 8
+                    counts, groups, own, often = zip(*found)
+                    text, n_a = ";".join(groups), sum(counts)
+                    n_groups = text.count(";") + 1
+                    own, links = b"".join(own), 0
+                    if any(often):
+                        often = b"".join([o or _ONE * (len(p) // 8) for o, p in zip(often, (f[2] for f in found))])
+                        links = int(np.frombuffer(often, np.uint32).sum(dtype=np.int64))
+                    else:
+                        often, links = b"", len(own) // 8
+                    docs.append((len(docs), doc, n_a, text.count(",") + text.count("|") + n_groups - n_a, n_groups, links,
+                                 hashlib.sha256(text.encode()).hexdigest()))
+                    pairs.append(own)
+                    times.append(often)
+                    held += len(own) // 8
                 if held >= run_records or len(docs) == 1 << SLOT_BITS:
                     yield from flush(f"{task}-{number}", docs, pairs, times)
                     number, held = number + 1, 0
