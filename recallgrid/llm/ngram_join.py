@@ -47,6 +47,10 @@ OWN, NEXT, OWN_LESS, NEXT_LESS = 0, 1, 2, 3
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _FULL = (1 << 64) - 1
+_BASE = 0x5851F42D4C957F2D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of text over which one running sum goes, unless a single word is longer.
+STRETCH = 1 << 18
 _TAPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -56,26 +60,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@functools.lru_cache(8)
-def _powers(n: int) -> np.ndarray:
+@functools.lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2^64."""
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, _U(0x5851F42D4C957F2D))]), dtype=np.uint64)
+        return tuple(np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, _U(r))]), dtype=np.uint64) for r in (_BASE, _INVERSE))
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words, A-Z in lower case."""
+    """64-bit hashes of the words, A-Z in lower case.
+
+    A word's hash is a polynomial of its bytes: the difference of two running sums, shifted back to the word's own start. The sums
+    begin anew after every ``STRETCH`` bytes or at the next blank.
+    """
     b = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
     blank = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[1], blank.view(np.int8), [1]])))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.empty(0, np.uint64)
-    lengths = ends - starts
-    letters = b[~blank]
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(len(letters)) - np.repeat(first, lengths)
-    size = 1 << max(6, int(lengths.max()).bit_length())
-    return mix(np.add.reduceat((letters.astype(np.uint64) + _U(1)) * _powers(size)[place], first) + lengths.astype(np.uint64) * _A)
+    out = np.empty(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        first = int(starts[done])
+        stop = max(done + 1, int(np.searchsorted(ends, first + STRETCH, "right")))
+        low, high = starts[done:stop] - first, ends[done:stop] - first
+        size = int(high[-1])
+        powers, inverse = _powers(1 << max(12, (size - 1).bit_length()))
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((b[first: first + size].astype(np.uint64) + _U(1)) * powers[:size], out=sums[1:])
+        out[done:stop] = (sums[high] - sums[low]) * inverse[low]
+        done = stop
+    return mix(out + (ends - starts).astype(np.uint64) * _A)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -88,8 +104,10 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
         return mix((w * _TAPS[:n]).sum(dtype=np.uint64, keepdims=True) + _U(n * int(_C) & _FULL))
     total = w[: n - words + 1] * _TAPS[0]
     for i in range(1, words):
-        total = total + w[i: n - words + 1 + i] * _TAPS[i]
-    return np.unique(mix(total))
+        total += w[i: n - words + 1 + i] * _TAPS[i]
+    total = mix(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 @functools.lru_cache(1)
@@ -105,9 +123,9 @@ def most_apart(n: int) -> int:
     return 2 * n * (DEN - NUM) // (DEN + NUM)
 
 
-def segment_subsets(tokens: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int]:
+def segment_subsets(tokens: np.ndarray, spread: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Signatures of the non-empty segments of a set in a band, of these less one n-gram (small bands only),
-    and the number of segments of two n-grams or more.
+    and the number of segments of two n-grams or more. ``spread``: the tokens' hashes that a segment adds up.
 
     The two low bits are free for the kind; in small bands the bits above them hold the segment (8) and whether the subset has
     two n-grams or more (1).
@@ -117,7 +135,6 @@ def segment_subsets(tokens: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarr
     m = _U(max(2, int(top * (SMALL_SEGMENTS if small else SEGMENTS))))
     segment = ((tokens >> _U(32)) * m) >> _U(32)  # grows with the token, so segments are runs
     first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-    spread = mix(tokens ^ _C)
     sums = np.add.reduceat(spread, first)
     number = segment[first]
     salt = mix(number * _A + _U(band * int(_B) & _FULL))
@@ -137,9 +154,9 @@ def segment_subsets(tokens: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarr
 def set_signatures(tokens: np.ndarray) -> tuple[np.ndarray, int, int]:
     """All signatures of a set with their kind in the low bits; its own non-empty segments; those of two n-grams or more."""
     band = int(np.searchsorted(band_tops(), len(tokens)))
-    out, own, many = [], 0, 0
+    out, own, many, spread = [], 0, 0, mix(tokens ^ _C)
     for at, kinds in ((band, (OWN, OWN_LESS)), (band + 1, (NEXT, NEXT_LESS))):
-        whole, less, several = segment_subsets(tokens, at)
+        whole, less, several = segment_subsets(tokens, spread, at)
         if at == band:
             own, many = len(whole), several
         out += [whole | _U(kinds[0]), less | _U(kinds[1])]
