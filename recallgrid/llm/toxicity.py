@@ -27,7 +27,7 @@ MISSPELT_FROM = 5
 #: Words on each side that make up a hit's context.
 WINDOW = 6
 #: What a hit keeps of its weight when misspelt, quoted, or both.
-MISSPELT, QUOTED = 0.9, 0.35
+MISSPELT, QUOTED = 0.9, 0.3
 
 
 def build_trie(terms: dict[str, float]) -> dict:
@@ -123,7 +123,10 @@ def _quoted(text: str, start: int, end: int) -> bool:
 
 
 def score_text(text: str | None, lexicon: Lexicon) -> float:
-    """1 - the chance that no hit is abuse, in the context window where that is least; without hits, well below the prior."""
+    """1 - the chance that no hit is abuse, in the context window where that is least; without hits, well below the prior.
+
+    Quoted or reported hits close together are one quotation and count once, so that quoting alone stays below 0.3.
+    """
     floor = min(lexicon.prior, 0.25) / 2
     if not text:
         return floor
@@ -133,7 +136,7 @@ def score_text(text: str | None, lexicon: Lexicon) -> float:
     if not hits:
         return floor
     words = [(m.start(), m.end(), m[0]) for m in TERM.finditer(lower)]
-    marked = []
+    marked, told = [], -8 * WINDOW
     for i, (start, end, word) in enumerate(words):
         if word not in hits:
             continue
@@ -141,6 +144,10 @@ def score_text(text: str | None, lexicon: Lexicon) -> float:
         near = {w for _, _, w in words[max(0, i - WINDOW): i + WINDOW + 1]}
         if _quoted(lower, start, end) or not near.isdisjoint(REPORTING):
             weight *= QUOTED
+            if i - told <= 4 * WINDOW:
+                told = i
+                continue
+            told = i
         elif not near.isdisjoint(ADDRESS):
             weight = 1 - (1 - weight) * 0.7
         marked.append((i, weight))
@@ -155,15 +162,15 @@ def score_text(text: str | None, lexicon: Lexicon) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = 4000, least_share: float = 0.9,
-          least_ratio: float = 22.0, most_terms: int = 5000) -> Lexicon:
+          least_ratio: float = 22.0) -> Lexicon:
     """Terms of at least 4 letters that mark toxic documents, from at most ``most`` toxic and three times as many other labelled documents.
 
     A document uses a word once, with the first in order of the words before it; equal uses count once, so that neither repeats in a
-    text nor copies of it vote again. A term is kept if, classes weighing
-    the same, toxic documents hold at least ``least_share`` of its uses, and its log-likelihood ratio against an equal spread is
-    ``least_ratio`` or more, so that chance picks nothing. Words of other documents one edit away from a term are kept as harmless, and the more a term has
+    text nor copies of it vote again. A term is kept if toxic documents hold at least ``least_share`` of its uses in the
+    sample, and its log-likelihood ratio against an equal spread is ``least_ratio`` or more, so that chance picks nothing. Words of other documents one edit away from a term are kept as harmless, and the more a term has
     of them, the less its misspellings count.
-    Counting runs on the executors; at most ``most_terms`` terms and as many harmless words reach the driver.
+    Counting runs on the executors; only terms and harmless words reach the driver, all of them. They are words of the sample, so their number
+    does not grow with the corpus.
     """
     chosen = sample_rows(labels, column, most, 3 * most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -191,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
                  + F.when(F.col("g") > 0, F.col("g") * F.log(F.col("g") / both / max(1 - expected, 1e-9))).otherwise(0.0))
     top = (counts.filter("b > 0").withColumn("share", share).withColumn("ratio", ratio)
            .filter((F.col("share") >= least_share) & (F.col("ratio") >= least_ratio))
-           .orderBy(F.desc("ratio"), "word").limit(most_terms).collect())
+           .orderBy(F.desc("ratio"), "word").collect())
     terms = {r.word: float(r.share) for r in top}
 
     def alike(found, uses) -> Iterator[tuple]:
@@ -203,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
 
     near = write_out(arrow_pass(counts.filter("g > 0"), ["word", "g"], "word string, term string, g long", alike), "lexicon-alike")
     blurred = near.groupBy("term").agg(F.sum("g").alias("g")).collect()  # no more rows than terms
-    harmless = near.select("word").distinct().orderBy("word").limit(most_terms).collect()
+    harmless = near.select("word").distinct().collect()
     return Lexicon(terms, prior, frozenset(r.word for r in harmless), tuple(sorted((r.term, r.g) for r in blurred)))
 
 
