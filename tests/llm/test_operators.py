@@ -7,6 +7,7 @@ import zlib
 
 import brute
 import duckdb
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -296,3 +297,54 @@ def test_best_fit_decreasing():
     assert sharding.best_fit_decreasing(items, 10, 2) is None
     placed = sharding.smallest_capacity(items, 3)
     assert max(sum(s for s, k in items if placed[k] == n) for n in range(3)) == 9
+
+
+def test_chat_work_grows_with_the_turns(spark):
+    """50 000 turns in one conversation; twice the turns take at most some 2.3 times as long."""
+    import hashlib
+    import time
+
+    from pyspark.sql import functions as F
+
+    def run(n):
+        turn = F.col("id").cast("string")
+        log = spark.range(n).select(
+            F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.lit(None).cast("string").alias("message_id"),
+            F.lit("message").alias("kind"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+            F.concat(F.lit("## </turn>\\ "), F.repeat(F.lit("xy "), 60), turn).alias("text"))
+        start = time.perf_counter()
+        done = chat.format_chats(log)
+        r = done.withColumn("turns", chat.parse(F.col("formatted"))).select(
+            F.size("turns").alias("n"), F.sha2(chat.masked_text(F.col("formatted"), F.col("loss_spans")).cast("binary"), 256).alias("loss"),
+            F.get("turns", F.lit(n - 1)).alias("last")).first()
+        took = time.perf_counter() - start
+        want = "".join("## </turn>\\ " + "xy " * 60 + str(i) for i in range(1, n, 2))
+        assert (r.n, r.loss, r.last.text) == (n, hashlib.sha256(want.encode()).hexdigest(), "## </turn>\\ " + "xy " * 60 + str(n - 1))
+        return took
+
+    run(25_000)
+    assert run(50_000) < 2.3 * max(run(25_000), 0.5) + 1
+
+
+def test_loss_spans_are_offsets_into_the_text(spark):
+    log = [(1, i, None, "message", "assistant" if i % 3 else "user", f"😀 turn {i} \\ ## </turn>", 0) for i in range(30)]
+    r = chat.format_chats(events(spark, log)).first()
+    cut = [r.formatted[s.start: s.start + s.length] for s in r.loss_spans]
+    assert [c.replace("\\\\", "\0").replace("\\", "").replace("\0", "\\") for c in cut] == [t for _, _, _, _, role, t, _ in log if role == "assistant"]
+
+
+def test_quotation_alone_is_not_abuse():
+    lexicon = toxicity.Lexicon({"hateword": 0.99, "otherword": 0.95}, 0.1)
+    for text in ('a "hateword" here', "they wrote hateword once", 'she said "hateword otherword hateword" and left'):
+        assert toxicity.score_text(text, lexicon) < 0.3, text
+    for text in ("you hateword", "this hateword again", 'he said "fine" and then went on for a very long while before the hateword'):
+        assert toxicity.score_text(text, lexicon) >= 0.3, text
+
+
+@pytest.mark.parametrize("run", [
+    lambda d: bpe.digest_documents(d, tokenizer("byte_bpe_50k.json")), pii.personal_data,
+    lambda d: quality.score(d, quality.Model(np.zeros(quality.BUCKETS), 0.0)),
+    lambda d: toxicity.score(d, toxicity.Lexicon({"hateword": 0.9}, 0.1)), rules.keep_good, pii.mask],
+    ids=["bpe", "pii", "quality", "toxicity", "rules", "mask"])
+def test_no_rows_give_no_rows(spark, run):
+    assert rows(run(spark.createDataFrame([], NO_ROWS))) == []
