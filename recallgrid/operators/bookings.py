@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recallgrid.functions.ids import uuid5
 from recallgrid.functions.text import iso_timestamp
-from recallgrid.operators.ranking import last_per_key
+from recallgrid.operators.ranking import last_per_key, salted_join
 from recallgrid.schema import NAMESPACE_URL, SNAPSHOT
 
 COLUMNS = ("booking_id", "flight_id", "passenger_name", "status", "idempotency_key", "flight_snapshot_json",
@@ -92,8 +92,9 @@ def create(requests: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def create_checked(requests: DataFrame, catalogue: DataFrame, stored: DataFrame, key: str = "flight_id"):
-    """Create only for ids in the catalogue; returns answers (errors included) and rows to append."""
-    marked = requests.join(catalogue.select(key).withColumn("_known", F.lit(True)), key, "left")
+    """Create only for ids in the catalogue; returns answers (errors included) and rows to append. A hot id is spread over tasks."""
+    asked = catalogue.select(key).join(requests.select(key).distinct(), key, "left_semi").distinct()
+    marked = salted_join(requests, asked.select(F.col(key).alias("_asked"), F.lit(True).alias("_known")), key, "_asked")
     answers, appended = create(marked.filter("_known").drop("_known"), stored)
     errors = marked.filter(F.col("_known").isNull()).select("request_id", F.lit("FLIGHT_NOT_FOUND").alias("error"))
     return answers.unionByName(errors, allowMissingColumns=True), appended

@@ -43,3 +43,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *position: str) -> DataFra
 def head_rows(df: DataFrame, limit: int | None, *position: str) -> DataFrame:
     """Row cap by input position; 0 or None keeps everything."""
     return df.orderBy(*position).limit(limit) if limit else df
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, right_key: str, salts: int = 16, how: str = "left") -> DataFrame:
+    """Join to a table of one row a key, the rows of a hot key spread over ``salts`` tasks; nulls equal nulls. Drops ``right_key``.
+
+    Keys are compared by a hash and then as they are, so that a long text is no join key. Each row of ``right`` is sent ``salts``
+    times: cut it to the keys asked for first.
+    """
+    spread = [c for c, t in left.dtypes if not t.startswith(("map", "variant")) and "variant" not in t]
+    salted = left.withColumn("_hash", F.xxhash64(key)).withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_rhash", F.xxhash64(right_key)).withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = (F.col("_hash") == F.col("_rhash")) & (F.col("_salt") == F.col("_rsalt")) & F.col(key).eqNullSafe(F.col(right_key))
+    return salted.join(copies, on, how).drop("_hash", "_salt", "_rhash", "_rsalt", right_key)

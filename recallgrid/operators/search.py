@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from recallgrid.functions import vectors
 from recallgrid.operators.filters import FLIGHT_TERMS, Term, batch_mask, common_bounds, has_filter
-from recallgrid.operators.ranking import top_k
+from recallgrid.operators.ranking import salted_join, top_k
 from recallgrid.schema import HIT_FIELDS, RERANK_FETCH, RERANK_RETURN, SCORE_THRESHOLD
 from recallgrid.session import write_out
 
@@ -310,11 +310,16 @@ def candidate_sets(hits: DataFrame, id_col: str, doc: str, qid: str = "query_id"
 
 
 def by_id(requests: DataFrame, records: DataFrame, key: str = "flight_id") -> DataFrame:
-    """Point lookups: every request row, record columns null and ``error`` set where the id is empty or unknown."""
-    found = requests.join(records.withColumn("_found", F.lit(True)), key, "left")
-    error = F.when(F.coalesce(F.col(key), F.lit("")) == "", "MISSING_FLIGHT_ID").when(
-        F.col("_found").isNull(), "FLIGHT_NOT_FOUND")
-    return found.withColumn("error", error).drop("_found")
+    """Point lookups: every request row, record columns null and ``error`` set where the id is empty or unknown.
+
+    Empty ids take no part in the join, and a hot id is spread over tasks.
+    """
+    empty = F.coalesce(F.col(key), F.lit("")) == ""
+    asked = requests.filter(~empty)
+    known = records.join(asked.select(key).distinct(), key, "left_semi").withColumn("_found", F.lit(True)).withColumnRenamed(key, "_key")
+    found = salted_join(asked, known, key, "_key", 8)
+    told = found.withColumn("error", F.when(F.col("_found").isNull(), "FLIGHT_NOT_FOUND")).drop("_found")
+    return told.unionByName(requests.filter(empty).withColumn("error", F.lit("MISSING_FLIGHT_ID")), allowMissingColumns=True)
 
 
 def generate_once(
@@ -323,7 +328,8 @@ def generate_once(
 ) -> DataFrame:
     """Adds ``generated``: ``make(query)`` evaluated once per distinct text (null or empty falls back to the text).
 
-    ``memo`` holds ``(query, generated, ts)`` of earlier runs; entries at most ``ttl_seconds`` old are reused.
+    ``memo`` holds ``(query, generated, ts)`` of earlier runs; entries at most ``ttl_seconds`` old are reused. Texts meet by their hash, and
+    the requests of a hot text are spread over tasks.
     """
     texts = requests.select(query).distinct()
     if memo is None:
@@ -335,7 +341,7 @@ def generate_once(
         made = known.join(texts, query, "left_semi").unionByName(missing)
     made = made.withColumn("generated", F.coalesce(F.nullif("generated", F.lit("")), F.col(query)))
     made = made.withColumnRenamed(query, "_asked")
-    return requests.join(made, F.col(query).eqNullSafe(F.col("_asked"))).select(*requests.columns, "generated")
+    return salted_join(requests, made, query, "_asked", how="inner").select(*requests.columns, "generated")
 
 
 def sample_centroids(samples: DataFrame, embed: Callable[[Column], Column], text: str, qid: str = "query_id") -> DataFrame:

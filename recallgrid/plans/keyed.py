@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions.ids import booking_key
 from recallgrid.operators import bookings as bk, requests as rq
-from recallgrid.plans.registry import query, table, uuid5_sql
+from recallgrid.operators.hooks import hash_embedding
+from recallgrid.operators.ingest import flight_document
+from recallgrid.plans.registry import FLIGHTS_SQL, flights, query, table, uuid5_sql
 from recallgrid.schema import BOOKING, NAMESPACE_DNS, NAMESPACE_URL
 from recallgrid.session import shared_path
 from recallgrid.sources import tables
@@ -239,7 +241,7 @@ def _calls(spark, d):
     even = k % 2 == 0
     wrapped = F.concat(F.when(even, "call: ").otherwise(""), body, F.when(even, " done").otherwise(""))
     raw = F.when(k == 3, "[1, 2]").when(k == 4, "").when(k == 5, "nothing to parse").when(k == 6, "{}").otherwise(wrapped)
-    return a.select("request_id", tool.alias("tool"), raw.alias("args_text"))
+    return a.select("request_id", tool.alias("tool"), raw.alias("args_text"), "requested_at")
 
 
 @query("request_router", f"""
@@ -255,6 +257,65 @@ def request_router(spark, d):
     return rq.route(_calls(spark, d), known, stored(spark, d))
 
 
+def _answers_sql():
+    from recallgrid.plans.loading import flight_docs_sql
+    from recallgrid.plans.retrieval import HASH_SQL
+
+    key = uuid5_sql(NAMESPACE_DNS, "concat(fid, '|', lower(trim(pn)))")
+    return f"""
+WITH {FLIGHTS_SQL}, {flight_docs_sql()}, {_ROUTE_SQL},
+asks AS (SELECT DISTINCT q AS query, mm, lim, concat_ws('|', q, mm, lim) AS ask FROM g WHERE problem IS NULL AND tool = 'search_flights'),
+qt AS (SELECT DISTINCT query FROM asks),
+qe AS ({HASH_SQL.format(id='query', text='query', t='qt')}),
+de AS ({HASH_SQL.format(id='event_id', text='doc', t='docs')}),
+scored AS (SELECT asks.*, CAST(fl.event_id AS VARCHAR) AS flight_id, fl.month, round(list_cosine_similarity(de.vec, qe.vec), 6) AS score
+  FROM asks JOIN qe ON qe.id = asks.query CROSS JOIN flights fl JOIN de ON de.id = fl.event_id),
+pp AS (SELECT * FROM scored WHERE score >= 0.3 AND NOT isnan(score)),
+met AS (SELECT *, false AS dropped FROM pp WHERE month >= mm),
+both_ AS (SELECT * FROM met UNION ALL SELECT *, true FROM pp WHERE ask NOT IN (SELECT ask FROM met)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY score DESC, flight_id) AS rn FROM both_),
+hits AS (SELECT ask, count(*) AS n, arg_min(flight_id, rn) AS first_hit, bool_or(dropped) AS dropped FROM ranked
+  WHERE rn <= least(lim, 20) GROUP BY ask),
+cr AS (SELECT g.request_id, {key} AS idempotency_key, g.pn, o.ts, fl.carrier FROM g JOIN asked o USING (request_id)
+  JOIN flights fl ON CAST(fl.event_id AS VARCHAR) = g.fid WHERE g.problem IS NULL AND g.tool = 'create_booking'),
+cw AS (SELECT idempotency_key, arg_min(request_id, (ts, request_id)) AS winner, arg_min(pn, (ts, request_id)) AS pn FROM cr GROUP BY idempotency_key),
+made AS (SELECT cr.request_id, cr.carrier, coalesce(s.booking_id, {_ID_SQL('cw.winner')}) AS booking_id,
+    coalesce(s.passenger_name, cw.pn) AS passenger_name, coalesce(s.status, 'CONFIRMED') AS status
+  FROM cr JOIN cw USING (idempotency_key) LEFT JOIN stored s USING (idempotency_key)),
+e AS (SELECT g.*, d.carrier AS d_carrier, m.booking_id AS m_id, m.passenger_name AS m_name, m.status AS m_status, m.carrier AS m_carrier,
+    s.booking_id AS s_id, CASE WHEN problem IS NOT NULL THEN problem
+      WHEN tool = 'get_flight_details' AND (fid IS NULL OR fid = '0') THEN 'MISSING_FLIGHT_ID'
+      WHEN tool = 'get_flight_details' AND d.event_id IS NULL THEN 'FLIGHT_NOT_FOUND'
+      WHEN tool = 'create_booking' AND m.request_id IS NULL THEN 'FLIGHT_NOT_FOUND'
+      WHEN tool = 'cancel_booking' AND s.booking_id IS NULL THEN 'BOOKING_NOT_FOUND' END AS error
+  FROM g LEFT JOIN flights d ON CAST(d.event_id AS VARCHAR) = g.fid AND g.tool = 'get_flight_details'
+  LEFT JOIN made m ON m.request_id = g.request_id LEFT JOIN stored s ON s.booking_id = g.bid AND g.tool = 'cancel_booking')
+SELECT request_id, tool, CASE WHEN problem IS NOT NULL OR (tool = 'create_booking' AND error IS NOT NULL) THEN 'error'
+    WHEN tool = 'search_flights' THEN 'search_results' WHEN tool = 'get_flight_details' THEN 'flight_details'
+    WHEN tool = 'create_booking' THEN 'booking_confirmation' ELSE 'cancel_result' END AS type, error,
+  CASE WHEN problem IS NULL AND tool = 'search_flights' THEN coalesce(h2.n, 0) END AS n_results, h2.first_hit,
+  CASE WHEN problem IS NULL AND tool = 'search_flights' THEN coalesce(h2.dropped, true) END AS filters_dropped,
+  CASE WHEN problem IS NULL THEN coalesce(m_id, s_id, CASE WHEN error = 'BOOKING_NOT_FOUND' THEN bid END) END AS booking_id,
+  m_name AS passenger_name, CASE WHEN problem IS NULL AND s_id IS NOT NULL THEN 'CANCELLED' ELSE m_status END AS status,
+  CASE WHEN error IS NULL THEN coalesce(d_carrier, m_carrier) END AS carrier
+FROM e LEFT JOIN hits h2 ON problem IS NULL AND tool = 'search_flights' AND h2.ask = concat_ws('|', q, mm, lim)"""
+
+
+@query("request_answers", _answers_sql())
+def request_answers(spark, d):
+    """Every request carried out; what its answer says, read back out of the JSON."""
+    index = flight_document(flights(table(spark, d, "events"))).withColumn("flight_id", F.col("event_id").cast("string"))
+    index = index.withColumn("embedding", hash_embedding()(F.col("doc")))
+    answers, _ = rq.answer_requests(_calls(spark, d), index, stored(spark, d), embed=hash_embedding())
+    get = lambda *paths: F.coalesce(*[F.get_json_object("data", p) for p in paths])
+    return answers.select(
+        "request_id", "tool", "type", "error", F.json_array_length(get("$.results")).cast("long").alias("n_results"),
+        get("$.results[0].flight_id").alias("first_hit"), get("$.filters_dropped").cast("boolean").alias("filters_dropped"),
+        get("$.booking.booking_id", "$.result.booking_id", "$.booking_id").alias("booking_id"),
+        get("$.booking.passenger_name").alias("passenger_name"), get("$.booking.status", "$.result.status").alias("status"),
+        get("$.flight.carrier", "$.booking.flight_snapshot.carrier").alias("carrier"))
+
+
 @query("request_problems", f"""
 WITH {_ROUTE_SQL} SELECT coalesce(problem, 'OK') AS problem, tool, count(*) AS n FROM g GROUP BY ALL""")
 def request_problems(spark, d):

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from recallgrid.operators import bookings as bk, requests as rq
-from recallgrid.schema import BOOKING
+from recallgrid.schema import BOOKING, HIT_FIELDS
 from recallgrid.sources import tables
 
 T0 = datetime(2024, 1, 1)
@@ -169,3 +169,65 @@ def test_router(spark):
         if i not in (10, 11):
             assert got[i][2] == target, i
     assert len(got[10][2]) == 36
+
+
+def test_answers_of_every_tool(spark):
+    """One request for each way a tool can answer; the data is what the service would return."""
+    import json
+
+    flight = dict(year=2013, month=6, day=15, origin="ATL", dest="JFK", carrier="DL", flight=100, sched_dep_time=800, sched_arr_time=1030,
+                  dep_time=None, arr_time=1045, distance=760, air_time=115, tailnum="N1")
+    kinds = {k: "string" if isinstance(v, str) else "int" for k, v in flight.items()}
+    schema = ", ".join(["flight_id string", *(f"{k} {t}" for k, t in kinds.items()), "doc string", "embedding array<double>"])
+    records = spark.createDataFrame([("f1", *flight.values(), "a", [1.0, 0.0]), ("f2", *{**flight, "origin": "LGA"}.values(), "b", [0.8, 0.6])], schema)
+    _, old = bk.create(ask(spark, (90, "Old", "k")), empty(spark))
+    old_id = old.first().booking_id
+    calls = [
+        (1, "search_flights", '{"query": "x", "origin": "LGA"}'), (2, "search_flights", '{"query": "x", "origin": "ZZZ", "limit": 1}'),
+        (3, "search_flights", '{"query": "none"}'), (4, "get_flight_details", '{"flight_id": "f2"}'), (5, "get_flight_details", '{"flight_id": "zz"}'),
+        (6, "get_flight_details", ""), (7, "create_booking", '{"flight_id": "f1", "passenger_name": "Al"}'),
+        (8, "create_booking", '{"flight_id": "f1", "passenger_name": " AL "}'), (9, "create_booking", '{"flight_id": "zz", "passenger_name": "A"}'),
+        (10, "cancel_booking", json.dumps({"booking_id": old_id})), (11, "cancel_booking", '{"booking_id": "no"}'),
+        (12, "get_booking", json.dumps({"booking_id": old_id})), (13, "get_booking", '{"booking_id": "no"}'), (14, "fly", '{"a": 1}'),
+        (15, "get_booking", "no json")]
+    df = spark.createDataFrame([(*c, T0 + timedelta(minutes=c[0])) for c in calls], "request_id int, tool string, args_text string, requested_at timestamp_ntz")
+    embed = lambda q: F.when(q == "none", F.array(F.lit(-1.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))
+    answers, appended = rq.answer_requests(df, records, old, embed=embed)
+    got = {r.request_id: (r.type, r.error, json.loads(r.data)) for r in answers.collect()}
+    assert len(got) == 15
+    assert [h["flight_id"] for h in got[1][2]["results"]] == ["f2"] and got[1][2]["filters_dropped"] is False
+    assert [h["flight_id"] for h in got[2][2]["results"]] == ["f1"] and got[2][2]["filters_dropped"] is True
+    assert set(got[1][2]["results"][0]) == {"flight_id", "score", *HIT_FIELDS} and got[1][2]["results"][0]["dep_time"] is None
+    assert got[3] == ("search_results", None, {"results": [], "filters_dropped": False})
+    assert got[4] == ("flight_details", None, {"flight": {"flight_id": "f2", **flight, "origin": "LGA"}})
+    assert got[5] == ("flight_details", "FLIGHT_NOT_FOUND", {"error": "FLIGHT_NOT_FOUND", "flight_id": "zz"})
+    assert got[6] == ("flight_details", "MISSING_FLIGHT_ID", {"error": "MISSING_FLIGHT_ID"})
+    first, second = got[7][2]["booking"], got[8][2]["booking"]
+    assert first == second and got[7][0] == "booking_confirmation" and first["passenger_name"] == "Al" and first["status"] == "CONFIRMED"
+    assert first["flight_snapshot"]["origin"] == "ATL" and first["flight_snapshot"]["dep_time"] is None
+    assert got[9] == ("error", "FLIGHT_NOT_FOUND", {"error": "FLIGHT_NOT_FOUND", "flight_id": "zz", "message": rq.UNKNOWN_FLIGHT})
+    assert got[10][2]["result"] == {"booking_id": old_id, "status": "CANCELLED", "updated_at": "2024-01-01T00:10:00+00:00"}
+    assert got[11] == ("cancel_result", "BOOKING_NOT_FOUND", {"error": "BOOKING_NOT_FOUND", "booking_id": "no"})
+    assert got[12][2]["booking"]["status"] == "CONFIRMED" and got[12][2]["booking"]["flight_snapshot"]["carrier"] == "DL"
+    assert got[13] == ("booking", "BOOKING_NOT_FOUND", {"error": "BOOKING_NOT_FOUND", "booking_id": "no"})
+    assert got[14] == ("error", "UNKNOWN_TOOL", {"error": "UNKNOWN_TOOL", "tool_name": "fly"})
+    assert got[15] == ("error", "MALFORMED_ARGS", {"error": "MALFORMED_ARGS", "tool": "get_booking"})
+    assert sorted(r.status for r in appended.collect()) == ["CANCELLED", "CONFIRMED"]
+
+
+def test_hot_keys_are_spread(spark):
+    from recallgrid.operators.ranking import salted_join
+
+    left = spark.range(6000).select("id", F.when(F.col("id") % 3 != 1, "hot").when(F.col("id") % 9 == 1, None).otherwise(F.col("id").cast("string")).alias("k"))
+    right = spark.createDataFrame([("hot", 1), (None, 2), ("4", 3), ("other", 4)], "rk string, v int")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = salted_join(left, right, "k", "rk", 8)
+        got = {r.id: r.v for r in joined.collect()}
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert got == {i: 1 if i % 3 != 1 else 2 if i % 9 == 1 else 3 if i == 4 else None for i in range(6000)}
+    assert salted_join(left, right, "k", "rk", how="inner").count() == 4000 + 667 + 1
+    assert max(sizes) <= 6000
