@@ -1,9 +1,11 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 Each dimension of a block of candidates is a list sorted by value. A query reads a list from its top where its own component is
-positive, from its bottom where it is negative. After reading to a depth, a component not yet seen is at most as good as the
-last one read, which bounds every score from above; where lists were read, the component itself counts. A candidate whose upper
-bound cannot reach the query's k-th best score so far is out; reading stops once few are left, and these get their final scores.
+positive, from its bottom where it is negative. Lists are read on in steps that double. A component that was read counts as it is;
+one not yet read is at most as good as the last one read in its list, and at least as good as the list's far end. That bounds every score
+from above and below. The k-th best lower bound, or the k-th best score of earlier blocks, is what a candidate must still be able to
+reach; candidates that cannot are out. A query stops reading when no more than k candidates are left or its lists end; what is left gets its
+final scores.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallgrid.llm.common import write_out
 
 
 def _number_type(most: float, dim: int):
@@ -26,51 +29,57 @@ def _best(scores, ids, k):
     return np.lexsort((ids, -scores))[:k]
 
 
-def nra_block(queries, query_ids, best_scores, best_ids, block, ids, k, depths=(0.25, 0.5), few=0.05):
-    """Merge one block of candidates into every query's running best k (none yet: empty arrays).
+def nra_block(queries, query_ids, best_scores, best_ids, block, ids, k, first=1 / 32, most=1 / 2):
+    """Merge one block of candidates into every query's running best k (none yet: empty arrays); the share of list entries read.
 
-    ``block``: candidates x dim, all integers; ``best_scores``/``best_ids``: one growing list for each query.
+    ``block``: candidates x dim, all integers; ``best_scores``/``best_ids``: one growing list for each query. Lists are read to the share
+    ``first``, twice that, and so on, up to ``most``, for the queries that have not stopped; the final scores of candidates still open
+    then are resolved from their vectors.
     """
     n = len(block)
+    if not n or not len(queries):
+        return 0.0
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    lists = np.sort(block, axis=0) if n else block
-    open_pairs = np.ones((len(queries), n), bool)
-    least = np.array([s[k - 1] if len(s) >= k else -np.inf for s in best_scores])
-    if np.isfinite(least).any():
-        for depth in depths:
-            read = max(1, int(n * depth))
-            top, bottom = lists[n - read], lists[read - 1]
-            upper = up @ np.maximum(block, top).T + down @ np.minimum(block, bottom).T
-            open_pairs &= upper >= least[:, None]
-            if open_pairs.mean() <= few:
-                break
-    share = open_pairs.mean() if n else 0.0
-    exact = queries @ block.T if share > few else None
+    lists = np.sort(block, axis=0)
+    open_pairs = np.asarray(query_ids)[:, None] != np.asarray(ids)[None, :]
+    least = np.array([s[k - 1] if len(s) >= k else -np.inf for s in best_scores], object if block.dtype == object else float)
+    read_by = np.zeros(len(queries), np.int64)
+    going = np.arange(len(queries))
+    depth = max(1, int(n * first))
+    while len(going) and depth <= max(1, int(n * most)):
+        top, bottom = lists[n - depth], lists[depth - 1]
+        high, low = block >= top, block <= bottom  # components read from the top, and from the bottom
+        read_by[going] = depth
+        upper = up[going] @ np.where(high, block, top).T + down[going] @ np.where(low, block, bottom).T
+        lower = up[going] @ np.where(high, block, lists[0]).T + down[going] @ np.where(low, block, lists[-1]).T
+        lower = np.where(open_pairs[going], lower, -np.inf)
+        if n >= k:
+            least[going] = np.maximum(least[going], np.partition(lower, n - k, axis=1)[:, n - k])
+        open_pairs[going] &= upper >= least[going, None]
+        going = going[open_pairs[going].sum(axis=1) > k]
+        depth *= 2
+    left = np.flatnonzero(open_pairs.any(axis=0))
+    exact = queries @ block[left].T
     for q in range(len(queries)):
-        left = np.flatnonzero(open_pairs[q])
-        left = left[ids[left] != query_ids[q]]
-        if not len(left):
+        own = np.flatnonzero(open_pairs[q, left] & (exact[q] >= least[q]))
+        if not len(own):
             continue
-        scores = exact[q, left] if exact is not None else block[left] @ queries[q]
-        if len(best_scores[q]) >= k:
-            keep = scores >= best_scores[q][k - 1]
-            left, scores = left[keep], scores[keep]
-            if not len(left):
-                continue
-        elif len(scores) > 4 * k:
-            cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-            keep = scores >= cut
-            left, scores = left[keep], scores[keep]
-        s, i = np.concatenate([best_scores[q], scores]), np.concatenate([best_ids[q], ids[left]])
+        scores, found = exact[q, own], ids[left[own]]
+        if len(scores) > 4 * k:
+            keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            scores, found = scores[keep], found[keep]
+        s, i = np.concatenate([best_scores[q], scores]), np.concatenate([best_ids[q], found])
         order = _best(s, i, k)
         best_scores[q], best_ids[q] = s[order], i[order]
+    return float(read_by.mean()) / n
 
 
 def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: int = 4096) -> DataFrame:
     """The ``k`` highest integer inner products of each query (columns id, v: array<long>) over all candidates but itself.
 
-    Queries are numbered and taken in blocks of ``query_block``, the only thing broadcast; candidates are scanned once for each
-    block and never shuffled. A task hands on at most k rows for each query, and these are cut again before the last shuffle.
+    Queries are dealt by hash into blocks of about half of ``query_block``, the only thing sent to tasks; candidates are scanned once for
+    each block and never shuffled. The rows of each of several blocks are written out before the next is taken, so that neither
+    the driver nor a task ever holds more than one block. A task hands on at most k rows for each query, and these are cut again before the last shuffle.
     Vectors must be of one length: others, null vectors and null components must be dropped before. Fewer than k candidates
     give fewer rows; ties go to the smaller id; a repeated candidate row counts once for each row.
 
@@ -84,10 +93,12 @@ def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int = 20, q
     for number in range(blocks):
         block = numbered.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect() if total else []
         found = candidates.select("id", "v").mapInArrow(_scan(block, k), "query_id long, vec_id long, score long")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:
+            found = write_out(found, "top-block")
         parts = found if parts is None else parts.unionByName(found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    return parts
 
 
 def _scan(rows, k):
