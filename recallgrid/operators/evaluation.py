@@ -170,30 +170,35 @@ def rerank_models(
     """Rerank the same candidate sets with several models and time each call.
 
     ``models`` maps a name to a ``load`` function returning ``score(query, [doc]) -> [float]``. Each row holds one query
-    and its bounded candidate set, and is repeated once per model. Output: query, model, rank, id, elapsed_ms; a query
-    without candidates gives one row of nulls with 0 ms.
+    and its bounded candidate set, and is repeated once per model. Output: query, model, rank, id, elapsed_ms, load_ms (the time that the
+    task took to load the model); a query without candidates gives one row of nulls with 0 ms.
     """
     import time
 
     import pandas as pd
 
-    schema = f"{qid} {sets.schema[qid].dataType.simpleString()}, model string, rank int, id {id_type}, elapsed_ms double"
+    schema = f"{qid} {sets.schema[qid].dataType.simpleString()}, model string, rank int, id {id_type}, elapsed_ms double, load_ms double"
 
     def run(frames):
         loaded: dict = {}
+        load_ms: dict = {}
         for pdf in frames:
             out = []
             for key, text, cands, name in zip(pdf[qid], pdf[query], pdf["candidates"], pdf["model"]):
                 if cands is None or not len(cands):
-                    out.append((key, name, None, None, 0.0))
+                    out.append((key, name, None, None, 0.0, load_ms.get(name)))
                     continue
-                score = loaded.get(name) or loaded.setdefault(name, models[name]())
+                if name not in loaded:
+                    began = time.perf_counter()
+                    loaded[name] = models[name]()
+                    load_ms[name] = (time.perf_counter() - began) * 1000
+                score = loaded[name]
                 began = time.perf_counter()
                 got = score(text, [c["doc"] for c in cands])
                 spent = (time.perf_counter() - began) * 1000
                 order = sorted(range(len(cands)), key=lambda i: -got[i])[:k]
-                out += [(key, name, r, cands[i]["id"], spent) for r, i in enumerate(order, 1)]
-            frame = pd.DataFrame(out, columns=[qid, "model", "rank", "id", "elapsed_ms"])
+                out += [(key, name, r, cands[i]["id"], spent, load_ms[name]) for r, i in enumerate(order, 1)]
+            frame = pd.DataFrame(out, columns=[qid, "model", "rank", "id", "elapsed_ms", "load_ms"])
             frame["rank"] = frame["rank"].astype("Int32")
             yield frame
 
@@ -204,7 +209,7 @@ def rerank_models(
 def model_summary(
     queries: DataFrame, reranked: DataFrame, expected: DataFrame, id_col: str = "id", qid: str = "query_id",
 ) -> DataFrame:
-    """Per model: n_scored, hit_rate, mean_mrr and mean/p50/p95 rerank time over the annotated queries.
+    """Per model: n_scored, hit_rate, mean_mrr, mean/p50/p95 rerank time over the annotated queries, and load_ms, the longest load.
 
     ``queries`` lists the annotated queries; one without candidates counts as a miss taking 0 ms.
     """
@@ -219,7 +224,8 @@ def model_summary(
     quality = per_query.groupBy("model").agg(
         F.count("*").alias("n_scored"), F.avg((F.col("mrr") > 0).cast("double")).alias("hit_rate"),
         F.avg("mrr").alias("mean_mrr"))
-    return quality.join(times, "model")
+    loads = reranked.groupBy("model").agg(F.max("load_ms").alias("load_ms"))
+    return quality.join(times, "model").join(loads, "model")
 
 
 def stage_total(latency: Column) -> Column:

@@ -265,9 +265,9 @@ def model_compare(spark, d):
     def length():
         return lambda q, docs: [-abs(len(q) - len(x)) for x in docs]
 
-    hits = write_out(passage_hits(spark, d, 20), "hits")
+    hits = write_out(passage_hits(spark, d, 20, "doc"), "hits")
     asked = passages(spark, d).select("query_id", "query")
-    sets = asked.join(candidate_sets(hits, table(spark, d, "documents"), "doc_id", "text"), "query_id", "left")
+    sets = asked.join(candidate_sets(hits, "doc_id", "doc"), "query_id", "left")
     reranked = write_out(ev.rerank_models(sets, {"overlap": overlap, "length": length}, "long", 5), "reranked")
     expected = hits.filter(F.col("rank") <= 3).select("query_id", F.col("doc_id").alias("id"))
     summary = ev.model_summary(expected.select("query_id").distinct(), reranked, expected)

@@ -7,6 +7,8 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recallgrid.schema import NA_TOKENS, PAYLOAD
@@ -35,33 +37,60 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True, position:
     return null_tokens(df, names)
 
 
+def _openable(path: str) -> tuple[fs.FileSystem, str] | None:
+    """Where executors can open a path and seek in it by themselves, or None if they do not know its scheme."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+
+
+def _csv_rows(held, name: str, columns: Sequence[str], chunk: int) -> Iterator[pd.DataFrame]:
+    """Rows of the first CSV entry of an open archive, in chunks. The entry is unpacked as it is read."""
+    with zipfile.ZipFile(held) as z:
+        entries = [n for n in z.namelist() if n.lower().endswith(".csv")]
+        if not entries:
+            raise ValueError(f"no CSV in archive {name}")
+        with z.open(entries[0]) as f:
+            done = 0
+            for part in pd.read_csv(f, dtype=str, keep_default_na=False, chunksize=chunk):
+                part = part.reindex(columns=list(columns)).astype(object)
+                part = part.where(part.notna(), None)
+                part["archive"], part["row_no"] = name, range(done, done + len(part))
+                done += len(part)
+                yield part
+
+
 def read_zip(spark: SparkSession, path: str, columns: Sequence[str] = PAYLOAD, chunk: int = 20_000) -> DataFrame:
     """Rows of the first ``.csv`` entry of each archive, as text; archives are read in parallel.
 
-    ``path`` may be an archive, a folder or a glob. An archive without a CSV fails the job. Rows leave an archive in
-    chunks. One archive is one binary value, so it may take up to 2 GB compressed.
+    ``path`` may be an archive, a folder or a glob. An archive without a CSV fails the job. Only paths go to the tasks, which open the
+    archives where they lie and unpack them piece by piece, so that an archive may have any size. Storage that tasks
+    cannot open by themselves is read through Spark, an archive as one value of at most 2 GB.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [
         T.StructField("archive", T.StringType()), T.StructField("row_no", T.LongType())])
+    files = spark.read.format("binaryFile").load(path)
+    some = files.select("path").limit(1).collect()
+    direct = bool(some) and _openable(some[0][0]) is not None
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name in frame["path"]:
+                store, place = _openable(name)
+                with store.open_input_file(place) as held:
+                    yield from _csv_rows(held, name, columns, chunk)
+
+    def held_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    entries = [n for n in z.namelist() if n.lower().endswith(".csv")]
-                    if not entries:
-                        raise ValueError(f"no CSV in archive {name}")
-                    with z.open(entries[0]) as f:
-                        done = 0
-                        for part in pd.read_csv(f, dtype=str, keep_default_na=False, chunksize=chunk):
-                            part = part.reindex(columns=list(columns)).astype(object)
-                            part = part.where(part.notna(), None)
-                            part["archive"], part["row_no"] = name, range(done, done + len(part))
-                            done += len(part)
-                            yield part
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return null_tokens(files.mapInPandas(rows, schema), list(columns))
+                yield from _csv_rows(io.BytesIO(content), name, columns, chunk)
+
+    found = files.select("path").mapInPandas(rows, schema) if direct else files.select("path", "content").mapInPandas(held_rows, schema)
+    return null_tokens(found, list(columns))
 
 
 def read_records(spark: SparkSession, path: str, columns: Sequence[str] = PAYLOAD, multi_line: bool = True) -> DataFrame:

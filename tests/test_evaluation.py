@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,6 @@ def test_models(spark):
     expected = spark.createDataFrame([(1, "q"), (2, "z")], "query_id int, id string")
     got = {r.model: (r.n_scored, r.hit_rate, r.mean_mrr) for r in ev.model_summary(sets, ranked, expected).collect()}
     assert got == {"first": (2, 0.0, 0.0), "match": (2, 0.5, 0.5)}
+    slow = {"slow": lambda: time.sleep(0.2) or (lambda q, ds: [0.0] * len(ds))}
+    told = ev.model_summary(sets, ev.rerank_models(sets, slow, "string", 1), expected).first()
+    assert told.load_ms >= 200 and told.p95_rerank_ms < 200

@@ -115,6 +115,19 @@ def test_zip_reads_first_csv(spark, tmp_path):
         records.read_zip(spark, str(tmp_path / "bad.zip")).collect()
 
 
+def test_archives_are_opened_where_they_lie(spark, tmp_path, monkeypatch):
+    for name, n in (("one", 30_000), ("two words", 5)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("rows.csv", "year,carrier\n" + "".join(f"{i},DL\n" for i in range(n)))
+    df = records.read_zip(spark, str(tmp_path / "*.zip"), ["year"], chunk=1000)
+    assert "content" not in df._jdf.queryExecution().optimizedPlan().toString().split("ReadSchema")[0].split("Relation")[0]
+    got = df.groupBy("archive").agg(F.count("*").alias("n"), F.count_distinct("row_no").alias("m"), F.max("row_no").alias("last")).collect()
+    assert sorted((r.n, r.m, r.last) for r in got) == [(5, 5, 4), (30_000, 30_000, 29_999)]
+    monkeypatch.setattr(records, "_openable", lambda path: None)  # storage that only Spark can open
+    held = records.read_zip(spark, str(tmp_path / "*.zip"), ["year"])
+    assert held.count() == 30_005 and "content" in held._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_golden_files(spark, tmp_path):
     seeds = seed_queries(spark)
     assert seeds.count() == 10 and seeds.schema == GOLDEN_QUERY
