@@ -23,6 +23,16 @@ def token_totals(messages: DataFrame, conv: str = "conv_id", chars: Column | Non
         F.count("*").alias("n_messages"), tokens_of(F.sum(size)).alias("tokens"))
 
 
+def counted_tokens(messages: DataFrame, counter: Callable[[Column], Column], conv: str = "conv_id") -> DataFrame:
+    """``token_totals`` by a tokenizer (see ``hooks.token_counter``): each message is counted as its JSON object.
+
+    Messages are counted where they lie and only their counts move; the brackets and commas between them are not counted.
+    """
+    text = F.to_json(F.struct(F.col("role").alias("role"), F.col("text").alias("content")), {"ignoreNullFields": "false"})
+    sized = messages.select(conv, counter(text).alias("_tokens"))
+    return sized.groupBy(conv).agg(F.count("*").alias("n_messages"), F.sum("_tokens").alias("tokens"))
+
+
 def _heads(messages: DataFrame, conv: str, turn: str) -> DataFrame:
     """First message of each conversation: its turn and size (one small row per conversation)."""
     return messages.groupBy(conv).agg(

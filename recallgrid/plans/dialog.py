@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recallgrid.operators import dialogs
+from recallgrid.operators.hooks import token_counter
 from recallgrid.plans.registry import query, table
 
 _SIZED = "sized AS (SELECT *, CAST(length(role) + length(text) + 32 AS BIGINT) AS chars FROM conversations)"
@@ -17,6 +18,15 @@ def token_totals(spark, d):
     return dialogs.token_totals(table(spark, d, "conversations"))
 
 
+@query("token_totals_tokenizer", """
+SELECT conv_id, count(*) AS n_messages, CAST(sum(length(text) - length(replace(text, ' ', '')) + 1) AS BIGINT) AS tokens
+FROM conversations GROUP BY conv_id""")
+def token_totals_tokenizer(spark, d):
+    """Tokens by a tokenizer hook, here one that cuts at blanks."""
+    counter = token_counter(lambda: lambda text: text.split(" "))
+    return dialogs.counted_tokens(table(spark, d, "conversations"), counter)
+
+
 _TRIM_SQL = f"""
 WITH {_SIZED}, {_HEAD},
 rest AS (SELECT s.*, h.head_chars, row_number() OVER w AS rn, sum(chars) OVER (w ROWS UNBOUNDED PRECEDING) AS run

@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.operators import dialogs
+from recallgrid.operators.hooks import token_counter
 
 random.seed(3)
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -58,6 +60,12 @@ def test_token_totals(talks):
     assert {r.conv_id: r.tokens for r in dialogs.token_totals(df).collect()} == {c: tokens(r) for c, r in by_conv(rows).items()}
 
 
+def test_tokenizer_counts(talks):
+    rows, df = talks
+    got = {r.conv_id: r.tokens for r in dialogs.counted_tokens(df, token_counter(lambda: list)).collect()}
+    assert got == {c: sum(len(json.dumps({"role": r[2], "content": r[3]}, separators=(",", ":"))) for r in rs) for c, rs in by_conv(rows).items()}
+
+
 def test_transcript_segments_join_up(talks):
     rows, df = talks
     got = {}
