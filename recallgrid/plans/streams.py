@@ -81,15 +81,30 @@ def stream_sessions(spark, d):
         c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@query("stream_history", """
+_HISTORY_SQL = """
 WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS fresh
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g)
-SELECT event_id, user_id, epoch_us(min(ts) OVER (PARTITION BY user_id, no)) AS started FROM n""")
-def stream_history(spark, d):
-    """Every message marked with the start of its session."""
-    e = stream(spark, d, "events").select("event_id", "user_id", "ts")
+SELECT event_id, user_id, epoch_us(min(ts) OVER (PARTITION BY user_id, no)) AS started FROM n"""
+
+
+def _history(spark, rows, **options):
     history = shared_path(spark, "history")
-    writer = jobs.session_history_stream(e, "user_id", "ts", history, shared_path(spark, "state"))
+    writer = jobs.session_history_stream(rows, "user_id", "ts", history, shared_path(spark, "state"), **options)
     jobs.drain(writer, shared_path(spark, "progress"))
-    return spark.read.parquet(history).select("event_id", "user_id", "started")
+    return jobs.read_history(spark, history, "user_id").select("event_id", "user_id", "started")
+
+
+@query("stream_history", _HISTORY_SQL)
+def stream_history(spark, d):
+    """Every message marked with the start of its session."""
+    return _history(spark, stream(spark, d, "events").select("event_id", "user_id", "ts"))
+
+
+@query("stream_history_late", _HISTORY_SQL)
+def stream_history_late(spark, d):
+    """The same marks where the messages come in several batches and in no order of time, all of them on time."""
+    parts, e = shared_path(spark, "parts"), table(spark, d, "events").select("event_id", "user_id", "ts")
+    e.repartition(3, F.col("event_id") % 7).write.parquet(parts)
+    rows = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    return _history(spark, rows, lateness_seconds=100 * 366 * 86_400)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from recallgrid.operators import bookings
 from recallgrid.operators.dialogs import micros
 from recallgrid.operators.ingest import unseen
 from recallgrid.schema import SESSION_TTL_SECONDS
-from recallgrid.session import write_out
+from recallgrid.session import remove
 from recallgrid.sources import tables
 
 
@@ -80,36 +80,62 @@ def idle_session_stream(events: DataFrame, user: str, ts: str, delay: str, ttl_s
 
 def session_history_stream(
     messages: DataFrame, session: str, ts: str, history: str, state: str, ttl_seconds: int = SESSION_TTL_SECONDS,
+    lateness_seconds: int = SESSION_TTL_SECONDS,
 ):
-    """Append messages to the history table, each marked with ``started``, the first instant of its session's life.
-
-    A life ends when more than ``ttl_seconds`` pass without a message. Between batches only ``(session, started, last)`` of
-    sessions that may go on is kept, one small table a batch. Messages are combined per session and time slot before
-    anything is ordered (see ``idle_sessions``), and rows find their mark by session and slot, so that a session with most
-    of the messages is spread out. A batch that runs again overwrites its own output.
+    """Append messages to the history table, each to be marked with ``started``, the first instant of its session's life.
+
+    A life ends when more than ``ttl_seconds`` pass without a message. Messages may come in any order: one that is at most
+    ``lateness_seconds`` older than the newest message of the batches before is on time, and may begin a life earlier, or join two lives. What
+    is older is stored with ``late`` set and marks nothing, as is a message without session or time. Whatever the order of
+    messages on time, their marks in the end are those of one batch over all of them.
+
+    Messages are stored once, with their time slot; all those of a session and slot (as wide as ``ttl_seconds``) are of one life, so marks are
+    kept by session and slot, beside the messages, and a batch writes those only that are new or changed. ``read_history`` puts both
+    together. The state, one folder a batch, holds the slots of the batch and those that a message on time can still reach; the
+    folder before the last is removed. A session with most of the messages is thus a few rows wherever it is ordered. A batch
+    that runs again overwrites its own output.
     """
-    width = ttl_seconds * 1_000_000
-    saved = T.StructType([messages.schema[session], T.StructField("started", T.LongType()), T.StructField("last", T.LongType())])
+    width, delay = ttl_seconds * 1_000_000, lateness_seconds * 1_000_000
+    longs = ("_slot", "_from", "_to", "started", "_told")
+    saved = T.StructType([messages.schema[session], *[T.StructField(c, T.LongType()) for c in longs]])
 
     def label(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(saved).parquet(f"{state}/{number - 1}") if number else spark.createDataFrame([], saved)
-        timed = batch.withColumn("_us", micros(F.col(ts))).withColumn("_slot", F.floor(F.col("_us") / width))
-        slots = timed.groupBy(session, "_slot").agg(F.min("_us").alias("_from"), F.max("_us").alias("_to")).withColumn(
-            "started", F.lit(None).cast("long"))
-        carried = before.select(
-            session, F.lit(-(2**62)).alias("_slot"), F.lit(None).cast("long").alias("_from"), F.col("last").alias("_to"), "started")
+        newest = before.agg(F.max("_to")).first()[0]
+        mark = F.lit(None if newest is None else newest - delay).cast("long")
+        at = micros(F.col(ts))
+        late = F.coalesce(at < mark, F.lit(False))
+        stored = f"{history}/messages/batch={number}"
+        batch.withColumns({
+            "_slot": F.when(F.col(session).isNotNull() & ~late, F.floor(at / width)), "late": late,
+        }).write.mode("overwrite").parquet(stored)
+        came = spark.read.parquet(stored).filter(F.col("_slot").isNotNull()).groupBy(session, "_slot").agg(
+            F.min(at).alias("_from"), F.max(at).alias("_to"))
+        # No message on time is older than ``mark``: what began before it keeps its mark, and its life is open if it ended a ttl before or later.
+        open_slots = before.filter(F.col("_to") >= mark - width).select(
+            session, "_slot", "_from", "_to", F.col("started").alias("_told"), F.when(F.col("_from") < mark, F.col("started")).alias("_fixed"))
+        slots = came.unionByName(open_slots, allowMissingColumns=True).groupBy(session, "_slot").agg(
+            F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.max("_told").alias("_told"), F.max("_fixed").alias("_fixed"))
         w = Window.partitionBy(session).orderBy("_slot")
-        so_far = F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        begins = F.coalesce("started", F.when(so_far.isNull() | (F.col("_from") - so_far > width), F.col("_from")))
-        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        lives = slots.unionByName(carried).withColumn("_b", begins).withColumn(
-            "started", F.last("_b", ignorenulls=True).over(upto))
-        lives = write_out(lives.select(session, "_slot", "_to", "started"), "lives")
-        marks = lives.filter(F.col("_slot") > -(2**62)).select(session, "_slot", "started")
-        timed.join(marks, [session, "_slot"]).drop("_slot", "_us").write.mode("overwrite").parquet(f"{history}/batch={number}")
-        after = lives.groupBy(session).agg(F.max_by("started", "_slot").alias("started"), F.max("_to").alias("last"))
-        newest = lives.agg(F.max("_to")).scalar()
-        after.filter(F.col("last") >= newest - 2 * width).write.mode("overwrite").parquet(f"{state}/{number}")
+        last = F.lag("_to").over(w)
+        begins = F.coalesce("_fixed", F.when(last.isNull() | (F.col("_from") - last > width), F.col("_from")))
+        lives = slots.withColumn("_b", begins).withColumn(
+            "started", F.last("_b", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        lives.select(*saved.names).write.mode("overwrite").parquet(f"{state}/{number}")
+        told = spark.read.schema(saved).parquet(f"{state}/{number}").filter(~F.col("started").eqNullSafe(F.col("_told")))
+        told.select(session, "_slot", "started").write.mode("overwrite").parquet(f"{history}/marks/batch={number}")
+        remove(spark, f"{state}/{number - 2}")
 
     return messages.writeStream.foreachBatch(label)
+
+
+def read_history(spark: SparkSession, history: str, session: str) -> DataFrame:
+    """All messages of a history table with ``started`` (null where there is no mark) and ``late``.
+
+    Messages without a slot take no part in the join with the marks, whose key is session and slot.
+    """
+    told = spark.read.parquet(f"{history}/messages").drop("batch")
+    marks = spark.read.parquet(f"{history}/marks").groupBy(session, "_slot").agg(F.max_by("started", "batch").alias("started"))
+    marked = told.filter(F.col("_slot").isNotNull()).join(marks, [session, "_slot"], "left")
+    return marked.unionByName(told.filter(F.col("_slot").isNull()), allowMissingColumns=True).drop("_slot")

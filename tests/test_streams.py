@@ -88,12 +88,53 @@ def test_history_over_batches(spark, tmp_path):
     history, state = str(tmp_path / "history"), str(tmp_path / "state")
     jobs.drain(jobs.session_history_stream(feed(spark, str(tmp_path / "in"), schema, batches), "s", "ts", history, state),
                str(tmp_path / "progress"))
-    got = spark.read.parquet(history)
+    got = jobs.read_history(spark, history, "s")
     zero = int((T0 - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
     starts = {r.n: (r.started - zero) // 1_000_000 for r in got.collect()}
     assert starts == {1: 0, 2: 0, 4: 0, 6: 0, 7: 14_201, 3: 100, 5: 7001, 8: 14_202}
 
 
+def test_history_in_any_order(spark, tmp_path):
+    """Shuffled batches against the batch form over all messages on time; late ones and nulls are stored unmarked."""
+    import os
+    import random
+
+    rng, ttl, delay = random.Random(7), 100, 400
+    schema = "s string, n int, ts timestamp_ntz"
+    clock = sorted(rng.randrange(0, 6000) for _ in range(400))
+    # A third of the messages is of one session; arrival is up to 600 seconds off.
+    rows = [("hot" if rng.random() < 0.34 else f"s{rng.randrange(12)}", n, sec) for n, sec in enumerate(clock)]
+    arriving = sorted(rows, key=lambda r: r[2] + rng.randrange(0, 600))
+    batches = [arriving[i : i + 60] for i in range(0, len(arriving), 60)]
+    newest, on_time, late = None, [], set()
+    for batch in batches:
+        for r in batch:
+            if newest is not None and r[2] < newest - delay:
+                late.add(r[1])
+            else:
+                on_time.append(r)
+        newest = max([x[2] for x in on_time])
+    assert late and len(late) < 100
+    want, by = {}, {}
+    for s, n, sec in sorted(on_time, key=lambda r: r[2]):
+        start, last = by.get(s, (sec, sec))
+        by[s] = (sec if sec - last > ttl else start, sec)
+        want[n] = by[s][0]
+    stamped = [[(s, n, T0 + timedelta(seconds=sec)) for s, n, sec in b] for b in batches]
+    stamped[2] += [(None, 1000, T0), ("hot", 1001, None)]
+    history, state = str(tmp_path / "history"), str(tmp_path / "state")
+    writer = jobs.session_history_stream(
+        feed(spark, str(tmp_path / "in"), schema, stamped), "s", "ts", history, state, ttl, lateness_seconds=delay)
+    jobs.drain(writer, str(tmp_path / "progress"))
+    got = jobs.read_history(spark, history, "s").collect()
+    zero = int((T0 - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    assert len(got) == 402 and {r.n for r in got if r.late and r.s} == late
+    assert {r.n: (r.started - zero) // 1_000_000 for r in got if r.started is not None} == want
+    # Two folders of state, and in the last only slots of its batch or within lateness and ttl.
+    assert sorted(os.listdir(state)) == [str(len(batches) - 2), str(len(batches) - 1)]
+    assert spark.read.parquet(f"{state}/{len(batches) - 1}").count() < 13 * 13
+
+
 def test_closed_sessions(spark, tmp_path):
     schema = "u int, ts timestamp"
     rows = [(1, T0 + timedelta(seconds=s)) for s in (0, 100, 9000)] + [(2, T0 + timedelta(days=2))]
