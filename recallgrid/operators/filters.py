@@ -18,9 +18,6 @@ from pyspark.sql import Column, functions as F
 
 from recallgrid.schema import TIME_BANDS
 
-#: Wanted values that a scan is told one by one.
-MOST_NAMED = 200
-
 
 @dataclass(frozen=True)
 class Term:
@@ -96,8 +93,8 @@ def has_filter(terms: Sequence[Term]) -> Column:
 def common_bounds(requests: Iterable[Mapping[str, Any]], terms: Sequence[Term]) -> Column | None:
     """A condition that every record matching at least one request meets, for the scan to push down.
 
-    Only fields that all requests constrain take part: the set of keyword or integer values wanted (their range, where they
-    are many), the least lower and the greatest upper bound.
+    Only fields that all requests constrain take part: the set of keyword or integer values wanted (at most one a request of a
+    block), the least lower and the greatest upper bound.
     """
     parts = []
     for t in terms:
@@ -111,10 +108,8 @@ def common_bounds(requests: Iterable[Mapping[str, Any]], terms: Sequence[Term])
             parts.append(col <= max(wants))
         elif t.kind == "band":
             parts.append(col.between(min(w[0] for w in wants), max(w[1] for w in wants)))
-        elif len(set(wants)) <= MOST_NAMED:
-            parts.append(col.isin(*sorted(set(wants))))
         else:
-            parts.append(col.between(min(wants), max(wants)))
+            parts.append(col.isin(*sorted(set(wants))))
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 

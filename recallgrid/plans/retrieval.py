@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recallgrid.functions.vectors import centroids
-from recallgrid.operators import search
+from recallgrid.operators import cells, search
 from recallgrid.operators.filters import FLIGHT_TERMS, Term, filter_column, has_filter
 from recallgrid.operators.hooks import generator, hash_embedding, overlap_scorer
 from recallgrid.operators.ingest import flight_document
 from recallgrid.plans.registry import FLIGHTS_SQL, flights, query, table
-from recallgrid.session import write_out
+from recallgrid.session import shared_path, write_out
 
 LABEL = (Term("integer", "want_label", "label"),)
 LANG = (Term("keyword", "want_lang", "lang_code"),)
@@ -337,6 +337,33 @@ def ann_recall(spark, d):
     return both.withColumn("recall", F.round(F.col("found") / F.col("k"), 6))
 
 
+@query("cell_search", """
+WITH asked AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+scored AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS score
+  FROM asked, embeddings),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM scored)
+SELECT query_id, vec_id AS best_id, score AS best_score, CAST(10 AS BIGINT) AS n_hits, TRUE AS recall_reached
+FROM ranked WHERE rk = 1""")
+def cell_search(spark, d):
+    """Records stored by cell; probes measured on other requests than those asked; is the recall over the asked ones at least 0.9?
+
+    A record is in its own nearest cell, so it is the best hit of itself.
+    """
+    records, index = table(spark, d, "embeddings"), shared_path(spark, "cells")
+    cells.write_cells(records.select("vec_id", "embedding"), index, 64, cell_rows=100)
+    asked = records.select(F.col("vec_id").alias("query_id"), "embedding")
+    probes = cells.enough_probes(spark, index, asked.filter("query_id % 20 = 10"), 0.95, id_col="vec_id")
+    asked = asked.filter("query_id % 20 = 0")
+    hits = write_out(cells.cell_search(spark, index, asked, probes, threshold=None, id_col="vec_id"), "hits")
+    exact = search.vector_search(records, asked, k=10, threshold=None, id_col="vec_id").select("query_id", "vec_id")
+    recall = exact.join(hits.select("query_id", "vec_id", F.lit(1).alias("_hit")), ["query_id", "vec_id"], "left").agg(
+        F.count("_hit") / F.count("*")).scalar()
+    best = F.min_by(F.struct("vec_id", "score"), "rank")
+    return hits.groupBy("query_id").agg(best.alias("b"), F.count("*").alias("n_hits")).select(
+        "query_id", F.col("b.vec_id").alias("best_id"), F.col("b.score").alias("best_score"), "n_hits",
+        (recall >= 0.9).alias("recall_reached"))
+
+
 @query("filter_flags", """
 SELECT b.item_id AS query_id, b.item_id % 4 <> 2 AS has_filter FROM benchmark b""")
 def filter_flags(spark, d):
