@@ -9,6 +9,7 @@ from recallgrid.operators.percentiles import exact_percentiles, stage_summary
 from recallgrid.operators.search import candidate_sets, vector_search
 from recallgrid.plans.registry import query, table
 from recallgrid.plans.retrieval import CENTROID_SQL, TEXT_SQL, label_centroids, label_hits, passage_hits, passages
+from recallgrid.schema import SEED_QUERIES, seed_queries
 from recallgrid.session import shared_path, write_out
 from recallgrid.sources import tables
 
@@ -301,6 +302,29 @@ def golden_source(spark, d):
     return tables.expected_ids(tables.read_golden(spark, path))
 
 
+_SEEDS_SQL = ", ".join(f"('{q}', '{c}', '{o}', '{x}')" for q, c, o, x in SEED_QUERIES)
+
+
+@query("golden_seeds", f"""
+WITH seeds(query, carrier, origin, dest) AS (VALUES {_SEEDS_SQL}),
+told AS (SELECT text AS query, NULL AS carrier, 'JFK' AS origin, NULL AS dest, item_id % 5 AS n_expected, 'told' AS notes FROM benchmark
+  UNION ALL SELECT query, carrier, origin, dest, 1, 'told' FROM seeds WHERE carrier IN ('UA', 'DL'))
+SELECT * REPLACE (CAST(n_expected AS INT) AS n_expected) FROM told
+UNION ALL SELECT *, 0, NULL FROM seeds WHERE query NOT IN (SELECT query FROM told)""")
+def golden_seeds(spark, d):
+    """A golden set kept as JSON arrays, read back, and completed by the seed questions it does not have yet."""
+    seeds = seed_queries(spark)
+    passage = table(spark, d, "benchmark").select(
+        F.col("text").alias("query"),
+        F.struct(F.lit(None).cast("string").alias("carrier"), F.lit("JFK").alias("origin"), F.lit(None).cast("string").alias("dest"))
+        .alias("filters"), F.array_repeat(F.lit("id"), (F.col("item_id") % 5).cast("int")).alias("expected_flight_ids"))
+    some = seeds.filter(F.col("filters.carrier").isin("UA", "DL")).withColumn("expected_flight_ids", F.array(F.lit("id"))).drop("notes")
+    path = shared_path(spark, "golden")
+    tables.write_golden_arrays(passage.unionByName(some).withColumn("notes", F.lit("told")), path)
+    return ev.merge_golden(tables.read_golden(spark, path), seeds).select(
+        "query", "filters.*", F.size("expected_flight_ids").alias("n_expected"), "notes")
+
+
 @query("rank_select", f"""
 WITH {CENTROID_SQL},
 t AS (SELECT query_id, unnest(string_split('1 x 3 99 ' || (query_id + 1), ' ')) AS tok FROM cent)

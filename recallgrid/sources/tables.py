@@ -55,14 +55,24 @@ def stored_ids(
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """A golden set: one JSON array, or JSON lines as ``write_golden`` makes them."""
-    return spark.read.schema(GOLDEN_QUERY).json(path, multiLine=not path.rstrip("/").endswith(".jsonl"))
+    """A golden set: JSON arrays, one a file, or JSON lines as ``write_golden`` makes them."""
+    read = spark.read.schema(GOLDEN_QUERY).json(path, multiLine=not path.rstrip("/").endswith(".jsonl"))
+    return read.select(*GOLDEN_QUERY.names)
 
 
 def write_golden(entries: DataFrame, path: str, mode: str = "error") -> None:
     entries.write.mode(mode).json(path)
 
 
+def write_golden_arrays(entries: DataFrame, path: str, per_file: int = 1000, mode: str = "error") -> None:
+    """A golden set as JSON arrays: one where it has at most ``per_file`` entries, else one a file, of about so many entries."""
+    parts = max(1, -(-entries.count() // per_file))
+    entry = F.struct(*[c for c in GOLDEN_QUERY.names if c in entries.columns])
+    part = F.pmod(F.xxhash64("query", "notes") if "notes" in entries.columns else F.xxhash64("query"), F.lit(parts))
+    arrays = entries.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    arrays.write.mode(mode).partitionBy("part").text(path)
+
+
 def expected_ids(golden: DataFrame, key: str = "query", id_col: str = "flight_id") -> DataFrame:
     """Golden entries in long form, one row per expected id."""
     return golden.select(key, F.explode("expected_flight_ids").alias(id_col))

@@ -135,6 +135,13 @@ def test_golden_files(spark, tmp_path):
     tables.write_golden(seeds, path)
     back = tables.read_golden(spark, path)
     assert {r.query: r.filters.dest for r in back.collect()}["Delta flight from LaGuardia to Atlanta"] == "ATL"
+    many = str(tmp_path / "arrays")
+    tables.write_golden_arrays(seeds, many, per_file=4)
+    files = list((tmp_path / "arrays").glob("part=*/*.txt"))
+    assert 2 <= len(files) <= 3 and all(f.read_text().startswith("[") and f.read_text().endswith("]\n") for f in files)
+    assert sorted(map(str, tables.read_golden(spark, many).collect())) == sorted(map(str, seeds.collect()))
+    tables.write_golden_arrays(seeds.limit(0), str(tmp_path / "none"))
+    assert tables.read_golden(spark, str(tmp_path / "none")).count() == 0
     array = tmp_path / "set.json"
     array.write_text('[{"query": "a", "filters": {"origin": "JFK"}, "expected_flight_ids": ["x", "y"]},\n {"query": "b"}]')
     assert tables.expected_ids(tables.read_golden(spark, str(array))).count() == 2
