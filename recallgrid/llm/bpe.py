@@ -2,7 +2,9 @@
 
 A text is cut where tokens can never span: before a blank that a non-blank follows (``byte_bpe``), or at white space
 (``word_bpe``). Each distinct piece is encoded once per worker. A piece that is one long word is encoded as a tree: halves by
-themselves, then growing windows of tokens around the join until the window agrees with both sides.
+themselves, then growing windows of tokens around the join until the window agrees with both sides. Long texts are dealt
+out as rows: sections between cuts, groups of words where a section has no cut, and leaves of words that are long themselves; leaves are
+encoded in parallel tasks, and neighbours joined up the tree.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from recallgrid.llm.common import arrow_pass
 CACHE = 300_000
 #: Code points above which a word is encoded as a tree.
 LEAF = 512
-#: Code points above which a text is dealt out in sections.
+#: Code points above which a text is dealt out in sections, and about how long a section, or a leaf in bytes, then is.
 LONG_TEXT = 1 << 16
+SECTION = LONG_TEXT // 4
+#: What a dealt row holds: text as it is, or words in byte letters. Rows from 0 on are the leaves of one word, by number.
+_TEXT, _WORDS = -2, -1
 
 _BLANKS = re.compile(r" \s|\A\s|\s\Z")
 _CUT = re.compile(r"(?= \S)")
@@ -50,18 +55,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-def tree_encode(word: str, encode, text_of) -> list[int]:
-    """Ids of one word that the tokenizer does not split further, as ``encode`` (merges only) gives them for the whole.
+def join_encoded(left: list[int], right: list[int], encode, text_of) -> list[int]:
+    """Ids of the text of two halves of a word, given the ids of each.
 
-    Halves are encoded apart. Around each join, the text of the last and first w tokens is encoded again, w doubling, until the
-    window's outermost tokens pair with their neighbours outside exactly as they stand: a pair stands if encoding its two texts
-    together gives the pair back. A sequence whose neighbours all stand is the one encoding of its text.
+    The text of the last and first w tokens is encoded again, w doubling, until the window's outermost tokens pair with their neighbours
+    outside exactly as they stand: a pair stands if encoding its two texts together gives the pair back. A sequence whose neighbours
+    all stand is the one encoding of its text.
     """
-    if len(word) <= LEAF:
-        return encode(word)
-    half = len(word) // 2
-    left, right = tree_encode(word[:half], encode, text_of), tree_encode(word[half:], encode, text_of)
-
     def stands(a, b):
         return encode(text_of([a, b])) == [a, b]
 
@@ -71,7 +71,24 @@ def tree_encode(word: str, encode, text_of) -> list[int]:
         if (len(left) <= w or stands(left[-w - 1], middle[0])) and (len(right) <= w or stands(middle[-1], right[w])):
             return left[:-w] + middle + right[w:]
         w *= 2
-    return encode(word)
+    return encode(text_of(left + right))
+
+
+def tree_encode(word: str, encode, text_of) -> list[int]:
+    """Ids of one word that the tokenizer does not split further, as ``encode`` (merges only) gives them for the whole."""
+    if len(word) <= LEAF:
+        return encode(word)
+    half = len(word) // 2
+    left, right = tree_encode(word[:half], encode, text_of), tree_encode(word[half:], encode, text_of)
+    return join_encoded(left, right, encode, text_of)
+
+
+def tree_join(leaves: list[list[int]], encode, text_of) -> list[int]:
+    """Ids of a word from those of its leaves in order: neighbours joined two by two, up to the root."""
+    while len(leaves) > 1:
+        joined = [join_encoded(a, b, encode, text_of) for a, b in zip(leaves[::2], leaves[1::2])]
+        leaves = joined + leaves[len(joined) * 2:]
+    return leaves[0]
 
 
 class Pieces:
@@ -97,16 +114,19 @@ class Pieces:
         out = []
         for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(piece):
             # These words come in byte letters already.
-            if len(word) <= LEAF:
-                out += [t.id for t in self.tok.model.tokenize(word)]
-            else:
-                out += tree_encode(word, lambda w: [t.id for t in self.tok.model.tokenize(w)],
-                                   lambda ids: "".join(self.names[i] for i in ids))
+            out += tree_encode(word, self.merged, self.letters_of)
         return out
 
+    def merged(self, word: str) -> list[int]:
+        """Ids of a word in byte letters: merges only."""
+        return [t.id for t in self.tok.model.tokenize(word)]
+
+    def letters_of(self, ids: list[int]) -> str:
+        return "".join(map(self.names.__getitem__, ids))
+
     def _merge(self, word: str) -> list[int]:
         """Ids of letters that are one word to the tokenizer: merges only."""
-        return [t.id for t in self.tok.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))]
+        return self.merged("".join(map(self.letters.__getitem__, word.encode())))
 
     def _add(self, piece: str, into: dict, value, join) -> None:
         """Put the value of an unknown piece into ``into``, from the words it consists of where these are plain letters."""
@@ -164,15 +184,52 @@ def decode_bytes(ids: list[int], path: str) -> str:
     return b"".join(map(coder.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _section_rows(docs, texts) -> Iterator[tuple]:
-    """Sections of long texts, cut where no token spans, about ``LONG_TEXT`` / 4 long."""
-    for doc, text in zip(docs, texts):
-        part, start, size = 0, 0, LONG_TEXT // 4
+def _section_rows(path):
+    """Rows of long texts: document, part, what it holds (``_TEXT``, ``_WORDS`` or the number of a leaf), text."""
+    def sections(text):
+        start = 0
         for m in _CUT.finditer(text):
-            if m.start() - start >= size:
-                yield doc, part, text[start: m.start()]
-                part, start = part + 1, m.start()
-        yield doc, part, text[start:]
+            if m.start() - start >= SECTION:
+                yield text[start: m.start()]
+                start = m.start()
+        yield text[start:]
+
+    def pieces(section, coder):
+        """A section without cuts, in byte letters: short words put together, joined by blanks (no byte letter is one)."""
+        held, size = [], 0
+        for word, _ in coder.tok.pre_tokenizer.pre_tokenize_str(section):
+            if held and size + len(word) > SECTION:
+                yield [(_WORDS, " ".join(held))]
+                held, size = [], 0
+            if len(word) > SECTION:
+                yield [(n, word[at: at + SECTION]) for n, at in enumerate(range(0, len(word), SECTION))]
+            else:
+                held.append(word)
+                size += len(word)
+        if held:
+            yield [(_WORDS, " ".join(held))]
+
+    def parts(text, coder):
+        special = re.compile("(" + "|".join(map(re.escape, sorted(coder.specials, key=len, reverse=True))) + ")") if coder.specials else None
+        for section in sections(text):
+            if len(section) <= 2 * SECTION or coder.lower:
+                yield [(_TEXT, section)]
+                continue
+            # The tokenizer takes its own control strings out of a text before anything else.
+            for n, stretch in enumerate(special.split(section) if special else [section]):
+                if n % 2:
+                    yield [(_TEXT, stretch)]
+                elif stretch:
+                    yield from pieces(stretch, coder)
+
+    def rows(docs, texts):
+        coder = pieces_for(path, "ids")
+        for doc, text in zip(docs, texts):
+            for part, held in enumerate(parts(text, coder)):
+                for what, piece in held:
+                    yield doc, part, what, piece
+
+    return rows
 
 
 def _decimal(coder):
@@ -200,24 +257,77 @@ def _coder_rows(path):
     return rows
 
 
+def _decimals(ids) -> str:
+    return ",".join(map(str, ids))
+
+
+def _long_rows(long: DataFrame, path: str) -> DataFrame:
+    """key, ids, decoded of long texts (key, text): their rows are encoded in parallel tasks, and put together by part and key."""
+    dealt = arrow_pass(long, ["key", "text"], "key string, part int, what int, text string", _section_rows(path))
+    plain = _coder_rows(path)
+
+    def coded(keys, parts, whats, texts):
+        coder = pieces_for(path, "ids")
+        for key, part, what, text in zip(keys, parts, whats, texts):
+            if what == _TEXT:
+                _, ids, decoded = next(plain([key], [text]))
+            else:
+                words = text.split(" ") if what == _WORDS else [text]
+                found = [i for w in words for i in tree_encode(w, coder.merged, coder.letters_of)]
+                # A leaf may end inside a character, and its outer tokens are not final: it is decoded after its joins.
+                ids, decoded = _decimals(found), decode_bytes(found, path) if what == _WORDS else None
+            yield key, part, what, ids, decoded
+
+    columns = "key string, part int, what int, ids string, decoded string"
+    done = arrow_pass(dealt.repartition("key", "part", "what"), ["key", "part", "what", "text"], columns, coded)
+    # At most the leaves of one word together: less than the row of its text.
+    words = done.groupBy("key", "part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("what", "ids"))), lambda x: x["ids"]).alias("leaves"),
+        F.max("decoded").alias("decoded"))
+
+    def joined(keys, parts, leaves, decoded):
+        coder = pieces_for(path, "ids")
+        for key, part, found, text in zip(keys, parts, leaves, decoded):
+            if text is not None:
+                yield key, part, found[0], text
+                continue
+            ids = tree_join([[int(i) for i in leaf.split(",")] for leaf in found], coder.merged, coder.letters_of)
+            yield key, part, _decimals(ids), decode_bytes(ids, path)
+
+    whole = arrow_pass(words, ["key", "part", "leaves", "decoded"], "key string, part int, ids string, decoded string", joined)
+    p = F.array_sort(F.collect_list(F.struct("part", "ids", "decoded")))
+    return whole.groupBy("key").agg(p.alias("p")).select(
+        "key", F.array_join(F.transform("p", lambda x: x["ids"]), ",").alias("ids"),
+        F.array_join(F.transform("p", lambda x: x["decoded"]), "").alias("decoded"))
+
+
+def _short_and_long(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Texts (null: empty) up to ``LONG_TEXT``: doc_id, text. Longer ones, encoded: doc_id, ids, decoded."""
+    base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # A row's own key: repeated doc_ids must not mix. Equal rows (doc_id and text) share a key and count their copies.
+    distinct = (base.filter(F.length("text") > LONG_TEXT)
+                .groupBy("doc_id", F.sha2("text", 256).alias("h")).agg(F.any_value("text").alias("text"), F.count("*").alias("copies")))
+    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h", "copies")
+    k = F.split("key", r"\|")
+    copies = F.explode(F.sequence(F.lit(1), k[2].cast("int"))).alias("copy")
+    done = _long_rows(distinct.select(key.alias("key"), "text"), path).select(
+        F.expr("try_cast(split(key, '[|]')[0] AS BIGINT)").alias("doc_id"), "ids", "decoded", copies)
+    return base.filter(F.length("text") <= LONG_TEXT), done.drop("copy")
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (decimal, comma-joined), decoded: each text encoded, and its ids decoded again.
 
-    Texts above ``LONG_TEXT`` are dealt out in sections that are encoded in parallel and put together by document.
+    Texts above ``LONG_TEXT`` are dealt out as rows that are encoded in parallel (see above) and put together by document.
     Null texts are empty and have no ids. Null doc_ids and repeated rows are kept; no rows give no rows.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("text"))
-    return arrow_pass(base, ["doc_id", "text"], "doc_id long, ids string, decoded string", _coder_rows(path))
+    short, long = _short_and_long(docs, path)
+    return arrow_pass(short, ["doc_id", "text"], "doc_id long, ids string, decoded string", _coder_rows(path)).unionByName(long)
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``encode_documents`` without moving its texts between processes.
-
-    Long texts: their sections are encoded in parallel tasks; ids and decoded text are put together by document.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("text"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``encode_documents`` without moving its short texts between processes."""
+    short, long = _short_and_long(docs, path)
     rows = _coder_rows(path)
 
     def digests(keys, texts):
@@ -225,29 +335,11 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
             yield (key, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
                    hashlib.sha256(decoded.encode("utf-8")).hexdigest())
 
-    whole = arrow_pass(base.filter(F.length("text") <= LONG_TEXT), ["doc_id", "text"],
-                       "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
-    # A row's own key: repeated doc_ids must not mix. Equal rows (doc_id and text) share a key and count their copies.
-    long_ = (base.filter(F.length("text") > LONG_TEXT)
-             .groupBy("doc_id", F.sha2("text", 256).alias("h")).agg(F.any_value("text").alias("text"), F.count("*").alias("copies")))
-    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h", "copies")
-    sections = arrow_pass(long_.select(key.alias("key"), "text"), ["key", "text"],
-                          "key string, part int, text string", _section_rows).repartition("key", "part")
-
-    def coded(keys, numbers, texts):
-        for key, number, (_, ids, decoded) in zip(keys, numbers, rows(keys, texts)):
-            yield key, number, ids, decoded
-
-    done = arrow_pass(sections, ["key", "part", "text"], "key string, part int, ids string, decoded string", coded)
-    whole_ids = F.array_join(F.transform("p", lambda x: x["ids"]), ",")
-    joined = done.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "ids", "decoded"))).alias("p")).select(
-        F.split("key", r"\|").alias("k"), whole_ids.alias("ids"), F.array_join(F.transform("p", lambda x: x["decoded"]), "").alias("d"))
-    long_rows = joined.select(
-        F.explode(F.sequence(F.lit(1), F.col("k")[2].cast("int"))), F.expr("try_cast(k[0] AS BIGINT)").alias("doc_id"),
-        (F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit(""))) + 1).cast("long").alias("n_tokens"),
+    whole = arrow_pass(short, ["doc_id", "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
+    return whole.unionByName(long.select(
+        "doc_id", (F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit(""))) + 1).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("d").cast("binary"), 256).alias("decoded_sha256")).drop("col")
-    return whole.unionByName(long_rows)
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")))
 
 
 def word_ids(texts: list[str], path: str) -> Iterator[bytes]:
