@@ -285,6 +285,15 @@ def golden_merge(spark, d):
     return ev.merge_golden(old, new)
 
 
+@query("golden_replace", "SELECT text AS query, 'new' AS notes FROM benchmark WHERE item_id % 2 = 0")
+def golden_replace(spark, d):
+    """Replace mode: entries annotated before are given up, also those of the same queries."""
+    b = table(spark, d, "benchmark")
+    old = b.select(F.col("text").alias("query"), F.lit("old").alias("notes"))
+    new = b.filter(F.col("item_id") % 2 == 0).select(F.col("text").alias("query"), F.lit("new").alias("notes"))
+    return ev.merge_golden(old, new, append=False)
+
+
 @query("golden_source", f"""
 WITH {TEXT_SQL},
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kept QUALIFY rank <= 3)

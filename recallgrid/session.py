@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+#: Folders that ``write_out`` made inside the ``passing_tables`` of this thread, None outside.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def build_session(app: str = "recallgrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,6 +63,9 @@ def write_out(df: DataFrame, name: str = "stage") -> DataFrame:
     Survives executor loss (the files are in shared storage), unlike a cached or locally checkpointed table.
     """
     path = shared_path(df.sparkSession, name)
+    passing = _passing.get()
+    if passing is not None:
+        passing.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -66,3 +74,19 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage, if it is there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove, on leaving, the tables that ``write_out`` wrote inside; for work that is over by then, such as a batch of a stream.
+
+    Tables of other threads stay, and so do those written outside. A table returned from inside can no longer be read.
+    """
+    made: list[str] = []
+    outer = _passing.set(made)
+    try:
+        yield
+    finally:
+        _passing.reset(outer)
+        for path in made:
+            remove(spark, path)

@@ -10,7 +10,7 @@ from recallgrid.operators import bookings
 from recallgrid.operators.dialogs import micros
 from recallgrid.operators.ingest import unseen
 from recallgrid.schema import SESSION_TTL_SECONDS
-from recallgrid.session import remove
+from recallgrid.session import passing_tables, remove
 from recallgrid.sources import tables
 
 
@@ -35,9 +35,10 @@ def ingest_stream(
     tables.create_index(rows.sparkSession, index, schema, partitions)
 
     def add(batch: DataFrame, _: int) -> None:
-        known = tables.stored_ids(batch.sparkSession, index, schema, key, batch, partitions)
-        fresh = prepare(unseen(batch, known, key, position, partitions)).select(*schema.names)
-        tables.append_index(fresh, index, dim, partitions=partitions)
+        with passing_tables(batch.sparkSession):
+            known = tables.stored_ids(batch.sparkSession, index, schema, key, batch, partitions)
+            fresh = prepare(unseen(batch, known, key, position, partitions)).select(*schema.names)
+            tables.append_index(fresh, index, dim, partitions=partitions)
 
     return rows.writeStream.foreachBatch(add)
 
@@ -58,10 +59,11 @@ def booking_stream(requests: DataFrame, log: str, watermark: str | None = None,
 
     def book(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        _, appended = bookings.create(batch, tables.read_bookings(spark, log, batch, "idempotency_key"))
-        tables.append_log(appended, log)
-        if compact_every and (number + 1) % compact_every == 0:
-            tables.compact_log(spark, log)
+        with passing_tables(spark):
+            _, appended = bookings.create(batch, tables.read_bookings(spark, log, batch, "idempotency_key"))
+            tables.append_log(appended, log)
+            if compact_every and (number + 1) % compact_every == 0:
+                tables.compact_log(spark, log)
 
     return requests.writeStream.foreachBatch(book)
 

@@ -1,9 +1,11 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.operators import dialogs
 from recallgrid.operators.ingest import touched
+from recallgrid.session import passing_tables, shared_root, write_out
 from recallgrid.sources import tables
 from recallgrid.streaming import jobs
 
@@ -80,6 +82,26 @@ def test_bookings_over_batches(spark, tmp_path):
         assert {r[0]: r[1] for r in got} == {"k": 1, "m": 1, None: 2}
 
 
+def test_batches_leave_no_passing_tables(spark, tmp_path):
+    import os
+
+    schema = ("request_id long, flight_id string, passenger_name string, idempotency_key string, "
+              "requested_at timestamp_ntz, flight_snapshot_json string")
+    batches = [[(i, "f", "n", f"k{i % 2}", T0 + timedelta(minutes=i), "{}")] for i in range(4)]
+    outside = write_out(spark.range(3), "outside")
+    before = set(os.listdir(shared_root(spark)))
+    log = str(tmp_path / "log")
+    stream = feed(spark, str(tmp_path / "in"), schema, batches)
+    jobs.drain(jobs.booking_stream(stream, log, compact_every=2), str(tmp_path / "progress"))
+    assert tables.read_bookings(spark, log).count() == 2
+    assert set(os.listdir(shared_root(spark))) == before
+    with pytest.raises(ZeroDivisionError), passing_tables(spark):
+        inside = write_out(spark.range(2), "inside")
+        assert inside.count() == 2 and outside.count() == 3
+        raise ZeroDivisionError
+    assert set(os.listdir(shared_root(spark))) == before and outside.count() == 3
+
+
 def test_history_over_batches(spark, tmp_path):
     schema = "s string, n int, ts timestamp_ntz"
     at = lambda s, n, sec: (s, n, T0 + timedelta(seconds=sec))
