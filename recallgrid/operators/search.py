@@ -25,6 +25,8 @@ from recallgrid.session import write_out
 BLOCK_CELLS = 4_194_304
 _BLOCK_REQUESTS = 4096
 SCORE_DIGITS = 6
+# Scores that a task holds at once; 16 MB.
+_SCORES = 2_097_152
 #: Hits of a request that names no limit.
 DEFAULT_LIMIT = 10
 
@@ -69,6 +71,16 @@ def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return m, usable
 
 
+def _scores(unit: np.ndarray, asked: np.ndarray, members: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The scores of a batch for each request, from one product for as many requests as keep it within ``_SCORES`` numbers."""
+    width = max(1, _SCORES // len(unit))
+    for at in range(0, len(members), width):
+        part = members[at : at + width]
+        scores = np.round(unit @ asked[part].T, SCORE_DIGITS)
+        for j, r in enumerate(part):
+            yield r, scores[:, j]
+
+
 def _score_batches(
     batches: Iterator[pa.RecordBatch], req: _Requests, terms: Sequence[Term], vec: str, keep: Sequence[str]
 ) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
@@ -92,9 +104,7 @@ def _score_batches(
             rows = np.flatnonzero(usable if mask is None else usable & mask)
             if not len(rows):
                 continue
-            scores = np.round(unit[rows] @ req.unit[members].T, SCORE_DIGITS)
-            for j, r in enumerate(members):
-                s = scores[:, j]
+            for r, s in _scores(unit[rows], req.unit, members):
                 hit = np.flatnonzero(s >= worst[r])
                 k = int(req.k[r])
                 if len(hit) > k:  # all ties of the k-th score stay in; ids decide later

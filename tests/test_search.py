@@ -71,6 +71,16 @@ def test_search_equals_brute_force(tables, cells):
     assert as_dict(got) == brute()
 
 
+@pytest.mark.parametrize("held", [1, 700, 10_000])
+def test_score_slices_change_nothing(held, monkeypatch):
+    rng = np.random.default_rng(1)
+    unit, asked, members = rng.normal(size=(300, 4)), rng.normal(size=(9, 4)), np.array([0, 2, 3, 7, 8])
+    monkeypatch.setattr(search, "_SCORES", held)
+    got = dict(search._scores(unit, asked, members))
+    assert sorted(got) == members.tolist()
+    assert all(np.array_equal(got[r], np.round(unit @ asked[r], 6)) for r in members)
+
+
 def test_wrong_dimension_fails(tables, spark):
     records, requests = tables
     three = spark.createDataFrame([(1, [1.0, 0.0, 2.0])], "query_id int, embedding array<double>")
