@@ -136,6 +136,8 @@ UNKNOWN_FLIGHT = "That flight_id does not exist. Please search again and pick a
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 _ANSWER = ("request_id", "tool", "type", "error", "data")
+#: What a search depends on.
+_ASK = ("query", "origin", "dest", "carrier", "time_of_day", "month_min", "month_max", "limit")
 
 
 def _failed(rows: DataFrame, kind: Column, *fields: Column) -> DataFrame:
@@ -160,7 +162,7 @@ def answer_requests(
     step: cancellations and look-ups see the bookings from before it. ``options`` go to ``search.search_pipeline``.
 
     Requests are split by tool, so each join sees only the requests that need it; flights are looked up once for all tools, by their
-    distinct ids.
+    distinct ids. Searches that ask the same (text, filters, limit) are one search; a search without a request id finds nothing.
     """
     parsed = parse_requests(requests, tool, raw)
     args = F.col("args")
@@ -180,25 +182,31 @@ def answer_requests(
         given.filter(F.col("problem").isNotNull()).withColumn("error", F.col("problem")), F.lit("error"),
         F.when(~unknown, F.col("tool")).alias("tool"), F.when(unknown, F.col("tool")).alias("tool_name"))]
 
-    asked = of("search_flights").withColumnRenamed("request_id", "query_id")
+    searches = of("search_flights").select("request_id", "tool", F.struct(*_ASK).alias("_ask"))
+    # Written: the numbers of the asks stay what they are.
+    asked = write_out(searches.select("_ask").distinct().select(F.monotonically_increasing_id().alias("query_id"), "_ask.*"), "asks")
     hits = search.search_pipeline(records, asked, embed=embed, id_col=flight_key, doc=doc, **options)
     item = F.struct("rank", F.struct(F.col(flight_key).alias("flight_id"), "score", *HIT_FIELDS).alias("hit"))
     found = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("hits"), F.max("filters_dropped").alias("dropped"))
     # Without hits, the filters were dropped too.
     has = search.has_filter([t for t in search.FLIGHT_TERMS if t.field in asked.columns])
     hit = f"array<struct<flight_id:string,score:double,{','.join(f'{c}:{records.schema[c].dataType.simpleString()}' for c in HIT_FIELDS)}>>"
-    answered = asked.join(found, "query_id", "left").withColumnRenamed("query_id", "request_id").withColumns({
-        "results": F.coalesce(F.col("hits.hit").cast(hit), F.array().cast(hit)), "filters_dropped": F.coalesce("dropped", has)})
-    parts.append(answered.select("request_id", "tool", F.lit("search_results").alias("type"), F.lit(None).cast("string").alias("error"),
-                                 F.to_json(F.struct("results", "filters_dropped"), _KEEP_NULLS).alias("data")))
+    told = lambda results, dropped: F.to_json(F.struct(results.alias("results"), dropped.alias("filters_dropped")), _KEEP_NULLS)
+    none = F.array().cast(hit)
+    data = told(F.coalesce(F.col("hits.hit").cast(hit), none), F.coalesce("dropped", has))
+    by_ask = asked.join(found, "query_id", "left").select(F.struct(*_ASK).alias("_of"), data.alias("data"), told(none, has).alias("_nothing"))
+    answered = salted_join(searches, by_ask, "_ask", "_of", 8, "inner")
+    parts.append(answered.select(
+        "request_id", "tool", F.lit("search_results").alias("type"), F.lit(None).cast("string").alias("error"),
+        F.when(F.col("request_id").isNull(), F.col("_nothing")).otherwise(F.col("data")).alias("data")))
 
     details, creates = of("get_flight_details"), of("create_booking")
     wanted = details.filter(~F.col("no_flight")).select("flight_id").unionByName(creates.select("flight_id")).distinct()
     payload = [c for c in PAYLOAD if c in records.columns]
-    told = records.withColumn("flight_id", F.col(flight_key).cast("string"))
-    flights = write_out(told.join(wanted, "flight_id", "left_semi").select(
+    named = records.withColumn("flight_id", F.col(flight_key).cast("string"))
+    flights = write_out(named.join(wanted, "flight_id", "left_semi").select(
         F.col("flight_id").alias("_of"), F.struct("flight_id", *payload).alias("flight"),
-        booked.snapshot_json(told, list(SNAPSHOT_FIELDS)).alias("flight_snapshot_json")), "flights")
+        booked.snapshot_json(named, list(SNAPSHOT_FIELDS)).alias("flight_snapshot_json")), "flights")
     missing = details.filter("no_flight").withColumn("error", F.lit("MISSING_FLIGHT_ID"))
     parts.append(_failed(missing, F.lit("flight_details")))
     seen = salted_join(details.filter(~F.col("no_flight")), flights.select("_of", "flight"), "flight_id", "_of", 8)

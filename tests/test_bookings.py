@@ -231,3 +231,37 @@ def test_hot_keys_are_spread(spark):
     assert got == {i: 1 if i % 3 != 1 else 2 if i % 9 == 1 else 3 if i == 4 else None for i in range(6000)}
     assert salted_join(left, right, "k", "rk", how="inner").count() == 4000 + 667 + 1
     assert max(sizes) <= 6000
+
+
+def test_requests_are_worked_out_once(spark):
+    """No filter or join of the answers computes a key, a text or a hash of the requests again."""
+    req = spark.range(20).select(
+        F.col("id").alias("request_id"), F.lit("f1").alias("flight_id"), F.reverse(F.col("id").cast("string")).alias("passenger_name"),
+        F.lit(SNAP).alias("flight_snapshot_json"), F.when(F.col("id") > 2, F.soundex(F.col("id").cast("string"))).alias("idempotency_key"),
+        F.lit(T0).cast("timestamp_ntz").alias("requested_at"))
+    for df in bk.create(req, empty(spark)):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "reverse(" not in text and "soundex(" not in text
+
+
+def test_equal_searches_are_one(spark, monkeypatch):
+    given = []
+
+    def pipeline(records, asked, **options):
+        given.append(asked.count())
+        return searched(records, asked, **options)
+
+    searched = rq.search.search_pipeline
+    monkeypatch.setattr(rq.search, "search_pipeline", pipeline)
+    payload = ("f1", "DL", 7, "JFK", "LAX", 2024, 1, 1, 600, 700, 601, 701, 100, 60, "N1", [1.0, 0.0], "doc")
+    records = spark.createDataFrame([payload], (
+        "flight_id string, carrier string, flight int, origin string, dest string, year int, month int, day int, sched_dep_time int, "
+        "sched_arr_time int, dep_time int, arr_time int, distance int, air_time int, tailnum string, embedding array<double>, doc string"))
+    calls = spark.range(60).select(
+        F.col("id").alias("request_id"), F.lit("search_flights").alias("tool"),
+        F.concat(F.lit('{"query": "x", "limit": '), (F.col("id") % 2 + 1).cast("string"), F.lit("}")).alias("args_text"),
+        F.lit(T0).cast("timestamp_ntz").alias("requested_at"))
+    answers, _ = rq.answer_requests(calls, records, empty(spark), embed=lambda text: F.array(F.lit(1.0), F.lit(0.0)))
+    rows = answers.collect()
+    assert given == [2] and sorted(r.request_id for r in rows) == list(range(60))
+    assert {(r.type, r.data.count('"flight_id":"f1"')) for r in rows} == {("search_results", 1)}
