@@ -122,3 +122,10 @@ def test_embedder_column(spark):
     df = spark.createDataFrame([("a",), ("bcd",)], "t string")
     got = df.select(embedder(lambda: lambda ts: [[len(t), 1] for t in ts])(F.col("t")).alias("v")).collect()
     assert [r.v for r in got] == [[1.0, 1.0], [3.0, 1.0]]
+
+
+def test_an_id_in_a_condition_hashes_once(spark):
+    """Spark shares nothing inside a condition, so the expression may mention its name only once."""
+    df = spark.range(50).select("id", F.when(F.col("id") > 1, record_id(F.col("id"))).alias("u"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+    assert {r.id: r.u for r in df.collect()} == {i: str(uuid.uuid5(uuid.NAMESPACE_URL, str(i))) if i > 1 else None for i in range(50)}
