@@ -56,26 +56,42 @@ def embedder(load: Callable[[], Callable[[list[str]], list]], batch: int = 64) -
     return run
 
 
+#: Bytes of text whose words are held at once, besides those of one text.
+_SLICE_BYTES = 2_097_152
+
+
+def slices(texts: pa.Array, most: int = _SLICE_BYTES) -> Iterator[pa.Array]:
+    """The texts in runs, each of less than ``most`` bytes besides its first text; one empty run of none."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype="int64")
+    ends = [*(np.flatnonzero(np.diff(size // most)) + 1), len(texts)]
+    for start, end in zip([0, *ends], ends):
+        yield texts.slice(start, end - start)
+
+
 def hash_embedding(dim: int = 64) -> Callable[[Column], Column]:
     """Default embedder: signed word counts hashed into ``dim`` slots (up to 256) by MD5; no words, zero vector.
 
-    Works on whole Arrow batches: words are split, lower-cased and encoded in bulk, and each distinct word of a batch is
-    hashed once. Unnesting words into Spark rows would shuffle them.
+    Works on slices of Arrow batches: words are split, lower-cased and encoded in bulk, and each distinct word of a slice is
+    hashed once. The words of a slice take some 20 times its bytes, so slices and not batches are bounded. Unnesting words into
+    Spark rows would shuffle them.
     """
 
+    def embed(texts: pa.Array) -> pa.Array:
+        lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), WORD_BREAK)
+        coded = pc.list_flatten(lists).dictionary_encode()
+        hashes = [hashlib.md5(w.encode()).hexdigest() if w else "" for w in coded.dictionary.to_pylist()]
+        slot = np.array([int(h[:2], 16) % dim if h else 0 for h in hashes], dtype="int64")
+        sign = np.array([(1.0 if h[2] < "8" else -1.0) if h else 0.0 for h in hashes])
+        word = coded.indices.to_numpy()
+        row = pc.list_parent_indices(lists).to_numpy()
+        flat = np.bincount(row * dim + slot[word], weights=sign[word], minlength=len(texts) * dim) if len(word) else \
+            np.zeros(len(texts) * dim)
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype="int32") * dim, flat)
+
     @F.arrow_udf("array<double>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), WORD_BREAK)
-            coded = pc.list_flatten(lists).dictionary_encode()
-            hashes = [hashlib.md5(w.encode()).hexdigest() if w else "" for w in coded.dictionary.to_pylist()]
-            slot = np.array([int(h[:2], 16) % dim if h else 0 for h in hashes], dtype="int64")
-            sign = np.array([(1.0 if h[2] < "8" else -1.0) if h else 0.0 for h in hashes])
-            word = coded.indices.to_numpy()
-            row = pc.list_parent_indices(lists).to_numpy()
-            flat = np.bincount(row * dim + slot[word], weights=sign[word], minlength=len(texts) * dim) if len(word) else \
-                np.zeros(len(texts) * dim)
-            yield pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype="int32") * dim, flat)
+            yield pa.concat_arrays([embed(s) for s in slices(texts)])
 
     return run
 

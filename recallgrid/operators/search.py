@@ -12,6 +12,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -27,6 +28,8 @@ _BLOCK_REQUESTS = 4096
 SCORE_DIGITS = 6
 # Scores that a task holds at once; 16 MB.
 _SCORES = 2_097_152
+# Bytes of kept columns that a task hands on at once.
+_OUT_BYTES = 8_388_608
 #: Hits of a request that names no limit.
 DEFAULT_LIMIT = 10
 
@@ -39,9 +42,10 @@ class _Requests(NamedTuple):
     k: np.ndarray
     floor: np.ndarray
     groups: list[tuple[tuple, np.ndarray]]
+    reach: np.ndarray | None  # bits of the cells that each request reads
 
 
-def _requests(rows: list, qid: str, terms: Sequence[Term]) -> _Requests:
+def _requests(rows: list, qid: str, terms: Sequence[Term], reach: str | None = None) -> _Requests:
     sizes = {len(r["_vec"]) for r in rows}
     if len(sizes) > 1:
         raise ValueError(f"requests of different dimensions: {sorted(sizes)}")
@@ -55,7 +59,8 @@ def _requests(rows: list, qid: str, terms: Sequence[Term]) -> _Requests:
     return _Requests(
         [r[qid].asDict() if isinstance(r[qid], Row) else r[qid] for r in rows], m / np.where(usable, length, 1.0)[:, None], np.array([r["_k"] for r in rows]),
         np.array([-np.inf if r["_floor"] is None else r["_floor"] for r in rows], dtype="float64"),
-        [(want, np.array(members)) for want, members in groups.items()])
+        [(want, np.array(members)) for want, members in groups.items()],
+        None if reach is None else np.array([np.frombuffer(r[reach], dtype="uint8") for r in rows]))
 
 
 def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,22 +76,49 @@ def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return m, usable
 
 
-def _scores(unit: np.ndarray, asked: np.ndarray, members: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The scores of a batch for each request, from one product for as many requests as keep it within ``_SCORES`` numbers."""
+def _scores(unit: np.ndarray, asked: np.ndarray, members: np.ndarray, worst: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """The scores of a batch for each request (with ``worst``, each that any can matter to), from one product for as many requests as keep it within ``_SCORES`` numbers."""
     width = max(1, _SCORES // len(unit))
     for at in range(0, len(members), width):
         part = members[at : at + width]
         scores = np.round(unit @ asked[part].T, SCORE_DIGITS)
-        for j, r in enumerate(part):
-            yield r, scores[:, j]
+        for j in range(len(part)) if worst is None else np.flatnonzero((scores >= worst[part]).any(axis=0)):
+            yield part[j], scores[:, j]
+
+
+def _meeting(rows: np.ndarray, members: np.ndarray, cell: np.ndarray | None, reach: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and the requests to score them for: all, or cell by cell those that read the cell."""
+    if cell is None:
+        yield rows, members
+        return
+    for c in np.unique(cell[rows]):
+        if 0 <= c < 8 * reach.shape[1]:
+            those = members[(reach[members, c >> 3] >> (c & 7)) & 1 == 1]
+            if len(those):
+                yield rows[cell[rows] == c], those
+
+
+def _cell_numbers(reach: np.ndarray) -> list[int]:
+    """The cells that any of the requests reads."""
+    return np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(reach, axis=0), bitorder="little")).tolist()
+
+
+def _id_places(ids: pa.Array) -> np.ndarray:
+    """The place of each id in ascending order, nulls first as in Spark."""
+    order = pc.array_sort_indices(ids, null_placement="at_start").to_numpy()
+    places = np.empty(len(order), dtype="int64")
+    places[order] = np.arange(len(order))
+    return places
 
 
 def _score_batches(
-    batches: Iterator[pa.RecordBatch], req: _Requests, terms: Sequence[Term], vec: str, keep: Sequence[str]
+    batches: Iterator[pa.RecordBatch], req: _Requests, terms: Sequence[Term], vec: str, keep: Sequence[str], by_id: bool = False,
+    cell: str | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
     """(request positions, scores, kept columns) of rows that may be in the top k, batch by batch.
 
     A record without a vector, or with one of another length, matches nothing; a task in which no vector has the requests' length fails.
+    With ``by_id``, equal scores are cut by the id, the first of ``keep``, so that a batch has at most k rows for a request.
     """
     other, fits = 0, False
     worst = req.floor.copy()  # lowest score that can still matter, per request
@@ -98,31 +130,38 @@ def _score_batches(
         fits = fits or bool((sizes == req.unit.shape[1]).any())
         other = max(other, int(sizes.max()))
         unit, usable = _unit_rows(batch.column(vec), req.unit.shape[1])
+        cells = None if cell is None else pc.fill_null(batch.column(cell), -1).to_numpy(zero_copy_only=False)
         rows_out, req_out, score_out = [], [], []
+        places = None
         for wants, members in req.groups:
             mask = batch_mask(batch, terms, wants)
             rows = np.flatnonzero(usable if mask is None else usable & mask)
             if not len(rows):
                 continue
-            for r, s in _scores(unit[rows], req.unit, members):
-                hit = np.flatnonzero(s >= worst[r])
-                k = int(req.k[r])
-                if len(hit) > k:  # all ties of the k-th score stay in; ids decide later
-                    kth = np.partition(s[hit], len(hit) - k)[len(hit) - k]
-                    hit = hit[s[hit] >= kth]
-                if not len(hit):
-                    continue
-                top = np.concatenate([best.get(r, np.empty(0)), s[hit]])
-                if len(top) >= k:
-                    top = np.partition(top, len(top) - k)[len(top) - k :]
-                    worst[r] = max(worst[r], top.min())
-                best[r] = top
-                rows_out.append(rows[hit])
-                req_out.append(np.full(len(hit), r))
-                score_out.append(s[hit])
+            for near, those in _meeting(rows, members, cells, req.reach):
+                for r, s in _scores(unit[near], req.unit, those, worst):
+                    hit = np.flatnonzero(s >= worst[r])
+                    k = int(req.k[r])
+                    if len(hit) > k:  # without ``by_id`` all ties of the k-th score stay in; ids decide later
+                        kth = np.partition(s[hit], len(hit) - k)[len(hit) - k]
+                        hit = hit[s[hit] >= kth]
+                        if by_id and len(hit) > k:
+                            places = _id_places(batch.column(keep[0])) if places is None else places
+                            hit = hit[np.lexsort((places[near[hit]], -s[hit]))[:k]]
+                    top = np.concatenate([best.get(r, np.empty(0)), s[hit]])
+                    if len(top) >= k:
+                        top = np.partition(top, len(top) - k)[len(top) - k :]
+                        worst[r] = max(worst[r], top.min())
+                    best[r] = top
+                    rows_out.append(near[hit])
+                    req_out.append(np.full(len(hit), r))
+                    score_out.append(s[hit])
         if rows_out:
-            taken = batch.select(list(keep)).take(pa.array(np.concatenate(rows_out)))
-            yield np.concatenate(req_out), np.concatenate(score_out), taken
+            rows, which, score = (np.concatenate(x) for x in (rows_out, req_out, score_out))
+            kept = batch.select(list(keep))
+            step = max(1, _OUT_BYTES * batch.num_rows // max(1, kept.nbytes))
+            for at in range(0, len(rows), step):
+                yield which[at : at + step], score[at : at + step], kept.take(pa.array(rows[at : at + step]))
     if other and not fits:
         raise ValueError(f"requests have {req.unit.shape[1]} dimensions, records {other}")
 
@@ -153,12 +192,14 @@ def vector_search(
     qvec: str = "embedding",
     keep: Sequence[str] = (),
     block_cells: int = BLOCK_CELLS,
+    within: tuple[str, str] | None = None,
 ) -> DataFrame:
     """``(qid, rank, id, score, *keep)``: the best ``k`` records of every request.
 
     ``k`` and ``threshold`` (inclusive) are constants or names of request columns; a null ``k`` means ``DEFAULT_LIMIT``. Scores are cosines
     rounded to six digits, ties going to the smaller id, so that results do not depend on how the data is split. Requests
-    and records without direction (zero vectors, or none) match nothing.
+    and records without direction (zero vectors, or none) match nothing. ``within`` names a request column of bits (bytes, lowest bit
+    first) and a record column of cell numbers: a request is then scored against the records only in cells whose bit is set.
 
     The vectors of a block of requests, at most ``block_cells`` numbers, are all that is sent to the tasks. The hits of each of
     several blocks (at most k a request) are written out before the next block is taken.
@@ -168,23 +209,27 @@ def vector_search(
         F.col(qvec).alias("_vec"),
         (F.coalesce(k, F.lit(DEFAULT_LIMIT)) if isinstance(k, str) else F.lit(k)).cast("int").alias("_k"),
         (F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)).cast("double").alias("_floor"),
-        *[F.col(f) for f in dict.fromkeys(t.field for t in terms)],
+        *[F.col(f) for f in dict.fromkeys([*[t.field for t in terms], *(within or ())[:1]])],
     ).filter(F.size("_vec") > 0)
     carried = [id_col, *[c for c in keep if c != id_col]]
-    needed = list(dict.fromkeys([*carried, vec_col, *[t.column for t in terms]]))
+    reach, cell = within or (None, None)
+    needed = list(dict.fromkeys([*carried, vec_col, *[t.column for t in terms], *([cell] if cell else [])]))
+    by_id = isinstance(records.schema[id_col].dataType, T.IntegralType) or records.schema[id_col].dataType == T.StringType()
     schema = _out_schema(requests, records, qid, carried)
 
     def scan(rows: list):
         """The hits of a block of requests, and what was sent to the tasks for it."""
         bounds = common_bounds([r.asDict() for r in rows], terms)
-        source = records.select(*needed) if bounds is None else records.filter(bounds).select(*needed)
+        source = records if bounds is None else records.filter(bounds)
+        asked = _requests(rows, qid, terms, reach)
+        source = (source.filter(F.col(cell).isin(_cell_numbers(asked.reach))) if cell else source).select(*needed)
         # A plain tuple: broadcast values are unpickled without this package at hand.
-        shared = records.sparkSession.sparkContext.broadcast(tuple(_requests(rows, qid, terms)))
+        shared = records.sparkSession.sparkContext.broadcast(tuple(asked))
         arrow = to_arrow_schema(schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             req = _Requests(*shared.value)
-            for part in _score_batches(batches, req, terms, vec_col, carried):
+            for part in _score_batches(batches, req, terms, vec_col, carried, by_id, cell):
                 yield _to_batch(req, part, arrow)
 
         # The largest k is known here, so the per-request cut is exact for every k.

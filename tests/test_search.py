@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.operators import search
+from recallgrid.operators import hooks, search
 from recallgrid.operators.filters import FLIGHT_TERMS, Term, common_bounds, filter_column, matches
 from recallgrid.operators.hooks import pair_scorer
 
@@ -218,3 +219,33 @@ def test_generate_once_keeps_null_queries(spark):
     df = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "i int, query string")
     got = sorted(tuple(r) for r in search.generate_once(df, lambda q: F.upper(q)).select("i", "generated").collect())
     assert got == [(1, None), (2, "A"), (3, None)]
+
+
+@pytest.mark.parametrize("kind", ["int64", "string"])
+def test_ties_do_not_leave_the_task(kind, monkeypatch):
+    """Of records with one score, a batch hands on the k with the smallest ids; kept texts go out in bounded parts."""
+    order = np.random.default_rng(0).permutation(1000)
+    ids = pa.array([None if i == 5 else f"r{i:04d}" if kind == "string" else int(i) for i in order])
+    batch = pa.RecordBatch.from_arrays(
+        [ids, pa.array(["x" * 100] * 1000), pa.array([[1.0, 0.0]] * 1000)], names=["id", "doc", "embedding"])
+    req = search._Requests([1, 2], np.array([[1.0, 0.0], [0.6, 0.8]]), np.array([3, 2]), np.array([-np.inf, 0.5]), [((), np.array([0, 1]))], None)
+    monkeypatch.setattr(search, "_OUT_BYTES", 300)
+    parts = list(search._score_batches(iter([batch]), req, [], "embedding", ["id", "doc"], True))
+    rows = [(int(q), i) for which, _, taken in parts for q, i in zip(which, taken.column("id").to_pylist())]
+    name = (lambda i: f"r{i:04d}") if kind == "string" else int
+    assert sorted(rows, key=repr) == sorted([(0, None), (0, name(0)), (0, name(1)), (1, None), (1, name(0))], key=repr)
+    assert max(taken.num_rows for _, _, taken in parts) <= 3
+
+
+def test_texts_are_embedded_in_bounded_slices(spark):
+    texts = pa.array(["a" * 6, None, "", "b" * 6, "c" * 50, "d"])
+    runs = [s.to_pylist() for s in hooks.slices(texts, 10)]
+    assert [t for run in runs for t in run] == texts.to_pylist()
+    assert all(sum(len(t or "") for t in run[1:]) < 10 for run in runs) and len(runs) >= 3
+    assert [len(s) for s in hooks.slices(pa.array([], "string"), 10)] == [0]
+    # Across slices, the vectors are those of each text alone.
+    words = ["one two", None, "three " * 400_000, "", "two " * 300_000, "one"]
+    df = spark.createDataFrame(list(enumerate(words)), "id int, t string").coalesce(1)
+    got = {r.id: list(r.e) for r in df.select("id", hooks.hash_embedding(8)("t").alias("e")).collect()}
+    assert got[0] != got[1] == got[3] == [0.0] * 8 and sum(map(abs, got[2])) == 400_000 and sum(map(abs, got[4])) == 300_000
+    assert [a + b / 300_000 for a, b in zip(got[5], got[4])] == got[0]
