@@ -17,8 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from recallgrid.operators.filters import Term
-from recallgrid.operators.ranking import top_k
-from recallgrid.operators.search import BLOCK_CELLS, DEFAULT_LIMIT, vector_search
+from recallgrid.operators.search import BLOCK_CELLS, vector_search
 from recallgrid.session import write_out
 
 #: Records of a cell.
@@ -31,8 +30,8 @@ SAMPLE_PER_CELL = 256
 MEASURED_REQUESTS = 1000
 #: Cell of records without direction, or of another dimension.
 NO_CELL = -1
-#: Vectors of requests, one a probe, that one scan of some cells serves.
-_SCAN_PROBES = 4096
+#: Requests that one scan serves.
+_SCAN_REQUESTS = 4096
 
 
 def fit_centres(
@@ -71,20 +70,45 @@ def nearest_cells(spark: SparkSession, centres: np.ndarray, most: int) -> Callab
 
     @F.pandas_udf("array<int>")
     def nearest(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        at = shared.value
         for vecs in parts:
-            good = np.array([v is not None and len(v) == at.shape[1] for v in vecs], dtype=bool)
-            m = np.zeros((len(vecs), at.shape[1]))
-            if good.any():
-                m[good] = np.stack([np.asarray(v, dtype="float64") for v in vecs[good]])
-            length = np.linalg.norm(m, axis=1)
-            good &= np.isfinite(length) & (length > 0)
-            cells = np.argsort(-(np.where(good[:, None], m, 0.0) @ at.T), axis=1, kind="stable")[:, :most].astype("int32")
-            yield pd.Series([c if g else c[:0] for c, g in zip(cells, good)], index=vecs.index)
+            yield pd.Series([c if g else c[:0] for c, g in _nearest(vecs, shared.value, most)], index=vecs.index)
 
     return nearest
 
 
+def _nearest(vecs: pd.Series, at: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """The nearest centres of each vector and whether it has a direction, from products of at most ``BLOCK_CELLS`` numbers or so."""
+    step = max(1, BLOCK_CELLS // len(at))
+    for start in range(0, len(vecs), step):
+        part = vecs.iloc[start : start + step]
+        good = np.array([v is not None and len(v) == at.shape[1] for v in part], dtype=bool)
+        m = np.zeros((len(part), at.shape[1]))
+        if good.any():
+            m[good] = np.stack([np.asarray(v, dtype="float64") for v in part[good]])
+        length = np.linalg.norm(m, axis=1)
+        good &= np.isfinite(length) & (length > 0)
+        cells = np.argsort(-(np.where(good[:, None], m, 0.0) @ at.T), axis=1, kind="stable")[:, :most].astype("int32")
+        yield from zip(cells, good)
+
+
+def _reach(spark: SparkSession, centres: np.ndarray, most: int) -> Callable[[Column], Column]:
+    """The nearest cell of a vector and the bits of its ``most`` nearest, for ``vector_search(within=)``; nulls without direction."""
+    shared = spark.sparkContext.broadcast(centres)
+    most = min(most, len(centres))
+
+    @F.pandas_udf("first int, bits binary")
+    def reach(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for vecs in parts:
+            rows = []
+            for cells, good in _nearest(vecs, shared.value, most):
+                bits = np.zeros(len(shared.value), dtype="uint8")
+                bits[cells] = 1
+                rows.append((int(cells[0]), np.packbits(bits, bitorder="little").tobytes()) if good else (None, None))
+            yield pd.DataFrame(rows, columns=["first", "bits"]).astype({"first": "Int32"})
+
+    return reach
+
+
 def write_cells(
     records: DataFrame, path: str, dim: int, vec: str = "embedding", centres: np.ndarray | None = None, mode: str = "error", **fit: Any,
 ) -> None:
@@ -116,7 +140,7 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _groups(counts: Sequence[tuple[int, int]], most: int) -> Iterator[list[int]]:
-    """Cells in order, as many together as ``most`` probes allow; a cell with more is alone."""
+    """Cells in order, as many together as ``most`` requests allow; a cell with more is alone."""
     taken: list[int] = []
     total = 0
     for cell, n in counts:
@@ -131,34 +155,31 @@ def _groups(counts: Sequence[tuple[int, int]], most: int) -> Iterator[list[int]]
 
 def cell_search(
     spark: SparkSession, path: str, requests: DataFrame, probes: int, *, k: int | str = 10, terms: Sequence[Term] = (),
-    id_col: str = "flight_id", qid: str = "query_id", qvec: str = "embedding", scan_probes: int = _SCAN_PROBES, **options: Any,
+    id_col: str = "flight_id", qid: str = "query_id", qvec: str = "embedding", scan_probes: int = _SCAN_REQUESTS, **options: Any,
 ) -> DataFrame:
     """The best ``k`` records of every request among its ``probes`` nearest cells; columns and ties as in ``vector_search``.
 
-    Requests are dealt to the cells they read, and cells taken in groups: a scan reads only the folders of its cells, and each cell is
-    read about once however many requests there are. Hits of each of several groups (at most k a request) are written out.
+    Requests are taken in groups of about ``scan_probes`` by their nearest cell. One scan serves a group: it reads only the folders of the
+    cells that some request of it probes, and scores the records of a cell for the requests that probe it. So there are as
+    many scans as blocks of requests, however many cells each probes. Hits of each of several groups (at most k a request) are written out.
     """
     centres = read_centres(spark, path)
     records = read_cells(spark, path)
-    near = nearest_cells(spark, centres, probes)(F.col(qvec))
-    dealt = write_out(requests.withColumn("_probe", F.explode(near)), "probes")
-    counts = dealt.groupBy("_probe").agg(F.count("*").alias("n")).orderBy("_probe").collect()  # a row a cell
+    near = requests.withColumn("_near", _reach(spark, centres, probes)(F.col(qvec)))
+    dealt = write_out(near.select("*", F.col("_near.first").alias("_first"), F.col("_near.bits").alias("_bits")).drop("_near").filter(
+        F.col("_first").isNotNull()), "probes")
+    counts = dealt.groupBy("_first").agg(F.count("*").alias("n")).orderBy("_first").collect()  # a row a cell
     found = None
-    groups = list(_groups([(r["_probe"], r["n"]) for r in counts], scan_probes)) or [[NO_CELL]]
+    groups = list(_groups([(r["_first"], r["n"]) for r in counts], scan_probes)) or [[NO_CELL]]
     for cells in groups:
         hits = vector_search(
-            records.filter(F.col("cell").isin(*cells)), dealt.filter(F.col("_probe").isin(*cells)), k=k,
-            terms=[*terms, Term("integer", "_probe", "cell")], id_col=id_col, qid=qid, qvec=qvec, **options)
+            records, dealt.filter(F.col("_first").isin(*cells)), k=k, terms=terms, id_col=id_col, qid=qid, qvec=qvec,
+            within=("_bits", "cell"), **options)
         if len(groups) == 1:
             return hits
         hits = write_out(hits, "hits")
         found = hits if found is None else found.unionByName(hits)
-    wanted = requests.select(qid, (F.coalesce(k, F.lit(DEFAULT_LIMIT)) if isinstance(k, str) else F.lit(k)).alias("_k"))
-    most = wanted.agg(F.max("_k")).first()[0]
-    best = top_k(found.drop("rank"), [qid], [F.col("score").desc(), F.col(id_col).asc()], most)
-    if isinstance(k, str):
-        best = best.join(wanted, qid).filter(F.col("rank") <= F.col("_k")).drop("_k")
-    return best.select(*found.columns)
+    return found
 
 
 def enough_probes(

@@ -96,3 +96,17 @@ def test_empty_index_and_append(spark, stored, tmp_path):
     none = asked.filter(F.col("query_id") >= 60)
     assert cells.cell_search(spark, path, none, 1, threshold=None, id_col="id").count() == 0
     assert cells.enough_probes(spark, path, none, id_col="id") == 1
+
+
+def test_probes_make_no_scans(spark, stored, monkeypatch):
+    """A scan serves as many requests as it may, however many cells each of them reads."""
+    _, path, asked = stored
+    scans = []
+
+    def counted(*args, **options):
+        scans.append(1)
+        return search.vector_search(*args, **options)
+
+    monkeypatch.setattr(cells, "vector_search", counted)
+    got = cells.cell_search(spark, path, asked, 15, threshold=None, id_col="id", scan_probes=100)
+    assert got.select("query_id").distinct().count() == 60 and len(scans) == 1
