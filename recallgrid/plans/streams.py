@@ -40,7 +40,8 @@ def stream_ingest_batches(spark, d):
         return rows.drop("event_id")
 
     parts, path = shared_path(spark, "parts"), shared_path(spark, "index")
-    flights(table(spark, d, "events")).repartition(3, F.col("day") % 7).write.parquet(parts)
+    # Small row groups, so that a batch, one file, is read by many tasks.
+    flights(table(spark, d, "events")).repartition(3, F.col("day") % 7).write.option("parquet.block.size", 4 << 20).parquet(parts)
     for _ in range(2):
         rows = with_id(spark.readStream.schema(spark.read.parquet(parts).schema).option("maxFilesPerTrigger", 1).parquet(parts))
         schema = prepare(rows).schema

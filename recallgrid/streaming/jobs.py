@@ -10,7 +10,7 @@ from recallgrid.operators import bookings
 from recallgrid.operators.dialogs import micros
 from recallgrid.operators.ingest import unseen
 from recallgrid.schema import SESSION_TTL_SECONDS
-from recallgrid.session import passing_tables, remove
+from recallgrid.session import passing_tables, remove, write_out
 from recallgrid.sources import tables
 
 
@@ -36,6 +36,8 @@ def ingest_stream(
 
     def add(batch: DataFrame, _: int) -> None:
         with passing_tables(batch.sparkSession):
+            # Written: a batch is computed whole, ids too, each time it is read.
+            batch = write_out(batch, "batch")
             known = tables.stored_ids(batch.sparkSession, index, schema, key, batch, partitions)
             fresh = prepare(unseen(batch, known, key, position, partitions)).select(*schema.names)
             tables.append_index(fresh, index, dim, partitions=partitions)

@@ -166,3 +166,18 @@ def test_closed_sessions(spark, tmp_path):
     got = sorted((r.u, r.n_events) for r in spark.read.schema(closed.schema).parquet(sink).collect())
     batch = dialogs.idle_sessions(spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "u", "ts")
     assert got == [(1, 1), (1, 2)] and batch.count() == 3
+
+
+def test_a_batch_is_computed_once(spark, tmp_path, monkeypatch):
+    """What reads a batch after that reads the files it was written to; they are removed with the batch."""
+    schema, seen, stored = "flight_id string, pos long, year int, month int", [], tables.stored_ids
+
+    def told(spark, index, schema, key, batch, partitions):
+        seen.append(len(batch.inputFiles()))
+        return stored(spark, index, schema, key, batch, partitions)
+
+    monkeypatch.setattr(jobs.tables, "stored_ids", told)
+    index, out = str(tmp_path / "index"), spark.createDataFrame([], schema).drop("pos").schema
+    stream = feed(spark, str(tmp_path / "in"), schema, [[("a", 1, 2013, 1)]])
+    jobs.drain(jobs.ingest_stream(stream, index, out, lambda df: df, None, ["pos"]), str(tmp_path / "progress"))
+    assert seen and all(seen) and tables.read_index(spark, index, out).count() == 1
